@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Sequence
 
@@ -40,41 +41,27 @@ def clean_number(c: Column) -> Column:
     """
     s = c.cast("string")
     s = F.when(s.rlike(r"[^\x00-\x7f]"), F.translate(s, _DIGITS_FROM, _DIGITS_TO)).otherwise(s)
-    s = strip(s)
-    s = F.when(s.endswith("-"), F.concat(F.lit("-"), s.substr(F.lit(1), F.length(s) - 1))).otherwise(s)
+    s = F.regexp_replace(strip(s), r"(?s)^(.*)-\z", "-$1")
     s = F.regexp_replace(s, r"[^0-9.\-eE+]", "")
-    prefix = F.regexp_extract(s, r"^-?[0-9]+\.?[0-9]*", 0)
-    many_dots = F.length(F.regexp_replace(s, r"[^.]", "")) > 1
-    many_dashes = (F.length(F.regexp_replace(s, r"[^\-]", "")) > 1) & ~s.startswith("-")
-    return F.when((many_dots | many_dashes) & (prefix != ""), prefix).otherwise(s).try_cast("double")
+    # With two points, or two dashes and none in front, the leading number is taken alone.
+    s = F.regexp_replace(s, r"^(?=.*\..*\.|[^-].*-.*-)(-?[0-9]+\.?[0-9]*).*\z", "$1")
+    return s.try_cast("double")
 
 
 def double_text(c: Column) -> Column:
     """A double in Python's spelling: positional from 1e-4 up to 1e16, else ``d.ddde+XX``."""
     s = c.cast("string")
-    unsigned = F.regexp_replace(s, "^-", "")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.substring_index(unsigned, "E", 1)
-    exp = F.substring_index(unsigned, "E", -1).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    n = F.length(digits)
-    whole = F.concat(F.rpad(digits, exp + 1, "0"), F.lit(".0"))
-    split = F.concat(digits.substr(F.lit(1), exp + 1), F.lit("."), digits.substr(exp + 2, n))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    scientific = F.concat(
-        digits.substr(1, 1),
-        F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(F.lit("")),
-        F.lit("e"),
-        F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")),
-    )
+    size = F.abs(c)
+    plain = F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"), r"(\.[0-9]+?)0*$", "$1")
+    scientific = F.regexp_replace(s, r"(\.0)?E", "e")
+    scientific = F.regexp_replace(scientific, r"e([0-9])", r"e+$1")
+    scientific = F.regexp_replace(scientific, r"(?<sign>e[+-])(?<digit>[0-9])$", r"${sign}0${digit}")
     return (
         F.when(F.isnan(c), F.lit("nan"))
-        .when(unsigned == "Infinity", F.concat(sign, F.lit("inf")))
+        .when(size == math.inf, F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when(~s.contains("E"), s)
-        .when(exp.between(0, 15), F.concat(sign, F.when(n <= exp + 1, whole).otherwise(split)))
-        .when(exp.between(-4, -1), F.concat(sign, small))
-        .otherwise(F.concat(sign, scientific))
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(scientific)
     )
 
 

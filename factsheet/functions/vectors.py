@@ -14,8 +14,10 @@ _ROWS_PER_BLOCK = 1024
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(
-        vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)).cast("float")
+    # The norm is a value of its own here; inside a lambda it would be computed per component.
+    norms = F.array_repeat(norm, F.size(vector))
+    return F.zip_with(
+        vector, norms, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float")
     )
 
 

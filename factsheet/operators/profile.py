@@ -94,7 +94,7 @@ def categorical_summary(
     # Reads every column of ``counts``, so that both uses share one exchange.
     counted = (F.col("n") > 0) | F.col("seen").isNull() if key else F.col("n") > 0
     sizes = counts.groupBy("column").agg(F.count_if(counted).alias("distinct"))
-    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    every = df.sparkSession.range(1).select(F.explode(_strings(names)).alias("column"))
     return (
         best.unionByName(sizes, allowMissingColumns=True)
         .unionByName(every, allowMissingColumns=True)

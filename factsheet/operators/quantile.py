@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factsheet.functions.columns import measure
 
-SMALL = 1 << 20
+SMALL = 1 << 14
 BUCKETS = 4096
 
 

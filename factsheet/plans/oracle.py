@@ -283,7 +283,7 @@ qs as (select conv_id, g, string_agg(case when nth = 1 then text else 'Q' || tur
        from (select *, row_number() over (partition by conv_id, g order by turn) as nth from turns where role = 'user')
        group by conv_id, g),
 ans as (select conv_id, g, text, length(text)::varchar || ' characters' as analysis from turns where role = 'assistant'),
-qa as (select qs.conv_id as doc_id, row_number() over (partition by qs.conv_id order by qs.g) - 1 as qa_idx,
+qa as (select qs.conv_id as doc_id, row_number() over (partition by qs.conv_id order by qs.g)::int - 1 as qa_idx,
          trim(q, '{SPACE}') as question, trim(coalesce(ans.text, ''), '{SPACE}') as answer,
          coalesce(analysis, '') as analysis
        from qs left join ans on ans.conv_id = qs.conv_id and ans.g = qs.g)"""

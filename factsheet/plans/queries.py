@@ -359,7 +359,7 @@ def _(spark, sf):
 @query("embed_text")
 def _(spark, sf):
     vectors = fs.embed_text(documents(spark, sf), "text", DIMENSION)
-    cells = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    cells = vectors.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
     return rounded(cells.filter("weight <> 0").withColumn("weight", F.col("weight").cast("double")), "weight")
 
 
