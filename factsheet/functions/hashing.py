@@ -13,6 +13,11 @@ from factsheet.functions.text import printed
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def decoded(path: Column) -> Column:
+    """A path or file name of ``_metadata``, which Spark gives URL-encoded, as it is on disk."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def source_id(file_name: Column, modified: Column, prefix: str = "") -> Column:
     """``<stem>_<8 hex digits>``: the same file always gets the same id, a changed one a new id."""
     stem = F.regexp_replace(F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", ""), " ", "_")

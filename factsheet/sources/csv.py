@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factsheet.functions.columns import ROW_INDEX, col
-from factsheet.functions.hashing import source_id
+from factsheet.functions.hashing import decoded, source_id
 from factsheet.functions.session import staging_path
 
 # Cells that mean "missing".
@@ -64,7 +64,7 @@ def _quoted_newlines(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     lines = spark.read.text(list(paths))
     quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
     odd = lines.filter(F.col("value").contains('"')).filter(quotes % 2 == 1)
-    return [r[0] for r in odd.select("_metadata.file_path").distinct().collect()]
+    return [r[0] for r in odd.select(decoded(F.col("_metadata.file_path"))).distinct().collect()]
 
 
 def _read_strings(spark: SparkSession, paths: Sequence[str], names: Sequence[str], multi_line: bool) -> DataFrame:
@@ -77,8 +77,8 @@ def _labelled(df: DataFrame, names: Sequence[str]) -> DataFrame:
     cells = [F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in names]
     return df.select(
         *cells,
-        F.col("_metadata.file_path").alias(_FILE),
-        F.col("_metadata.file_name").alias(_NAME),
+        decoded(F.col("_metadata.file_path")).alias(_FILE),
+        decoded(F.col("_metadata.file_name")).alias(_NAME),
         F.col("_metadata.file_modification_time").alias(_MODIFIED),
         F.col("_metadata.file_block_start").alias(_SPLIT),
         F.monotonically_increasing_id().alias(_POSITION),
@@ -146,7 +146,7 @@ def read_csv(
             frames.append(_labelled(_read_strings(spark, unsplit, names, True), names))
         rest = _labelled(_read_strings(spark, paths, names, False), names)
         if unsplit:
-            listed = {r[0] for r in spark.read.text(paths).select("_metadata.file_path").distinct().collect()}
+            listed = {r[0] for r in spark.read.text(paths).select(decoded(F.col("_metadata.file_path"))).distinct().collect()}
             others = sorted(listed - set(unsplit))
             rest = _labelled(_read_strings(spark, others, names, False), names) if others else None
         frames += [rest] if rest is not None else []

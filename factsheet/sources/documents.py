@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsheet.functions.hashing import source_id
+from factsheet.functions.hashing import decoded, source_id
 from factsheet.functions.session import staging_path
 
 _REPLACEMENT = "�"
@@ -34,7 +34,7 @@ def read_txt(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     raw = F.col("value")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), _REPLACEMENT, ""))
     return files.select(
-        F.col("_metadata.file_name").alias("filename"),
+        decoded(F.col("_metadata.file_name")).alias("filename"),
         F.col("_metadata.file_modification_time").alias("_modified"),
         F.regexp_replace(text, "\r\n?", "\n").alias("text"),
     ).select(_id(), "filename", F.lit("txt").alias("document_type"), "text")
@@ -92,7 +92,7 @@ def read_docx(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         .option("pathGlobFilter", "*.[dD][oO][cC][xX]")
         .option("recursiveFileLookup", True)
         .load(path if isinstance(path, str) else list(path))
-        .select(F.col("_metadata.file_name").alias("filename"), F.col("modificationTime").alias("_modified"), "content")
+        .select(decoded(F.col("_metadata.file_name")).alias("filename"), F.col("modificationTime").alias("_modified"), "content")
     )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
