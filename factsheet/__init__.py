@@ -24,7 +24,7 @@ from factsheet.operators.profile import (
 )
 from factsheet.operators.search import document_context, document_query, explain_row, nearest
 from factsheet.operators.select import compare_top, filter_rows, filter_threshold, sample_head, sort_data, top_n
-from factsheet.plans.ingest import ingest_documents, ingest_table
+from factsheet.plans.ingest import ingest_documents, ingest_table, load_files
 
 __all__ = [
     "Answer",
@@ -48,6 +48,7 @@ __all__ = [
     "ingest_table",
     "list_documents",
     "list_tables",
+    "load_files",
     "load_report",
     "nearest",
     "numeric_summary",

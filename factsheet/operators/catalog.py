@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsheet.functions.columns import ROW_INDEX, key_columns
+from factsheet.functions.columns import ROW_INDEX, col, key_columns
 from factsheet.operators.clean import clean_table
-from factsheet.operators.profile import table_fingerprint, table_profile
+from factsheet.operators.profile import profiles, table_fingerprint
 from factsheet.operators.select import sample_head
 
 # The supported questions.
@@ -30,10 +30,8 @@ def table_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One profile row per table, keyed by file id."""
     if not tables:
         raise ValueError("no data loaded")
-    profiles = [
-        table_profile(df, file_id, f"{file_id}.csv", skip=(ROW_INDEX, "file_id")) for file_id, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, profiles)
+    named = [(df, file_id, f"{file_id}.csv") for file_id, df in tables.items()]
+    return profiles(named, skip=(ROW_INDEX, "file_id"))
 
 
 def list_tables(catalog: DataFrame) -> DataFrame:
@@ -91,15 +89,16 @@ def load_report(
     tables: Mapping[str, DataFrame],
     keys: Mapping[str, str | Sequence[str]],
     documents: DataFrame | None = None,
+    errors: Mapping[str, str] | None = None,
     clean: bool = True,
 ) -> DataFrame:
-    """One row per loaded source: shape as read, shape after cleaning, fingerprint, type."""
+    """One row per source: status, shape as read, shape after cleaning, fingerprint, type, error."""
     parts = []
     for name, df in tables.items():
         keep = [c for c in df.columns if c not in (ROW_INDEX, "file_id")]
         cleaned = clean_table(df, key_columns(df, keys.get(name, ROW_INDEX))) if clean else df
         parts.append(
-            table_fingerprint(cleaned.select(*keep)).select(
+            table_fingerprint(cleaned.select(*map(col, keep))).select(
                 F.lit(name).alias("name"),
                 F.lit("success").alias("status"),
                 F.col("num_rows").alias("rows_read"),
@@ -108,6 +107,7 @@ def load_report(
                 F.lit(len(keep)).alias("columns_cleaned"),
                 "fingerprint",
                 F.lit("csv").alias("type"),
+                F.lit(None).cast("string").alias("error"),
             )
         )
     if documents is not None:
@@ -116,4 +116,11 @@ def load_report(
                 F.col("filename").alias("name"), F.lit("success").alias("status"), F.lit("document").alias("type")
             )
         )
+    if errors:
+        spark = (documents if documents is not None else next(iter(tables.values()))).sparkSession
+        failed = [
+            F.struct(F.lit(n).alias("name"), F.lit("error").alias("status"), F.lit(e).alias("error"))
+            for n, e in errors.items()
+        ]
+        parts.append(spark.range(1).select(F.inline(F.array(*failed))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,24 +33,51 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def table_profile(df: DataFrame, file_id: str, filename: str, skip: Sequence[str] = ()) -> DataFrame:
-    """One row: size of the table, its columns with their types, and the numeric/text split."""
+def description(df: DataFrame, file_id: str, filename: str, skip: Sequence[str] = ()) -> Column:
+    """What is known of a table without reading it: a constant struct."""
     fields = [f for f in df.schema.fields if f.name not in skip]
     numeric, text = split_columns(df, skip)
     types = [F.lit(x) for f in fields for x in (f.name, TYPE_NAMES.get(f.dataType.typeName(), "object"))]
-    return df.agg(F.count(F.lit(1)).alias("num_rows")).select(
+    return F.struct(
         F.lit(file_id).alias("file_id"),
         F.lit(filename).alias("filename"),
-        "num_rows",
         F.lit(len(fields)).alias("num_columns"),
         _strings([f.name for f in fields]).alias("columns"),
         F.create_map(*types).cast("map<string,string>").alias("column_types"),
         _strings(numeric).alias("numeric_columns"),
         _strings(text).alias("text_columns"),
-        F.current_timestamp().alias("ingestion_timestamp"),
     )
 
 
+def profiles(tables: Sequence[tuple[DataFrame, str, str]], skip: Sequence[str] = ()) -> DataFrame:
+    """One row per (table, file id, filename): its size, its columns with their types, the numeric/text split.
+
+    The rows of all tables are counted in one aggregation.
+    """
+    spark = tables[0][0].sparkSession
+    known = spark.range(1).select(F.inline(F.array(*[description(*t, skip) for t in tables])))
+    marks = [df.select(F.lit(file_id).alias("file_id")) for df, file_id, _ in tables]
+    counts = reduce(DataFrame.unionByName, marks).groupBy("file_id").agg(F.count(F.lit(1)).alias("num_rows"))
+    facts = [c for c in known.columns if c != "file_id"]
+    return (
+        known.unionByName(counts, allowMissingColumns=True)
+        .groupBy("file_id")
+        .agg(
+            *[F.first(c, ignorenulls=True).alias(c) for c in facts],
+            F.coalesce(F.max("num_rows"), F.lit(0)).alias("num_rows"),
+            F.current_timestamp().alias("ingestion_timestamp"),
+        )
+        .select(
+            "file_id", "filename", "num_rows", "num_columns", "columns", "column_types", "numeric_columns",
+            "text_columns", "ingestion_timestamp",
+        )
+    )
+
+
+def table_profile(df: DataFrame, file_id: str, filename: str, skip: Sequence[str] = ()) -> DataFrame:
+    return profiles([(df, file_id, filename)], skip)
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, small: int = SMALL) -> DataFrame:
     """(column, min, max, mean, median) with exact medians, all columns in one pass for the rest."""
     names = list(columns if columns is not None else split_columns(df)[0])

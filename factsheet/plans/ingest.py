@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from factsheet.functions.columns import ROW_INDEX
 from factsheet.functions.session import spread
+from factsheet.operators.catalog import load_report
 from factsheet.operators.clean import clean_table
 from factsheet.operators.documents import CHUNK_SIZE, OVERLAP, document_metadata, document_units
 from factsheet.operators.embed import DIMENSION, embed_text, row_units
@@ -38,14 +40,22 @@ def ingest_table(
 ) -> Loaded:
     """Read, clean and profile a CSV table; with ``vectors`` also store a vector per row and column."""
     rows = read_csv(spark, path, file_id).rows
-    own = ("file_id", ROW_INDEX)
+    table = store_table(rows, file_id, vectors, clean, exclude, dimension, buckets, encoder)
+    filename = path if isinstance(path, str) else path[0]
+    name = filename.rstrip("/").rsplit("/", 1)[-1]
+    return Loaded(table, table_profile(table, file_id, name, skip=("file_id", ROW_INDEX)))
+
+
+def store_table(rows, file_id, vectors, clean, exclude, dimension, buckets, encoder) -> DataFrame:
+    """The cleaned table; its units are embedded and stored where ``vectors`` names a folder."""
     table = clean_table(rows, ROW_INDEX, (*exclude, "file_id")) if clean else rows
-    names = [c for c in table.columns if c not in own]
     if vectors is not None:
-        units = embed_text(spread(row_units(table, file_id, ROW_INDEX, names)), "full_text", dimension, encoder=encoder)
-        add_vectors(units.drop("full_text"), vectors, dimension, buckets)
-    filename = path if isinstance(path, str) else path[0]
-    return Loaded(table, table_profile(table, file_id, filename.rstrip("/").rsplit("/", 1)[-1], skip=own))
+        units = row_units(table, file_id, ROW_INDEX)
+        add_vectors(
+            embed_text(spread(units), "full_text", dimension, encoder=encoder).drop("full_text"),
+            vectors, dimension, buckets,
+        )
+    return table
 
 
 def ingest_documents(
@@ -66,3 +76,42 @@ def ingest_documents(
             embed_text(units, "full_text", dimension, encoder=encoder).drop("full_text"), vectors, dimension, buckets
         )
     return Loaded(docs, document_metadata(docs, chunk_size=chunk_size, overlap=overlap))
+
+
+class LoadedFiles(NamedTuple):
+    tables: dict[str, DataFrame]
+    documents: DataFrame | None
+    report: DataFrame
+
+
+def load_files(
+    spark: SparkSession,
+    paths: Sequence[str],
+    vectors: str | None = None,
+    clean: bool = True,
+    dimension: int = DIMENSION,
+    encoder: Encoder | None = None,
+) -> LoadedFiles:
+    """Load CSV files as tables and the rest as documents; a file that fails is reported, not fatal.
+
+    ``vectors`` names a folder that receives two vector tables, ``tables`` and ``documents``.
+    """
+    raw, tables, documents, errors = {}, {}, [], {}
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        try:
+            if name.lower().endswith(".csv"):
+                file_id = name.rsplit(".", 1)[0].replace(" ", "_")
+                store = f"{vectors}/tables" if vectors else None
+                raw[name] = read_csv(spark, path, file_id).rows
+                tables[name] = store_table(raw[name], file_id, store, clean, (), dimension, BUCKETS, encoder)
+            else:
+                store = f"{vectors}/documents" if vectors else None
+                documents.append(ingest_documents(spark, path, store, dimension=dimension, encoder=encoder).data)
+        except Exception as e:
+            errors[name] = str(e).split("\n", 1)[0]
+            raw.pop(name, None)
+    docs = reduce(DataFrame.unionByName, documents) if documents else None
+    if not raw and docs is None:
+        raise ValueError(f"nothing could be loaded: {errors}")
+    return LoadedFiles(tables, docs, load_report(raw, {}, docs, errors, clean))

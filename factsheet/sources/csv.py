@@ -115,11 +115,15 @@ def _typed(name: str, dtype: str) -> Column:
     return c.alias(name) if dtype == "string" else F.trim(c).cast(dtype).alias(name)
 
 
-def _offsets(staged: DataFrame) -> DataFrame:
-    """Per file split: the position its first row has in the task, and in the file."""
-    splits = staged.groupBy(_FILE, _SPLIT).agg(F.min(_POSITION).alias("_base"), F.count(F.lit(1)).alias("_n"))
+def _splits(staged: DataFrame, file_id: Column) -> DataFrame:
+    """Per file split: its file's id, and the position of its first row in the task and in the file."""
+    splits = staged.groupBy(_FILE, _NAME, _MODIFIED, _SPLIT).agg(
+        F.min(_POSITION).alias("_base"), F.count(F.lit(1)).alias("_n")
+    )
     before = W.partitionBy(_FILE).orderBy(_SPLIT).rowsBetween(W.unboundedPreceding, -1)
-    return splits.select(_FILE, _SPLIT, "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return splits.select(
+        _FILE, _SPLIT, file_id.alias("file_id"), "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
 
 
 def read_csv(
@@ -159,12 +163,12 @@ def read_csv(
     staged = spark.read.parquet(*[f"{folder}/part={i}" for i in range(len(frames))])
 
     types = _inferred(staged, names)
-    offsets = _offsets(staged)
-    if offsets.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     given = F.lit(file_id) if file_id is not None else source_id(F.col(_NAME), F.col(_MODIFIED))
-    rows = staged.join(offsets, [_FILE, _SPLIT]).select(
-        given.alias("file_id"),
+    splits = _splits(staged, given)
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    rows = staged.join(splits, [_FILE, _SPLIT]).select(
+        "file_id",
         (F.col(_POSITION) - F.col("_base") + F.col("_before")).alias(ROW_INDEX),
         *[_typed(n, types[n]) for n in names],
     )

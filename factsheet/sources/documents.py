@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from factsheet.functions.hashing import decoded, source_id
 from factsheet.functions.session import staging_path
 
+TXT_FILES = "*.[tT][xX][tT]"
 _REPLACEMENT = "�"
 # Fixed value: the XML namespace of word-processing documents.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -24,13 +25,8 @@ def _id():
     return source_id(F.col("filename"), F.col("_modified"), "doc_").alias("file_id")
 
 
-def read_txt(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per ``.txt`` file: UTF-8 with undecodable bytes dropped, line ends as ``\\n``."""
-    files = (
-        spark.read.option("pathGlobFilter", "*.[tT][xX][tT]")
-        .option("recursiveFileLookup", True)
-        .text(path if isinstance(path, str) else list(path), wholetext=True)
-    )
+def txt_rows(files: DataFrame) -> DataFrame:
+    """Documents from whole text files: UTF-8 with undecodable bytes dropped, line ends as ``\\n``."""
     raw = F.col("value")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), _REPLACEMENT, ""))
     return files.select(
@@ -40,6 +36,16 @@ def read_txt(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     ).select(_id(), "filename", F.lit("txt").alias("document_type"), "text")
 
 
+def read_txt(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """One row per ``.txt`` file."""
+    files = (
+        spark.read.option("pathGlobFilter", TXT_FILES)
+        .option("recursiveFileLookup", True)
+        .text(path if isinstance(path, str) else list(path), wholetext=True)
+    )
+    return txt_rows(files)
+
+
 def docx_text(content: bytes) -> str:
     """Non-blank paragraphs, then the rows of all tables with their cells joined by `` | ``."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:

@@ -47,7 +47,7 @@ def read_vectors(spark: SparkSession, path: str, file_id: str | None = None, buc
     if file_id is not None:
         bucket = file_bucket(F.lit(file_id), buckets)
         table = table.filter((F.col(BUCKET) == bucket) & (F.col("file_id") == file_id))
-    return table.drop(BUCKET)
+    return table.drop(BUCKET, "batch")
 
 
 def vectors_of_file(vectors: DataFrame, file_id: str | int) -> DataFrame:

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from factsheet import ingest_documents, ingest_table
+from factsheet import ingest_documents, ingest_table, load_files
 from factsheet.sources.csv import header_names, read_csv
 from factsheet.sources.documents import find_document, read_documents, read_docx, read_txt
 from factsheet.sources.sinks import write_csv, write_json
@@ -180,3 +180,24 @@ def test_vector_table(spark, tmp_path):
         add_vectors(spark.createDataFrame([("a", [1.0])], df.schema), store, 2, buckets=4)
     with pytest.raises(Exception, match="dimension"):
         add_vectors(spark.createDataFrame([("a", None)], df.schema), store, 2, buckets=4)
+
+
+def test_load_files_reports_failures(spark, tmp_path):
+    paths = [
+        put(tmp_path / "a b.csv", "n,s\n1-,x\n2,y\n"),
+        put(tmp_path / "t.txt", "text"),
+        put(tmp_path / "bad.pdf", "x"),
+        str(tmp_path / "missing.csv"),
+    ]
+    loaded = load_files(spark, paths, str(tmp_path / "v"), dimension=8)
+    report = {r["name"]: r for r in loaded.report.collect()}
+    assert {n: (r["status"], r["type"]) for n, r in report.items()} == {
+        "a b.csv": ("success", "csv"), "t.txt": ("success", "document"),
+        "bad.pdf": ("error", None), "missing.csv": ("error", None),
+    }
+    assert "pdf" in report["bad.pdf"]["error"]
+    assert (report["a b.csv"]["rows_read"], report["a b.csv"]["columns_cleaned"]) == (2, 2)
+    assert [r["n"] for r in loaded.tables["a b.csv"].orderBy("_row_index").collect()] == [-1.0, 2.0]
+    assert list_stores(read_vectors(spark, str(tmp_path / "v" / "tables"))).first()["file_id"] == "a_b"
+    with pytest.raises(ValueError):
+        load_files(spark, paths[2:])
