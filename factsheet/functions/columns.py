@@ -17,6 +17,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def sql_text(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def texts(values: Sequence[str]) -> Column:
+    """A constant list of strings; one expression, however long the list."""
+    return F.expr(f"cast(array({', '.join(map(sql_text, values))}) as array<string>)")
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -88,8 +88,8 @@ def _next_with(segments: Column, marker: str) -> Column:
         return accumulator(at, F.concat(acc["o"], F.array(at)))
 
     backwards = F.reverse(F.sequence(F.lit(0), F.size(segments) - 1))
-    indices = F.when(F.size(segments) > 0, backwards).otherwise(F.array().cast("array<int>"))
-    return F.reverse(fold_emit(indices, F.lit(None).cast("int"), "int", step))
+    found = F.reverse(fold_emit(backwards, F.lit(None).cast("int"), "int", step))
+    return F.when(F.size(segments) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def _part(segments: Column, index: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsheet.functions.columns import col, measure, split_columns, value
+from factsheet.functions.columns import col, measure, split_columns, sql_text, texts, value
 from factsheet.functions.hashing import fingerprint, row_digest
 from factsheet.functions.text import printed
 from factsheet.operators.quantile import SMALL, median_exprs
@@ -29,23 +29,21 @@ TYPE_NAMES = {
 }
 
 
-def _strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
 def description(df: DataFrame, file_id: str, filename: str, skip: Sequence[str] = ()) -> Column:
     """What is known of a table without reading it: a constant struct."""
     fields = [f for f in df.schema.fields if f.name not in skip]
     numeric, text = split_columns(df, skip)
-    types = [F.lit(x) for f in fields for x in (f.name, TYPE_NAMES.get(f.dataType.typeName(), "object"))]
+    types = ", ".join(
+        f"{sql_text(f.name)}, {sql_text(TYPE_NAMES.get(f.dataType.typeName(), 'object'))}" for f in fields
+    )
     return F.struct(
         F.lit(file_id).alias("file_id"),
         F.lit(filename).alias("filename"),
         F.lit(len(fields)).alias("num_columns"),
-        _strings([f.name for f in fields]).alias("columns"),
-        F.create_map(*types).cast("map<string,string>").alias("column_types"),
-        _strings(numeric).alias("numeric_columns"),
-        _strings(text).alias("text_columns"),
+        texts([f.name for f in fields]).alias("columns"),
+        F.expr(f"cast(map({types}) as map<string,string>)").alias("column_types"),
+        texts(numeric).alias("numeric_columns"),
+        texts(text).alias("text_columns"),
     )
 
 
@@ -122,7 +120,7 @@ def categorical_summary(
     # Reads every column of ``counts``, so that both uses share one exchange.
     counted = (F.col("n") > 0) | F.col("seen").isNull() if key else F.col("n") > 0
     sizes = counts.groupBy("column").agg(F.count_if(counted).alias("distinct"))
-    every = df.sparkSession.range(1).select(F.explode(_strings(names)).alias("column"))
+    every = df.sparkSession.range(1).select(F.explode(texts(names)).alias("column"))
     return (
         best.unionByName(sizes, allowMissingColumns=True)
         .unionByName(every, allowMissingColumns=True)

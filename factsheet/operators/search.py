@@ -61,18 +61,23 @@ def _query_blocks(queries: DataFrame, query_id: str, vector: str, block_bytes: i
     most = max(1, block_bytes // (4 * max(1, dimension)))
     if len(start) <= min(most, FIRST_QUERIES):
         return [start], dimension
-    # Too many to fetch at once: store the vectors, then fetch block after block.
-    path = staging_path(queries.sparkSession, "queries")
-    wanted.write.parquet(path)
-    stored = queries.sparkSession.read.schema(wanted.schema).parquet(path)
+    # Too many to fetch at once: store the vectors by block, then fetch block after block.
+    spark = queries.sparkSession
+    path = staging_path(spark, "queries")
+    wanted.write.parquet(f"{path}/all")
+    stored = spark.read.schema(wanted.schema).parquet(f"{path}/all")
     total = stored.count()
-    n = 1 if total <= most else 2 * (total // most + 1)
-    while n > 1:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    if total <= most:
+        return [stored.toArrow()], dimension
+    n = 2 * (total // most + 1)
+    while True:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
         if stored.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] <= most:
             break
         n *= 2
-    blocks = [stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow() for b in range(n)]
+    stored.withColumn("block", block).repartition(F.col("block")).write.partitionBy("block").parquet(f"{path}/blocks")
+    parts = spark.read.parquet(f"{path}/blocks")
+    blocks = [parts.filter(F.col("block") == b).select("query_id", "vector").toArrow() for b in range(n)]
     return [b for b in blocks if len(b)], dimension
 
 

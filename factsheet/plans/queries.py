@@ -270,7 +270,7 @@ def _(spark, sf):
 
 @query("clean_numeric")
 def _(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"))
     return o.select(
         "o_orderkey",
         clean_number(F.col("o_orderpriority")).alias("priority"),

@@ -150,7 +150,9 @@ def read_csv(
             frames.append(_labelled(_read_strings(spark, unsplit, names, True), names))
         rest = _labelled(_read_strings(spark, paths, names, False), names)
         if unsplit:
-            listed = {r[0] for r in spark.read.text(paths).select(decoded(F.col("_metadata.file_path"))).distinct().collect()}
+            # Listing files this way reads none of their contents.
+            names_only = spark.read.format("binaryFile").load(paths).select(decoded(F.col("_metadata.file_path")))
+            listed = {r[0] for r in names_only.collect()}
             others = sorted(listed - set(unsplit))
             rest = _labelled(_read_strings(spark, others, names, False), names) if others else None
         frames += [rest] if rest is not None else []
