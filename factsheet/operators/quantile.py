@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factsheet.functions.columns import measure
 
-SMALL = 1 << 14
+SMALL = 1 << 16
 BUCKETS = 4096
 
 
@@ -21,11 +22,12 @@ def medians(
     """The exact median of each column.
 
     Up to ``small`` values the built-in ``median`` is used. Beyond that the range of a
-    column is cut into equal intervals, only the count, minimum and maximum of each
-    interval are kept, and the search goes on inside the interval that holds the middle
-    rank. An interval shrinks to its own minimum and maximum, so outliers cost one more
-    pass at most, and a value held by many rows ends the search at once. What reaches the
-    driver is one or two interval rows per column and pass.
+    column is cut into intervals, only the count, minimum and maximum of each interval are
+    kept, and the search goes on inside the interval that holds the middle rank. The first
+    cut is even on a logarithmic scale, so far outliers do not push all other values into
+    one interval; later cuts are even. An interval shrinks to its own minimum and maximum,
+    and a value held by many rows ends the search at once. What reaches the driver is one or
+    two interval rows per column and pass.
     """
     if not columns:
         return {}
@@ -79,65 +81,56 @@ def median_exprs(df: DataFrame, columns: Sequence[str], small: int = SMALL) -> d
     return {c: F.lit(m).cast("double") for c, m in medians(df, columns, small).items()}
 
 
-def _position(x: Column, lo: float, hi: float, buckets: int) -> Column:
-    """Interval number of x: 0 holds lo, ``buckets`` holds hi, infinities lie outside."""
+def _position(x: Column, lo: float, hi: float, buckets: int, logarithmic: bool) -> Column:
+    """Interval number of x, never falling as x grows; infinities lie outside."""
     if not lo < hi or math.isinf(lo):
         inside = F.lit(0)
     else:
-        scale = 1.0 if math.isfinite(hi - lo) else 0.5
-        width = hi * scale - lo * scale
-        inside = F.floor((x * scale - lo * scale) / width * buckets).cast("int")
+        if logarithmic:
+            low, high = (math.copysign(math.log1p(abs(e)), e) for e in (lo, hi))
+            at = F.signum(x) * F.log1p(F.abs(x))
+        else:
+            scale = 1.0 if math.isfinite(hi - lo) else 0.5
+            low, high, at = lo * scale, hi * scale, x * scale
+        inside = F.floor((at - low) / (high - low) * buckets).cast("int") if low < high else F.lit(0)
     return F.when(x < lo, -1).when(x > hi, buckets + 1).otherwise(inside)
 
 
 def _narrow(df, v, pending, small, buckets, open_ended):
-    brackets = {(c, lo, hi): n for (c, _), (_, lo, hi, n) in pending.items()}
-    ids = {b: i for i, b in enumerate(brackets)}
-    cells = []
+    """One pass per wanted interval: list its values if they are few, else cut it again.
+
+    Every interval is a scan of one column with its own aggregation, so the values of a
+    column go straight from the columnar file into the partial counts.
+    """
+    sizes = {(c, lo, hi): n for (c, _), (_, lo, hi, n) in pending.items()}
+    ids = {bracket: i for i, bracket in enumerate(sizes)}
+    ranks = {i: sorted({k for (c, _), (k, lo, hi, _) in pending.items() if ids[c, lo, hi] == i}) for i in ids.values()}
+    listings, cuts = [], []
     for (c, lo, hi), i in ids.items():
-        x = v[c]
-        inside = x.isNotNull() if open_ended else x.between(lo, hi)
-        # A bracket that is small enough is not cut again: its values are listed.
-        at = F.lit(0) if brackets[c, lo, hi] <= small and not open_ended else _position(x, lo, hi, buckets)
-        cells.append(F.when(inside, F.struct(F.lit(i).alias("b"), at.alias("at"), x.alias("x"))))
-    rows = df.select(F.explode(F.array(*cells)).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
-
-    listed = [i for (c, lo, hi), i in ids.items() if brackets[c, lo, hi] <= small and not open_ended]
-    wanted = {i: sorted({k for (c, _), (k, lo, hi, _) in pending.items() if ids[c, lo, hi] == i}) for i in ids.values()}
-    found, still = {}, {}
-    values = {}
-    if listed:
-        ranks = F.create_map(*[F.lit(y) for i in listed for y in (i, wanted[i])])
-        for r in (
-            rows.filter(F.col("b").isin(listed))
-            .groupBy("b")
-            .agg(F.sort_array(F.collect_list("x")).alias("xs"))
-            .select("b", F.transform(ranks[F.col("b")], lambda k: F.get("xs", k)).alias("xs"))
-            .collect()
-        ):
-            values.update({(r["b"], k): x for k, x in zip(wanted[r["b"]], r["xs"])})
-    cut = [i for i in ids.values() if i not in listed]
-    spans: dict[int, list] = {i: [] for i in cut}
-    if cut:
-        w = W.partitionBy("b").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-        intervals = (
-            rows.filter(F.col("b").isin(cut))
-            .groupBy("b", "at")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .withColumn("end", F.sum("n").over(w))
+        x = df.select(v[c].alias("x"))
+        x = x.filter(F.col("x").isNotNull() if open_ended else F.col("x").between(lo, hi))
+        if sizes[c, lo, hi] <= small and not open_ended:
+            values = x.agg(F.sort_array(F.collect_list("x")).alias("xs"))
+            at_ranks = F.array(*[F.get("xs", F.lit(k)) for k in ranks[i]])
+            listings.append(values.select(F.lit(i).alias("b"), at_ranks.alias("xs")))
+            continue
+        intervals = x.groupBy(_position(F.col("x"), lo, hi, buckets, open_ended).alias("at")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
         )
-        holds = [
-            (F.col("b") == i) & (F.col("end") - F.col("n") <= max(wanted[i])) & (F.col("end") > min(wanted[i]))
-            for i in cut
-        ]
-        test = holds[0]
-        for h in holds[1:]:
-            test = test | h
-        for r in intervals.filter(test).collect():
+        w = W.partitionBy("b").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+        ended = intervals.withColumn("b", F.lit(i)).withColumn("end", F.sum("n").over(w))
+        cuts.append(ended.filter((F.col("end") - F.col("n") <= ranks[i][-1]) & (F.col("end") > ranks[i][0])))
+    values, spans = {}, {i: [] for i in ids.values()}
+    if listings:
+        for r in reduce(DataFrame.unionByName, listings).collect():
+            values.update({(r["b"], k): x for k, x in zip(ranks[r["b"]], r["xs"])})
+    if cuts:
+        for r in reduce(DataFrame.unionByName, cuts).collect():
             spans[r["b"]].append(r)
+    found, still = {}, {}
     for target, (k, lo, hi, _) in pending.items():
         i = ids[target[0], lo, hi]
-        if i in listed:
+        if (i, k) in values:
             found[target] = values[i, k]
             continue
         r = next(r for r in spans[i] if r["end"] - r["n"] <= k < r["end"])
