@@ -1,5 +1,9 @@
 """Questions about tables and documents, answered by Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from factsheet.operators.answer import Answer
 from factsheet.operators.catalog import (
     catalog_summary,
@@ -26,6 +30,9 @@ from factsheet.operators.search import document_context, document_query, explain
 from factsheet.operators.select import compare_top, filter_rows, filter_threshold, sample_head, sort_data, top_n
 from factsheet.plans.ingest import ingest_documents, ingest_table, load_files
 
+# Task functions travel with their code, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "Answer",
     "catalog_summary",
