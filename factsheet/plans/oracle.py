@@ -26,7 +26,8 @@ select l_returnflag, round(avg(l_extendedprice), 4) as average from lineitem gro
 ORACLE["compare_averages_group_numbers"] = """
 with g as (select l_returnflag, avg(l_extendedprice) as m from lineitem group by l_returnflag)
 select (select round(avg(l_extendedprice), 4) from lineitem) as overall_average,
-       round(max(m), 4) as max_average, round(min(m), 4) as min_average
+       round(max(m), 4) as max_average, round(min(m), 4) as min_average,
+       string_agg(l_returnflag || '=' || m::decimal(18,2)::varchar, ',' order by l_returnflag) as average_by_l_returnflag
 from g"""
 
 ORACLE["compare_averages_single"] = """

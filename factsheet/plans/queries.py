@@ -95,7 +95,11 @@ def _(spark, sf):
 @query("compare_averages_group_numbers")
 def _(spark, sf):
     numbers = fs.compare_averages(table(spark, sf, "lineitem"), "l_extendedprice", group_by="l_returnflag").numbers
-    return rounded(numbers, *numbers.columns)
+    groups = F.map_entries("average_by_l_returnflag")
+    listed = joined(groups, lambda e: F.concat(e["key"], F.lit("="), two_digits(e["value"])))
+    return rounded(
+        numbers.withColumn("average_by_l_returnflag", listed), "overall_average", "max_average", "min_average"
+    )
 
 
 @query("compare_averages_single")

@@ -67,5 +67,8 @@ def test_group_limit_runs_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan(spark, name)
 
 
-def test_grouped_numbers_read_the_table_once(spark):
-    assert plan(spark, "compare_averages_group_numbers").count("FileScan parquet") == 1
+def test_grouped_numbers_share_one_aggregation(spark):
+    df = QUERIES["compare_averages_group_numbers"](spark, SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan parquet") == 1

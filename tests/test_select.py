@@ -113,7 +113,11 @@ def test_compare_averages_of_groups(spark):
     df = spark.createDataFrame([("b", 1.0), ("b", 3.0), ("a", NAN), (None, 11.0)], "k string, x double")
     answer = compare_averages(df, "x", group_by="k")
     assert [tuple(r) for r in answer.result.collect()] == [("a", None), ("b", 2.0)]
-    assert tuple(answer.numbers.first()) == (5.0, 2.0, 2.0)
+    n = answer.numbers.first()
+    assert (n["overall_average"], n["max_average"], n["min_average"]) == (5.0, 2.0, 2.0)
+    assert n["average_by_k"] == {"a": None, "b": 2.0}
+    few = compare_averages(df, "x", group_by="k", listed_groups=1).numbers.first()
+    assert few["average_by_k"] is None and few["overall_average"] == 5.0
 
 
 def test_group_keys_become_text(spark):
