@@ -34,6 +34,9 @@ CELLS = 1 << 22
 PARTITIONS_PER_MERGE = 1024
 BROADCAST_ROWS = 1_000_000
 CONTEXT_PAIRS = 3
+# The wording of a retrieval context.
+RELEVANCE = "[Relevance: %.2f] "
+PAIRS_HEADING = "\n\nRelevant Q&A pairs from analysis:\n"
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -332,7 +335,7 @@ def document_context(result: DataFrame) -> DataFrame:
 
     All passages with their relevance, and the first three hits that are question/answer pairs.
     """
-    line = F.concat(F.format_string("[Relevance: %.2f] ", F.col("similarity")), F.col("content"))
+    line = F.concat(F.format_string(RELEVANCE, F.col("similarity")), F.col("content"))
     pair = F.concat_ws(
         "\n",
         F.concat(F.lit("Q: "), F.col("question")),
@@ -342,7 +345,7 @@ def document_context(result: DataFrame) -> DataFrame:
     has_pair = (F.col("question") != "") & (F.col("answer") != "")
     listed = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), F.when(has_pair, pair).alias("pair"))))
     pairs = F.slice(F.filter(F.col("p.pair"), lambda x: x.isNotNull()), 1, CONTEXT_PAIRS)
-    block = F.concat(F.lit("\n\nRelevant Q&A pairs from analysis:\n"), F.array_join(pairs, "\n\n"))
+    block = F.concat(F.lit(PAIRS_HEADING), F.array_join(pairs, "\n\n"))
     return (
         result.groupBy("query_id")
         .agg(listed.alias("p"))

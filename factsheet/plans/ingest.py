@@ -9,14 +9,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from factsheet.functions.columns import ROW_INDEX
-from factsheet.functions.session import spread
+from factsheet.functions.session import spread, staged
 from factsheet.operators.catalog import load_report
 from factsheet.operators.clean import clean_table
 from factsheet.operators.documents import CHUNK_SIZE, OVERLAP, document_metadata, document_units
 from factsheet.operators.embed import DIMENSION, embed_text, row_units
 from factsheet.operators.profile import table_profile
 from factsheet.sources.csv import read_csv
-from factsheet.sources.documents import read_documents, stage_documents
+from factsheet.sources.documents import read_documents
 from factsheet.sources.vectors import BUCKETS, add_vectors
 
 Encoder = Callable[[Column], Column]
@@ -69,7 +69,8 @@ def ingest_documents(
     encoder: Encoder | None = None,
 ) -> Loaded:
     """Read documents and describe them; with ``vectors`` also store a vector per chunk and Q&A pair."""
-    docs = stage_documents(read_documents(spark, path))
+    # Written once to the shared folder, so that files are parsed a single time.
+    docs = staged(read_documents(spark, path), "documents")
     if vectors is not None:
         units = document_units(spread(docs), chunk_size=chunk_size, overlap=overlap)
         add_vectors(

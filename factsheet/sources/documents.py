@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsheet.functions.hashing import decoded, source_id
-from factsheet.functions.session import staging_path
 
 TXT_FILES = "*.[tT][xX][tT]"
 _REPLACEMENT = "�"
+# Fixed value: the line before the rows of tables.
+TABLES_HEADING = "\n\nTables:\n"
 # Fixed value: the XML namespace of word-processing documents.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -88,7 +89,7 @@ def docx_text(content: bytes) -> str:
             above = cells
             if any(cells):
                 rows.append(" | ".join(c for c in cells if c))
-    return "\n".join(lines) + ("\n\nTables:\n" + "\n".join(rows) if rows else "")
+    return "\n".join(lines) + (TABLES_HEADING + "\n".join(rows) if rows else "")
 
 
 def read_docx(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -135,13 +136,6 @@ def read_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [reader(spark, path) for reader in readers])
 
 
-def stage_documents(docs: DataFrame) -> DataFrame:
-    """Documents written once to the shared folder, so that files are parsed a single time."""
-    path = staging_path(docs.sparkSession, "documents")
-    docs.write.parquet(path)
-    return docs.sparkSession.read.schema(docs.schema).parquet(path)
-
-
 def find_document(documents: DataFrame, file_id: str) -> DataFrame:
     """Text, chunks or metadata rows of one document; works on any table with a ``file_id``."""
     return documents.filter(F.col("file_id") == file_id)
