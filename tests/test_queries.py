@@ -5,11 +5,12 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
-from factsheet.plans.queries import TABLES
+from __spark_entry__ import entry
+from factsheet.plans.oracle import ORACLE
+from factsheet.plans.queries import QUERIES, TABLES
 from tests.conftest import SMALL
 
-QUERIES, ORACLE = queries(), oracle_sql()
+
 
 
 @pytest.fixture(scope="module")
