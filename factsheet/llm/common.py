@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,6 +56,14 @@ def unit_hash(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def once(key, make: Callable):
+    """What ``make`` gives, made once for each Python process and kept for its later tasks."""
+    kept = sys.__dict__.setdefault("_factsheet_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def by_rows(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch of a frame."""
 

@@ -13,7 +13,6 @@ than the three named ones are never read.
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsheet.llm.common import STEP_CHARS, by_rows, picked, unit_hash
+from factsheet.llm.common import STEP_CHARS, by_rows, once, picked, unit_hash
 
 UNKNOWN = "und"
 BITS = 16
@@ -30,12 +29,8 @@ ORDERS = (2, 3, 4)
 
 
 def letters() -> np.ndarray:
-    """Whether each code point is a letter; made once for each process."""
-    table = getattr(sys, "_letter_table", None)
-    if table is None:
-        table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        sys._letter_table = table
-    return table
+    """Whether each code point is a letter."""
+    return once("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def codes(texts: list[str]) -> np.ndarray:

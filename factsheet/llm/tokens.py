@@ -17,6 +17,7 @@ stored as the least int64. Columns other than the two named ones are never read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -28,17 +29,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factsheet.llm.common import picked
+from factsheet.llm.common import once, picked
 
 MAGIC = b"FSTK"
 HEAD = "<4sIIQQQ"
 BLOCK_IDS = 1 << 13
 SHARD_IDS = 1 << 18
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+#: Characters that are encoded in one step, and new words handed to the tokenizer at once.
+STEP_CHARS = 1 << 18
+NEW_WORDS = 2048
 NULL_ID = -(1 << 63)
 TABLE = "part int, shard int, first_doc bigint, n_docs bigint, n_ids bigint, bytes binary"
 #: White space that no token of the vocabulary contains and no added token crosses.
 PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+LATIN = "a-zà-öø-ÿ"
+#: Texts of these characters alone are cut further, as the tokenizer's own pattern cuts them (fixed by the vocabulary).
+PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^ \t\n\r\x0b\x0c{LATIN}0-9]+")
 
 
 def bits(vocabulary: int) -> int:
@@ -109,14 +117,30 @@ class Shard:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+class Numbers(dict):
+    """Numbers new words as they are looked up, and lists them."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Ids of many texts at once.
 
-    Tokens never cross the white space of PIECE, so each piece is encoded alone, once, and looked up
-    afterwards. The cache is emptied when it holds CACHED_WORDS pieces.
+    No token crosses the white space of PIECE, nor, in plain Latin text, the bounds of WORD; so each
+    such word is encoded alone, once, and looked up afterwards. Texts with other characters, or with the
+    signs that added tokens begin with, are cut at white space only. The cache is emptied when it holds
+    CACHED_WORDS words.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -124,31 +148,44 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.number: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number = Numbers()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self):
+        flat, sizes = [self.flat], [self.sizes]
+        new, self.number.new = self.number.new, []
+        for at in range(0, len(new), NEW_WORDS):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + NEW_WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), self.flat.dtype, int(sizes[-1].sum())))
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id behind each text, and each text's end."""
         if len(self.number) > CACHED_WORDS:
             self.clear()
-        split = [PIECE.findall(t) for t in texts]
-        number = self.number
-        new = list(dict.fromkeys(p for p in chain.from_iterable(split) if p not in number))
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            base = len(number)
-            number.update(zip(new, range(base, base + len(new))))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        split = [WORD.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else PIECE.findall(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        piece = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        sizes = self.sizes[piece]
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.number.new:
+            self.learn()
+        sizes = self.sizes[word]
         ends_in = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        which = np.repeat(self.starts[piece] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        ids = self.flat[which]
-        return np.insert(ids, ends_in, end_id), ends_in + np.arange(1, len(texts) + 1)
+        which = np.repeat(self.starts[word] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.insert(self.flat[which].astype(np.uint32), ends_in, end_id), ends_in + np.arange(1, len(texts) + 1)
+
+
+def steps(texts: list[str]):
+    """Bounds of runs of about STEP_CHARS characters."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= STEP_CHARS:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -156,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
     rows = picked(docs, (doc_id, "doc_id"), (text, "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def write(batches):
-        encoder = Encoder(tokenizer)
+        encoder = once(("encoder", tokenizer), lambda: Encoder(tokenizer))
         width, part, shard = bits(encoder.vocabulary), TaskContext.get().partitionId(), 0
         names, ids, ends, size = [], [], [], 0
 
@@ -169,9 +206,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
         for batch in batches:
             keys = [NULL_ID if k is None else k for k in batch.column(0).to_pylist()]
             texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                got, end = encoder.encode(texts[at : at + 64], end_id)
-                names += keys[at : at + 64]
+            for at, to in steps(texts):
+                got, end = encoder.encode(texts[at:to], end_id)
+                names += keys[at:to]
                 ids.append(got)
                 ends.append(end + size)
                 size += len(got)
