@@ -27,6 +27,19 @@ def grams(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def labelled(found: np.ndarray) -> np.ndarray:
+    """Hashes with their occurrence number worked in: the n-th of equal hashes gets a value of its own."""
+    order = np.argsort(found, kind="stable")
+    ranked = found[order]
+    fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(found)]
+    if fresh.all():
+        return found
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(ranked)), 0))
+    number = np.empty(len(found), np.uint64)
+    number[order] = (np.arange(len(ranked)) - first).astype(np.uint64)
+    return np.where(number > 0, mixed(found + number * np.uint64(0xD1B54A32D192ED03)), found)
+
+
 def shared_words(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the two bags' intersection."""
     x, n = np.unique(a, return_counts=True)

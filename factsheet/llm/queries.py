@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsheet.llm import decontaminate, language, near_dup, oracle, pii, quality, tokens
+from factsheet.llm import decontaminate, language, near_dup, oracle, passages, pii, quality, tokens
 from factsheet.llm.common import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,8 +51,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op10_shared_passages": op10_shared_passages,
     "op4_token_output": op4_token_output,
     "op5_personal_data": op5_personal_data,
     "op7_language": op7_language,
