@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsheet.llm import decontaminate, language, near_dup, oracle, passages, pii, quality, tokens
+from factsheet.llm import decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, tokens
 from factsheet.llm.common import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,11 +55,27 @@ def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared_passages(read_table(spark, sf_dir, "documents"))
 
 
+#: Shares of the tokens that a mixture should have.
+TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.015, "low_toxic": 0.005}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.labelled_domains(read_table(spark, sf_dir, "labels"))
+    return mixing.mixing_rates(read_table(spark, sf_dir, "documents"), domains, TARGETS)
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentences", ",").alias("sentences"), "n_unknown")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op10_shared_passages": op10_shared_passages,
+    "op3_mixing": op3_mixing,
     "op4_token_output": op4_token_output,
     "op5_personal_data": op5_personal_data,
+    "op6_licences": op6_licences,
     "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
@@ -67,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_decontamination": oracle.OP1,
+    "op6_licences": licences.licences_sql(),
     "op8_quality": oracle.OP8,
 }
