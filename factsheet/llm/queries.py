@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsheet.llm import decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, tokens
+from factsheet.llm import decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, secrets, tokens
 from factsheet.llm.common import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 #: Shares of the tokens that a mixture should have.
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.015, "low_toxic": 0.005}
 
@@ -72,6 +76,7 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op10_shared_passages": op10_shared_passages,
+    "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_token_output": op4_token_output,
     "op5_personal_data": op5_personal_data,
