@@ -31,11 +31,11 @@ SENTENCES = (
     ("spdx_gpl2", r"spdx license identifier gpl 2\.0( only| or later)?"),
     ("spdx_gpl3", r"spdx license identifier gpl 3\.0( only| or later)?"),
     ("spdx_bsd3", r"spdx license identifier bsd 3 clause"),
-    ("apache2", rf"{_UNDER} under (the )?apache license,? (version )?2(\.0)?( \(the license\))?"),
+    ("apache2", rf"{_UNDER} under (the )?apache license,? (version )?2(\.0)?( the license)?"),
     ("apache_copy", r"you may obtain a copy of the license at.*"),
     ("apache_use", r"you may not use this file except in compliance with the license"),
     ("mit", rf"{_UNDER} under (the )?(terms of the )?mit license"),
-    ("mit_name", r"(the )?mit license( \(mit\))?"),
+    ("mit_name", r"(the )?mit license( mit)?"),
     ("mit_grant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy.*"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included.*"),
     ("as_is", r"the software is provided as is,? without warranty of any kind.*"),
@@ -59,7 +59,7 @@ SENTENCES = (
     ("cc_by", rf"{_UNDER} under (a |the )?(cc|creative commons)( license)? by( [0-9.]+)?"),
     ("cc0", r".*(cc0|dedicated to the public domain|released into the public domain).*"),
     ("rights", r"(.* )?all rights reserved"),
-    ("copyright", r"(.* )?(copyright|\(c\)) ?(\(c\) )?([0-9]{4}.*|by .*)"),
+    ("copyright", r"(.* )?(copyright|c) (c )?([0-9]{4}.*|by .*)"),
 )
 #: (licence, pattern over the sequence of identifiers, each ended by a semicolon); in order.
 RULES = (
@@ -95,7 +95,7 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     sentences = F.filter(F.split(F.regexp_replace(cued, END, "$1\n"), "\n"), lambda s: s.rlike(CUE))
 
     def normal(s):
-        s = F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.,()]+", " ")
+        s = F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.,]+", " ")
         return F.regexp_replace(F.regexp_replace(s, r"^[ .,]+|[ .,]+$", ""), r" +", " ")
 
     def known(s):
@@ -133,7 +133,7 @@ with s as (
     select doc_id, list_filter(string_split(regexp_replace(case when regexp_matches(text, {quoted(CUE)}) then text end, {quoted(END)}, '\1' || chr(10), 'g'), chr(10)),
         lambda s: regexp_matches(s, {quoted(CUE)})) as l from documents
 ), n as (
-    select doc_id, list_transform(l, lambda s: regexp_replace(regexp_replace(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}.,()]+', ' ', 'g'), '^[ .,]+|[ .,]+$', '', 'g'), ' +', ' ', 'g')) as l from s
+    select doc_id, list_transform(l, lambda s: regexp_replace(regexp_replace(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}.,]+', ' ', 'g'), '^[ .,]+|[ .,]+$', '', 'g'), ' +', ' ', 'g')) as l from s
 ), i as (
     select doc_id, coalesce(list_transform(l, lambda s: case {cases} else '?' end), []) as l from n
 ), q as (
