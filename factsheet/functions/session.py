@@ -12,17 +12,33 @@ SMALL_INPUT_BYTES = 1 << 30
 
 
 @functools.cache
-def _local_fallback() -> str:
+def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="factsheet-")
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (a local test) is a temporary folder used.
+    A session that names none gets a temporary folder if it runs in one process, and an error on a cluster,
+    where a folder of one machine would lose what other machines write.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_fallback()
-    return f"{base.rstrip('/')}/factsheet/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        base = _local_folder()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return base.rstrip("/")
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one; ``clear_staging`` removes what was staged."""
+    return f"{shared_folder(spark)}/factsheet/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staging(spark: SparkSession) -> bool:
+    """Remove everything staged below the shared folder; frames read from it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/factsheet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

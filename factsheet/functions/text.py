@@ -6,6 +6,7 @@ import math
 import unicodedata
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +30,22 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE))
 
 
-def stored_text(c: Column) -> Column:
-    """The prefix that is kept for display; vectors are always made from the full text."""
-    return F.substring(c, 1, STORED_TEXT_LIMIT)
+def stored_text(c: Column, limit: int | None = STORED_TEXT_LIMIT) -> Column:
+    """The prefix that is kept for display, or all with None; vectors are always made from the full text."""
+    return c if limit is None else F.substring(c, 1, limit)
+
+
+def fixed_text(c: Column, digits: int) -> Column:
+    """A double with so many decimals as Python prints it, ties decided by its exact value.
+
+    Spark rounds the shortest decimal form half up, which differs. Meant for the few figures of an answer.
+    """
+
+    @F.arrow_udf(T.StringType())
+    def fixed(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{digits}f}" for v in values.to_pylist()], pa.string())
+
+    return fixed(c.cast("double"))
 
 
 def clean_number(c: Column) -> Column:

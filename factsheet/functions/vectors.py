@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factsheet.functions.text import fixed_text
+
 _ROWS_PER_BLOCK = 1024
 
 
@@ -40,7 +42,7 @@ def cosine(distance: Column) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    return F.format_string("%.4f", score)
+    return fixed_text(score, 4)
 
 
 def dense_counts(buckets: Column, dimension: int) -> Column:

@@ -89,10 +89,15 @@ def load_report(
     tables: Mapping[str, DataFrame],
     keys: Mapping[str, str | Sequence[str]],
     documents: DataFrame | None = None,
-    errors: Mapping[str, str] | None = None,
+    errors: Mapping[str, tuple[str, str]] | None = None,
     clean: bool = True,
+    ids: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per source: status, shape as read, shape after cleaning, fingerprint, type, error."""
+    """One row per source: file id, status, shape as read, shape after cleaning, fingerprint, type, error.
+
+    ``errors`` has (type, message) of what failed; ``ids`` the file ids of tables, by default their names.
+    Cleaning changes cells only, so both shapes come from one pass over the cleaned table.
+    """
     parts = []
     for name, df in tables.items():
         keep = [c for c in df.columns if c not in (ROW_INDEX, "file_id")]
@@ -100,6 +105,7 @@ def load_report(
         parts.append(
             table_fingerprint(cleaned.select(*map(col, keep))).select(
                 F.lit(name).alias("name"),
+                F.lit((ids or {}).get(name, name)).alias("file_id"),
                 F.lit("success").alias("status"),
                 F.col("num_rows").alias("rows_read"),
                 F.lit(len(keep)).alias("columns_read"),
@@ -113,14 +119,19 @@ def load_report(
     if documents is not None:
         parts.append(
             documents.select(
-                F.col("filename").alias("name"), F.lit("success").alias("status"), F.lit("document").alias("type")
+                F.col("filename").alias("name"),
+                F.col("file_id").cast("string").alias("file_id"),
+                F.lit("success").alias("status"),
+                F.lit("document").alias("type"),
             )
         )
     if errors:
         spark = (documents if documents is not None else next(iter(tables.values()))).sparkSession
         failed = [
-            F.struct(F.lit(n).alias("name"), F.lit("error").alias("status"), F.lit(e).alias("error"))
-            for n, e in errors.items()
+            F.struct(
+                F.lit(n).alias("name"), F.lit("error").alias("status"), F.lit(kind).alias("type"), F.lit(e).alias("error")
+            )
+            for n, (kind, e) in errors.items()
         ]
         parts.append(spark.range(1).select(F.inline(F.array(*failed))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsheet.functions.columns import measure, require, require_numeric, side_by_side, value
+from factsheet.functions.columns import measure, require, require_numeric, value
 from factsheet.functions.text import printed
 from factsheet.operators.answer import Answer
 
-LISTED_GROUPS = 1000
-
 
 def compare_averages(
     df: DataFrame,
@@ -18,12 +16,13 @@ def compare_averages(
     other: DataFrame | None = None,
     group_by: str | None = None,
     names: tuple[str, str] = ("file1", "file2"),
-    listed_groups: int = LISTED_GROUPS,
 ) -> Answer:
     if other is not None:
+        if names[0] == names[1]:
+            raise ValueError("the two tables need different names")
         return _two_tables(df, other, column, names)
     if group_by is not None:
-        return _groups(df, column, group_by, listed_groups)
+        return _groups(df, column, group_by)
     return _single(df, column)
 
 
@@ -48,11 +47,10 @@ def _two_tables(df1: DataFrame, df2: DataFrame, column: str, names: tuple[str, s
     return Answer(result, numbers)
 
 
-def _groups(df: DataFrame, column: str, group_by: str, listed_groups: int) -> Answer:
+def _groups(df: DataFrame, column: str, group_by: str) -> Answer:
     """Mean per key; rows without a key count in the overall mean only.
 
-    The numbers list the means too when there are at most ``listed_groups`` of them (null
-    beyond that); the result has them all.
+    The result is the list of all means, however many there are; the numbers are the figures over it.
 
     Both frames start from the same partial sums, one row per key, so a key that holds a
     large share of the rows is reduced before the shuffle.
@@ -73,15 +71,7 @@ def _groups(df: DataFrame, column: str, group_by: str, listed_groups: int) -> An
         F.max(F.when(named, F.col("average"))).alias("max_average"),
         F.min(F.when(named, F.col("average"))).alias("min_average"),
     )
-    if not listed_groups:
-        return Answer(result, figures)
-    # One group more than wanted, and the one without a key, show that there are too many to
-    # list. No filter stands before the limit, so both figures read the same aggregation.
-    few = means.limit(listed_groups + 2)
-    entry = F.struct(printed(F.col("key"), df.schema[group_by].dataType), "average")
-    entries = F.array_sort(F.collect_list(F.when(named, entry)))
-    listed = F.when(F.count("key") <= listed_groups, F.map_from_entries(entries))
-    return Answer(result, side_by_side(few.agg(listed.alias(f"average_by_{group_by}")), figures))
+    return Answer(result, figures)
 
 
 def _single(df: DataFrame, column: str) -> Answer:

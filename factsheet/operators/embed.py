@@ -43,12 +43,16 @@ def row_units(
     columns: Sequence[str] | None = None,
     with_summaries: bool = True,
 ) -> DataFrame:
-    """The units of a table that get a vector: one per row, and one per column (row_idx -1)."""
+    """The units of a table that get a vector: one per row, and one per column (row_idx -1).
+
+    Rows of a table that has a ``file_id`` column keep theirs; ``file_id`` names the others and the
+    summaries.
+    """
     require(df, key)
     names = list(columns if columns is not None else [c for c in df.columns if c not in (ROW_INDEX, "file_id")])
     full = row_text(df, names)
     rows = df.select(
-        F.lit(file_id).alias("file_id"),
+        (F.coalesce(F.col("file_id").cast("string"), F.lit(file_id)) if "file_id" in df.columns else F.lit(file_id)).alias("file_id"),
         col(key).cast("bigint").alias("row_idx"),
         F.lit(None).cast("string").alias("column_name"),
         F.lit(True).alias("is_row_vector"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from factsheet.functions.columns import col, measure, split_columns, sql_text, texts, value
 from factsheet.functions.hashing import fingerprint, row_digest
-from factsheet.functions.text import printed
+from factsheet.functions.text import fixed_text, printed
 from factsheet.operators.quantile import SMALL, median_exprs
 
 # Names a data-frame user knows for the types a CSV can hold.
@@ -163,7 +163,7 @@ def column_summaries(
                     F.lit(", Max: "),
                     F.coalesce(printed(F.col(f"hi{i}"), df.schema[c].dataType), nan),
                     F.lit(", Mean: "),
-                    F.when(F.col(f"mean{i}").isNotNull(), F.format_string("%.2f", F.col(f"mean{i}"))).otherwise(nan),
+                    F.when(F.col(f"mean{i}").isNotNull(), fixed_text(F.col(f"mean{i}"), 2)).otherwise(nan),
                     F.lit(", Median: "),
                     F.coalesce(printed(F.col(f"mid{i}"), T.DoubleType()), nan),
                 ).alias("summary"),

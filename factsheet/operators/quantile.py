@@ -21,9 +21,9 @@ def medians(
 ) -> dict[str, float | None]:
     """The exact median of each column.
 
-    Up to ``small`` values the built-in ``median`` is used. Beyond that the range of a
-    column is cut into intervals, only the count, minimum and maximum of each interval are
-    kept, and the search goes on inside the interval that holds the middle rank. The first
+    The range of a column is cut into intervals, only the count, minimum and maximum of each
+    interval are kept, and the search goes on inside the interval that holds the middle rank;
+    an interval of at most ``small`` values is listed. The first
     cut is even on a logarithmic scale, so far outliers do not push all other values into
     one interval; later cuts are even. An interval shrinks to its own minimum and maximum,
     and a value held by many rows ends the search at once. What reaches the driver is one or
@@ -46,10 +46,6 @@ def medians(
     ).first()
     counts = {c: facts[f"n{i}"] for i, c in enumerate(columns)}
     answer: dict[str, float | None] = {c: None for c in columns if counts[c] == 0}
-    direct = [c for c in columns if 0 < counts[c] <= small]
-    if direct:
-        row = df.agg(*[F.median(v[c]).alias(f"m{i}") for i, c in enumerate(direct)]).first()
-        answer.update({c: row[f"m{i}"] for i, c in enumerate(direct)})
 
     pending: dict[tuple[str, int], tuple[int, float, float, int]] = {}
     for i, c in enumerate(columns):
@@ -72,12 +68,7 @@ def medians(
 
 
 def median_exprs(df: DataFrame, columns: Sequence[str], small: int = SMALL) -> dict[str, Column]:
-    """An expression for each column's median, to be used inside an aggregation of ``df``.
-
-    A small table gets the built-in function, so all its figures come from one pass.
-    """
-    if df.count() <= small:
-        return {c: F.median(measure(df, c).cast("double")) for c in columns}
+    """Each column's median as an expression, to be used inside an aggregation of ``df``."""
     return {c: F.lit(m).cast("double") for c, m in medians(df, columns, small).items()}
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from factsheet.functions.columns import ROW_INDEX, col, require
 from factsheet.functions.session import staging_path
+from factsheet.functions.text import fixed_text
 from factsheet.functions.vectors import score_text, similarity
 from factsheet.operators.answer import Answer
 
@@ -35,7 +36,8 @@ PARTITIONS_PER_MERGE = 1024
 BROADCAST_ROWS = 1_000_000
 CONTEXT_PAIRS = 3
 # The wording of a retrieval context.
-RELEVANCE = "[Relevance: %.2f] "
+RELEVANCE = ("[Relevance: ", "] ")
+PAIR_LABELS = ("Q: ", "A: ", "Analysis: ")
 PAIRS_HEADING = "\n\nRelevant Q&A pairs from analysis:\n"
 
 
@@ -72,13 +74,10 @@ def _query_blocks(queries: DataFrame, query_id: str, vector: str, block_bytes: i
     total = stored.count()
     if total <= most:
         return [stored.toArrow()], dimension
+    # Dealt out by turns, so that blocks are even whatever the ids are.
     n = 2 * (total // most + 1)
-    while True:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
-        if stored.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] <= most:
-            break
-        n *= 2
-    stored.withColumn("block", block).repartition(F.col("block")).write.partitionBy("block").parquet(f"{path}/blocks")
+    dealt = stored.repartition(n).withColumn("block", F.spark_partition_id())
+    dealt.write.partitionBy("block").parquet(f"{path}/blocks")
     parts = spark.read.parquet(f"{path}/blocks")
     blocks = [parts.filter(F.col("block") == b).select("query_id", "vector").toArrow() for b in range(n)]
     return [b for b in blocks if len(b)], dimension
@@ -185,6 +184,8 @@ def _nearest(corpus, queries, k, ids, vector, query_id, query_vector, keep, file
     if file_id is not None:
         corpus = corpus.filter(F.col("file_id") == file_id)
     kept = list(dict.fromkeys([*ids, *keep]))
+    if not queries.groupBy(col(query_id)).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{query_id} is not unique")
     blocks, dimension = _query_blocks(queries, query_id, query_vector, block_bytes)
     rows = corpus.select(*[col(c) for c in kept], col(vector).alias("_vector"))
     out = T.StructType(
@@ -244,9 +245,9 @@ def explain_row(
         raise ValueError("not the units of a table: no column is_row_vector")
     require(df, key)
     pool = units.filter("is_row_vector") if rows_only else units
-    ids = ["row_idx", "column_name"]
+    ids = ["file_id", "row_idx", "column_name"]
     hits, n_queries = _nearest(
-        pool, queries, top_k, ids, "embedding", query_id, "embedding", ["is_row_vector", "file_id"], file_id,
+        pool, queries, top_k, ids, "embedding", query_id, "embedding", ["is_row_vector"], file_id,
         QUERY_BLOCK_BYTES,
     )
     rows = hits.filter("is_row_vector").select(
@@ -256,7 +257,13 @@ def explain_row(
     # At most top_k rows per query: broadcast while that is a bounded number of rows.
     picked = F.broadcast(rows) if n_queries * top_k <= BROADCAST_ROWS else rows
     table = df.withColumn("_row_index", col(key).cast("bigint"))
-    result = table.join(picked.drop("_file"), "_row_index").select(
+    # Positions are unique within a file only.
+    same = ["_row_index"]
+    if "file_id" in df.columns:
+        picked, same = picked.withColumnRenamed("_file", "file_id"), ["file_id", "_row_index"]
+    else:
+        picked = picked.drop("_file")
+    result = table.join(picked, same).select(
         "query_id", "rank", *[col(c) for c in df.columns if c != "_row_index"], "_row_index", "_similarity_score"
     )
     pairs = F.array_sort(F.collect_list(F.struct("rank", "_row_index", "_similarity_score")))
@@ -330,21 +337,21 @@ def document_numbers(result: DataFrame, queries: DataFrame, query_id: str = "que
     )
 
 
-def document_context(result: DataFrame) -> DataFrame:
+def document_context(result: DataFrame, context_pairs: int = CONTEXT_PAIRS) -> DataFrame:
     """(query_id, context_text, qa_context): what an answer to each query can be read from.
 
-    All passages with their relevance, and the first three hits that are question/answer pairs.
+    All passages with their relevance, and the first ``context_pairs`` hits that are question/answer pairs.
     """
-    line = F.concat(F.format_string(RELEVANCE, F.col("similarity")), F.col("content"))
+    line = F.concat(F.lit(RELEVANCE[0]), fixed_text(F.col("similarity"), 2), F.lit(RELEVANCE[1]), F.col("content"))
     pair = F.concat_ws(
         "\n",
-        F.concat(F.lit("Q: "), F.col("question")),
-        F.concat(F.lit("A: "), F.col("answer")),
-        F.when(F.col("analysis") != "", F.concat(F.lit("Analysis: "), F.col("analysis"))),
+        F.concat(F.lit(PAIR_LABELS[0]), F.col("question")),
+        F.concat(F.lit(PAIR_LABELS[1]), F.col("answer")),
+        F.when(F.col("analysis") != "", F.concat(F.lit(PAIR_LABELS[2]), F.col("analysis"))),
     )
     has_pair = (F.col("question") != "") & (F.col("answer") != "")
     listed = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), F.when(has_pair, pair).alias("pair"))))
-    pairs = F.slice(F.filter(F.col("p.pair"), lambda x: x.isNotNull()), 1, CONTEXT_PAIRS)
+    pairs = F.slice(F.filter(F.col("p.pair"), lambda x: x.isNotNull()), 1, context_pairs)
     block = F.concat(F.lit(PAIRS_HEADING), F.array_join(pairs, "\n\n"))
     return (
         result.groupBy("query_id")

@@ -6,6 +6,7 @@ tables ingested from CSV carry ``_row_index``. Ties are always broken by the key
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,8 @@ def _predicate(df: DataFrame, column: str, op: str, threshold: float) -> Column:
     require_numeric(df, column)
     dtype = df.schema[column].dataType.typeName()
     c = col(column).cast("int") if dtype == "boolean" else col(column)
+    if dtype in ("byte", "short", "integer", "long"):
+        return _integral(c, op, float(threshold))
     test = COMPARISONS[op](c, F.lit(float(threshold)))
     # Spark orders NaN above every number; a missing value only ever satisfies !=.
     if op in (">", ">=", "==") and dtype in ("double", "float"):
@@ -50,18 +53,39 @@ def _predicate(df: DataFrame, column: str, op: str, threshold: float) -> Column:
     return test
 
 
+def _integral(c: Column, op: str, threshold: float) -> Column:
+    """A comparison of integers with an integer, which is exact and reaches the scan.
+
+    Compared with a double, Spark would cast the column, and round it beyond 2^53.
+    """
+    if op == "!=":
+        return ~c.eqNullSafe(F.lit(int(threshold))) if threshold.is_integer() and abs(threshold) < 2**63 else F.lit(True)
+    if math.isnan(threshold) or (op == "==" and not threshold.is_integer()):
+        return F.lit(False)
+    if abs(threshold) >= 2**63:
+        above = (threshold > 0) == (op in ("<", "<="))
+        return c.isNotNull() if above and op != "==" else F.lit(False)
+    bound = math.ceil(threshold) if op in ("<", ">=") else math.floor(threshold)
+    return COMPARISONS[op](c, F.lit(bound).cast("bigint"))
+
+
 def filter_rows(df: DataFrame, column: str, op: str, threshold: float) -> DataFrame:
     """Every matching row; the comparison reaches the parquet scan as a pushed filter."""
     return df.filter(_predicate(df, column, op, threshold))
 
 
 def filter_threshold(
-    df: DataFrame, column: str, op: str, threshold: float, key: str | Sequence[str] = ROW_INDEX
+    df: DataFrame,
+    column: str,
+    op: str,
+    threshold: float,
+    key: str | Sequence[str] = ROW_INDEX,
+    first_rows: int = FIRST_ROWS,
 ) -> Answer:
-    """The first 100 matching rows in row order, and how many rows match."""
+    """The first ``first_rows`` matching rows in row order, and how many rows match."""
     keys = key_columns(df, key)
     test = _predicate(df, column, op, threshold)
-    first = df.filter(test).orderBy(*[col(k) for k in keys]).limit(FIRST_ROWS)
+    first = df.filter(test).orderBy(*[col(k) for k in keys]).limit(first_rows)
     counts = df.agg(
         F.count(F.lit(1)).alias("total_rows"), F.count_if(test).alias("filtered_rows")
     ).select(

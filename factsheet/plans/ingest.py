@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -97,22 +98,28 @@ def load_files(
 
     ``vectors`` names a folder that receives two vector tables, ``tables`` and ``documents``.
     """
-    raw, tables, documents, errors = {}, {}, [], {}
-    for path in paths:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
+    paths = [p.rstrip("/") for p in paths]
+    bases = [p.rsplit("/", 1)[-1] for p in paths]
+    raw, tables, documents, errors, ids = {}, {}, [], {}, {}
+    for path, base in zip(paths, bases):
+        # Files of the same name in several folders are told apart by their paths.
+        name = base if bases.count(base) == 1 else path
+        is_table = base.lower().endswith(".csv")
         try:
-            if name.lower().endswith(".csv"):
-                file_id = name.rsplit(".", 1)[0].replace(" ", "_")
+            if is_table:
+                ids[name] = base.rsplit(".", 1)[0].replace(" ", "_")
+                if name != base:
+                    ids[name] += "_" + hashlib.md5(path.encode()).hexdigest()[:8]
                 store = f"{vectors}/tables" if vectors else None
-                raw[name] = read_csv(spark, path, file_id).rows
-                tables[name] = store_table(raw[name], file_id, store, clean, (), dimension, BUCKETS, encoder)
+                raw[name] = read_csv(spark, path, ids[name]).rows
+                tables[name] = store_table(raw[name], ids[name], store, clean, (), dimension, BUCKETS, encoder)
             else:
                 store = f"{vectors}/documents" if vectors else None
                 documents.append(ingest_documents(spark, path, store, dimension=dimension, encoder=encoder).data)
         except Exception as e:
-            errors[name] = str(e).split("\n", 1)[0]
+            errors[name] = ("csv" if is_table else "document", str(e).split("\n", 1)[0])
             raw.pop(name, None)
     docs = reduce(DataFrame.unionByName, documents) if documents else None
     if not raw and docs is None:
         raise ValueError(f"nothing could be loaded: {errors}")
-    return LoadedFiles(tables, docs, load_report(raw, {}, docs, errors, clean))
+    return LoadedFiles(tables, docs, load_report(tables, {}, docs, errors, False, ids))

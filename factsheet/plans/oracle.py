@@ -26,9 +26,12 @@ select l_returnflag, round(avg(l_extendedprice), 4) as average from lineitem gro
 ORACLE["compare_averages_group_numbers"] = """
 with g as (select l_returnflag, avg(l_extendedprice) as m from lineitem group by l_returnflag)
 select (select round(avg(l_extendedprice), 4) from lineitem) as overall_average,
-       round(max(m), 4) as max_average, round(min(m), 4) as min_average,
-       string_agg(l_returnflag || '=' || m::decimal(18,2)::varchar, ',' order by l_returnflag) as average_by_l_returnflag
+       round(max(m), 4) as max_average, round(min(m), 4) as min_average
 from g"""
+ORACLE["compare_averages_many_groups"] = """
+select o_custkey::varchar as o_custkey, round(avg(o_totalprice), 4) as average from orders group by 1"""
+for _name, _test in {"integer": ">= 3", "fraction": "> 3.5", "beyond_doubles": "< 9007199254740994", "not_equal": "is distinct from 7"}.items():
+    ORACLE[f"filter_bigint_{_name}"] = f"select event_id, user_id from events where user_id {_test}"
 
 ORACLE["compare_averages_single"] = """
 with s as (select avg(l_extendedprice) as a, stddev_samp(l_extendedprice) as s, min(l_extendedprice) as lo,
@@ -364,6 +367,11 @@ from embeddings"""
 ORACLE["vector_store_round_trip"] = """
 select vec_id, 'f' || label as file_id, len(embedding)::int as dimension, 1.0::double as norm from embeddings"""
 
+ORACLE["vector_store_one_file"] = """
+select vec_id, 'f' || label as file_id, 1.0::double as norm from embeddings where label = 3"""
+ORACLE["vector_store_reload"] = """
+select 'f' || label as file_id, count(*) filter (where label <> 3 or vec_id % 2 = 0) as num_vectors from embeddings group by label"""
+
 _UNITS = f"""
 units as (select 'customer' as file_id, c_custkey as row_idx, null::varchar as column_name, true as is_row_vector,
     {_ROW} as full_text from customer
@@ -472,20 +480,31 @@ ORACLE["sample_head"] = "select * from customer order by c_custkey limit 3"
 
 def _report(name: str, source: str) -> str:
     columns = [n for n, _ in _columns(name)]
-    return f"""select '{name}' as name, 'success' as status, num_rows as rows_read, {len(columns)} as columns_read,
- num_rows as rows_cleaned, {len(columns)} as columns_cleaned, fingerprint, 'csv' as type
+    return f"""select '{name}' as name, '{name}' as file_id, 'success' as status, num_rows as rows_read, {len(columns)} as columns_read,
+ num_rows as rows_cleaned, {len(columns)} as columns_cleaned, fingerprint, 'csv' as type, null::varchar as error
 from ({_fingerprint(source, columns)})"""
 
 
 ORACLE["load_report"] = (
-    _report("customer", "customer") + " union all " + _report("part", f"({ORACLE['clean_table']})")
+    _report("customer", "customer")
+    + " union all " + _report("part", f"({ORACLE['clean_table']})")
+    + """ union all select 'd' || doc_id, doc_id::varchar, 'success', null, null, null, null, null, 'document', null from documents
+ union all select 'broken.csv', null, 'error', null, null, null, null, null, 'csv', 'no rows'"""
+)
+ORACLE["load_report_all_tables"] = " union all ".join(
+    f"""select '{t}' as name, '{t}' as file_id, 'success' as status, count(*) as rows_read, {len(_columns(t))} as columns_read,
+ 'csv' as type from {t}"""
+    for t in TABLES
 )
 
 # Files
 
 ORACLE["csv_round_trip"] = """
 select 'part' as file_id, p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part"""
-ORACLE["csv_row_positions"] = "select true as gapless, count(*) as num_rows from orders"
+ORACLE["csv_row_positions"] = """
+select 'orders' as file_id, row_number() over (order by o_orderkey) - 1 as _row_index, o_orderkey, o_custkey, o_orderstatus,
+       o_totalprice, o_orderpriority from orders"""
+ORACLE["csv_odd_headers"] = "select p_partkey, p_name from part"
 ORACLE["json_round_trip"] = "select * from customer"
 ORACLE["txt_round_trip"] = f"""
 with recursive {_chunks("(select item_id as doc_id, text from benchmark)")}

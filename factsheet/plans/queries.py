@@ -95,11 +95,13 @@ def _(spark, sf):
 @query("compare_averages_group_numbers")
 def _(spark, sf):
     numbers = fs.compare_averages(table(spark, sf, "lineitem"), "l_extendedprice", group_by="l_returnflag").numbers
-    groups = F.map_entries("average_by_l_returnflag")
-    listed = joined(groups, lambda e: F.concat(e["key"], F.lit("="), two_digits(e["value"])))
-    return rounded(
-        numbers.withColumn("average_by_l_returnflag", listed), "overall_average", "max_average", "min_average"
-    )
+    return rounded(numbers, "overall_average", "max_average", "min_average")
+
+
+@query("compare_averages_many_groups")
+def _(spark, sf):
+    """Thousands of groups, all of them listed."""
+    return rounded(fs.compare_averages(table(spark, sf, "orders"), "o_totalprice", group_by="o_custkey").result, "average")
 
 
 @query("compare_averages_single")
@@ -146,6 +148,20 @@ def _(spark, sf):
     )
 
 
+BIGINT_THRESHOLDS = {"integer": (">=", 3.0), "fraction": (">", 3.5), "beyond_doubles": ("<", 2.0**53 + 2), "not_equal": ("!=", 7.0)}
+
+
+def _bigint_filters(name: str, op: str, threshold: float) -> None:
+    @query(f"filter_bigint_{name}")
+    def _(spark, sf):
+        rows = fs.filter_rows(table(spark, sf, "events").select("event_id", "user_id"), "user_id", op, threshold)
+        return rows.select("event_id", "user_id")
+
+
+for _name, (_op, _threshold) in BIGINT_THRESHOLDS.items():
+    _bigint_filters(_name, _op, _threshold)
+
+
 @query("sort_asc")
 def _(spark, sf):
     return fs.sort_data(gapped_events(spark, sf), "value", key="event_id").result
@@ -419,6 +435,27 @@ def _(spark, sf):
     return back.select("vec_id", "file_id", F.size("embedding").alias("dimension"), F.round(norm, 4).alias("norm"))
 
 
+@query("vector_store_one_file")
+def _(spark, sf):
+    """One file's vectors from a table written with other than unit vectors and the default number of buckets."""
+    path = staging_path(spark, "vectors")
+    scaled = F.transform("embedding", lambda x: (x * 3).cast("float"))
+    add_vectors(vectors_of(spark, sf).withColumn("embedding", scaled).withColumn("file_id", F.concat(F.lit("f"), "file_id")), path, 64, buckets=8)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return read_vectors(spark, path, "f3").select("vec_id", "file_id", F.round(norm, 4).alias("norm"))
+
+
+@query("vector_store_reload")
+def _(spark, sf):
+    """The same files loaded twice, some a third time: each counts once."""
+    path = staging_path(spark, "vectors")
+    vectors = vectors_of(spark, sf).withColumn("file_id", F.concat(F.lit("f"), "file_id"))
+    add_vectors(vectors, path, 64)
+    add_vectors(vectors, path, 64, buckets=8)
+    add_vectors(vectors.filter("file_id = 'f3' and vec_id % 2 = 0"), path, 64)
+    return list_stores(read_vectors(spark, path))
+
+
 def row_queries(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("c_nationkey "), F.col("n_nationkey").cast("string"), F.lit(" c_mktsegment BUILDING"))
     return fs.embed_text(
@@ -551,8 +588,17 @@ def _(spark, sf):
 
 @query("load_report")
 def _(spark, sf):
-    report = fs.load_report({name: table(spark, sf, name) for name in KEYS if name != "orders"}, KEYS)
-    return report.drop("error")
+    """Two cleaned tables, all documents, and a file that failed."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("d"), "doc_id").alias("filename"))
+    tables = {name: table(spark, sf, name) for name in ("customer", "part")}
+    return fs.load_report(tables, KEYS, docs, {"broken.csv": ("csv", "no rows")})
+
+
+@query("load_report_all_tables")
+def _(spark, sf):
+    """Shape of every table, as read."""
+    report = fs.load_report({name: table(spark, sf, name) for name in TABLES}, {}, clean=False)
+    return report.select("name", "file_id", "status", "rows_read", "columns_read", "type")
 
 
 # Files: tables written by the sinks and read back
@@ -568,16 +614,28 @@ def _(spark, sf):
 
 @query("csv_row_positions")
 def _(spark, sf):
-    """Row positions of a re-read table: 0 to n-1 in every file."""
+    """Every row's position in a table that is re-read from several files under one id."""
     path = staging_path(spark, "csv-out")
-    write_csv(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), path)
-    rows = read_csv(spark, path).rows
-    per_file = rows.groupBy("file_id").agg(
-        F.min("_row_index").alias("low"), F.max("_row_index").alias("high"),
-        F.count(F.lit(1)).alias("n"), F.count_distinct("_row_index").alias("d"),
-    )
-    gapless = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("d") == F.col("n"))
-    return per_file.agg(F.bool_and(gapless).alias("gapless"), F.sum("n").alias("num_rows"))
+    write_csv(table(spark, sf, "orders").select(*ORDER_COLUMNS).repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return read_csv(spark, path, "orders").rows
+
+
+@query("csv_odd_headers")
+def _(spark, sf):
+    """Files with a blank first line, a line break in the header, and swapped columns are one table."""
+    path = staging_path(spark, "csv-out")
+    part = table(spark, sf, "part")
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    forms = (
+        ("\n\"key\nof part\",name\n", F.concat_ws(",", key, name)),
+        ("name,\"key\nof part\"\n", F.concat_ws(",", name, key)),
+        ("\"key\nof part\",name\n", F.concat_ws(",", key, F.concat(F.lit('"'), name, F.lit('"')))),
+    )
+    for i, (header, line) in enumerate(forms):
+        lines = part.filter(F.col("p_partkey") % 3 == i).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
+        lines.select(F.concat(F.lit(header), "t")).coalesce(1).write.text(f"{path}/{i}")
+    rows = read_csv(spark, [f"{path}/{i}" for i in range(3)], "part").rows
+    return rows.select(F.col("`key\nof part`").alias("p_partkey"), F.col("name").alias("p_name"))
 
 
 @query("json_round_trip")

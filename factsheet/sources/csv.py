@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import csv as _csv
 import io
+import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsheet.functions.columns import ROW_INDEX, col
+from factsheet.functions.columns import ROW_INDEX
 from factsheet.functions.hashing import decoded, source_id
-from factsheet.functions.session import staging_path
+from factsheet.functions.session import staged, staging_path
 
 # Cells that mean "missing".
 NA_TOKENS = (
@@ -35,7 +37,10 @@ BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 # Row offsets are broadcast only up to this many file splits, else they are joined by shuffle.
 BROADCAST_SPLITS = 500_000
 
-_FILE, _NAME, _MODIFIED, _SPLIT, _POSITION = "_file", "_name", "_modified", "_split", "_position"
+# A header may break over so many lines.
+HEAD_LINES = 100
+
+_FILE, _NAME, _MODIFIED, _SPLIT, _POSITION, _EXTRA = "_file", "_name", "_modified", "_split", "_position", "_extra"
 
 
 class CsvTable(NamedTuple):
@@ -45,38 +50,71 @@ class CsvTable(NamedTuple):
     files: DataFrame
 
 
+def _fields(head: str) -> list[str]:
+    """The raw fields of the first record of a text; it may have line breaks inside quotes."""
+    return next((r for r in _csv.reader(io.StringIO(head.lstrip("\ufeff"))) if r), [])
+
+
 def header_names(line: str) -> list[str]:
-    """Column names of a header line; repeated names get .1, .2 and empty ones ``Unnamed: i``."""
-    names, seen = [], set()
-    for i, raw in enumerate(next(_csv.reader(io.StringIO(line.lstrip("﻿"))), [])):
+    """Column names of a header; repeated names get .1, .2 and empty ones ``Unnamed: i``.
+
+    Names count as repeated whatever their case, as Spark sees them, and so do names that would
+    hide the columns which a read adds.
+    """
+    names, seen = [], {"file_id", ROW_INDEX}
+    for i, raw in enumerate(_fields(line)):
         base = raw if raw else f"Unnamed: {i}"
         name, n = base, 0
-        while name in seen:
+        while name.lower() in seen:
             n += 1
             name = f"{base}.{n}"
-        seen.add(name)
+        seen.add(name.lower())
         names.append(name)
     return names
 
 
-def _quoted_newlines(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Files in which some line has an odd number of quotes: those cannot be split by line."""
-    lines = spark.read.text(list(paths))
+def _heads(spark: SparkSession, paths: Sequence[str], multi_line: bool | None) -> DataFrame:
+    """Per file: its header's names as JSON, and whether some line has an odd number of quotes.
+
+    A file with odd lines has line breaks inside quotes and can't be split by line; its header is read
+    from its first ``HEAD_LINES`` lines, that of the others from the first line that isn't blank.
+    """
     quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
-    odd = lines.filter(F.col("value").contains('"')).filter(quotes % 2 == 1)
-    return [r[0] for r in odd.select(decoded(F.col("_metadata.file_path"))).distinct().collect()]
+    lines = spark.read.text(list(paths)).filter(F.trim("value") != "").select(
+        decoded(F.col("_metadata.file_path")).alias(_FILE),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        "value",
+        (F.col("value").contains('"') & (quotes % 2 == 1)).alias("odd"),
+    )
+    first = lines.groupBy(_FILE).agg(F.min_by("value", "at").alias("head"), F.max("odd").alias("odd"))
+    first = staged(first, "heads")
+    if multi_line is not None:
+        first = first.withColumn("odd", F.lit(multi_line))
+    odd = first.filter("odd").select(F.col(_FILE).alias("_odd"))
+    top = lines.join(odd, lines[_FILE] == odd["_odd"], "left_semi")
+    top = top.withColumn("n", F.row_number().over(W.partitionBy(_FILE).orderBy("at"))).filter(F.col("n") <= HEAD_LINES)
+    whole = top.groupBy(_FILE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "value")))["value"], "\n").alias("head"))
+    heads = first.filter("not odd").select(_FILE, "head", "odd").unionByName(whole.select(_FILE, "head", F.lit(True).alias("odd")))
+
+    @F.arrow_udf(T.StringType())
+    def names(heads: pa.Array) -> pa.Array:
+        return pa.array([json.dumps(header_names(h)) for h in heads.to_pylist()], pa.string())
 
+    return staged(heads.select(_FILE, "odd", names("head").alias("names")), "heads")
 
-def _read_strings(spark: SparkSession, paths: Sequence[str], names: Sequence[str], multi_line: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+def _read_strings(spark: SparkSession, paths: Sequence[str], width: int, multi_line: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(_EXTRA, T.StringType())])
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", True)
     return reader.option("multiLine", multi_line).csv(list(paths))
 
 
-def _labelled(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    cells = [F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in names]
+def _labelled(df: DataFrame, order: Sequence[int]) -> DataFrame:
+    """Cells c0, c1, ... in the table's order; ``order`` says where the file has them."""
+    cells = [F.when(~F.col(f"c{k}").isin(*NA_TOKENS), F.col(f"c{k}")).alias(f"c{i}") for i, k in enumerate(order)]
     return df.select(
         *cells,
+        F.col(_EXTRA).isNotNull().alias(_EXTRA),
         decoded(F.col("_metadata.file_path")).alias(_FILE),
         decoded(F.col("_metadata.file_name")).alias(_NAME),
         F.col("_metadata.file_modification_time").alias(_MODIFIED),
@@ -87,15 +125,17 @@ def _labelled(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def _inferred(staged: DataFrame, names: Sequence[str]) -> dict[str, str]:
     checks = []
-    for i, n in enumerate(names):
-        c = col(n)
+    for i in range(len(names)):
+        c = F.col(f"c{i}")
         checks += [
             F.count(c).alias(f"n{i}"),
             F.count_if(c.rlike(INTEGER) & F.trim(c).try_cast("bigint").isNotNull()).alias(f"int{i}"),
             F.count_if(c.rlike(FLOATING)).alias(f"float{i}"),
             F.count_if(c.isin(*BOOLEAN)).alias(f"bool{i}"),
         ]
-    row = staged.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
+    row = staged.agg(F.count(F.lit(1)).alias("rows"), F.count_if(_EXTRA).alias("long"), *checks).first()
+    if row["long"]:
+        raise ValueError(f"{row['long']} rows have more fields than the header's {len(names)}")
     types = {}
     for i, n in enumerate(names):
         filled, gaps = row[f"n{i}"], row[f"n{i}"] < row["rows"]
@@ -110,69 +150,79 @@ def _inferred(staged: DataFrame, names: Sequence[str]) -> dict[str, str]:
     return types
 
 
-def _typed(name: str, dtype: str) -> Column:
-    c = col(name)
+def _typed(i: int, name: str, dtype: str) -> Column:
+    c = F.col(f"c{i}")
     return c.alias(name) if dtype == "string" else F.trim(c).cast(dtype).alias(name)
 
 
-def _splits(staged: DataFrame, file_id: Column) -> DataFrame:
-    """Per file split: its file's id, and the position of its first row in the task and in the file."""
+def _splits(staged: DataFrame, file_id: Column, across: bool) -> DataFrame:
+    """Per file split: its file's id, and the position of its first row in the task and in the table.
+
+    ``across`` numbers the rows of all files together, in the order of their paths: files under one id.
+    """
     splits = staged.groupBy(_FILE, _NAME, _MODIFIED, _SPLIT).agg(
         F.min(_POSITION).alias("_base"), F.count(F.lit(1)).alias("_n")
     )
-    before = W.partitionBy(_FILE).orderBy(_SPLIT).rowsBetween(W.unboundedPreceding, -1)
+    order = W.orderBy(_FILE, _SPLIT) if across else W.partitionBy(_FILE).orderBy(_SPLIT)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
     return splits.select(
         _FILE, _SPLIT, file_id.alias("file_id"), "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
 
 
+def _groups(spark: SparkSession, paths: Sequence[str], multi_line: bool | None) -> tuple[list[str], list[tuple]]:
+    """The table's column names, and (files, order of columns, multi_line) for each way of reading.
+
+    Only distinct headers reach the driver, and names of files only where they must be read apart.
+    """
+    heads = _heads(spark, paths, multi_line)
+    kinds = [(json.loads(r["names"]), r["odd"]) for r in heads.groupBy("names", "odd").agg(F.min(_FILE).alias("f")).orderBy("f").collect()]
+    if not kinds:
+        raise ValueError(f"no rows in {paths}")
+    names = kinds[0][0]
+    for other, _ in kinds:
+        if sorted(other) != sorted(names):
+            raise ValueError(f"files have different headers: {names} and {other}")
+    if len(kinds) == 1:
+        return names, [(list(paths), range(len(names)), kinds[0][1])]
+    groups = []
+    for other, odd in kinds:
+        files = [r[0] for r in heads.filter((F.col("names") == json.dumps(other)) & (F.col("odd") == odd)).select(_FILE).collect()]
+        groups.append((files, [other.index(n) for n in names], odd))
+    return names, groups
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     file_id: str | None = None,
     multi_line: bool | None = None,
 ) -> CsvTable:
-    """Read CSV files that share one header.
+    """Read CSV files of one table; their headers must have the same names, in any order.
 
     Integers become bigint (double when the column has gaps), other numbers double,
-    True/False columns without gaps boolean; dates stay text. ``multi_line`` of None finds
-    the files with line breaks inside quotes and reads only those unsplit.
+    True/False columns without gaps boolean; dates stay text. Rows with fewer fields are filled with
+    nulls; rows with more are an error. ``multi_line`` of None finds the files with line breaks inside
+    quotes and reads only those unsplit. With a given ``file_id`` the rows of all files are numbered
+    together, else each file on its own.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    head = spark.read.text(paths).first()
-    if head is None:
-        raise ValueError(f"no rows in {paths}")
-    names = header_names(head["value"])
-    if multi_line is None:
-        unsplit = _quoted_newlines(spark, paths)
-        frames = []
-        if unsplit:
-            frames.append(_labelled(_read_strings(spark, unsplit, names, True), names))
-        rest = _labelled(_read_strings(spark, paths, names, False), names)
-        if unsplit:
-            # Listing files this way reads none of their contents.
-            names_only = spark.read.format("binaryFile").load(paths).select(decoded(F.col("_metadata.file_path")))
-            listed = {r[0] for r in names_only.collect()}
-            others = sorted(listed - set(unsplit))
-            rest = _labelled(_read_strings(spark, others, names, False), names) if others else None
-        frames += [rest] if rest is not None else []
-    else:
-        frames = [_labelled(_read_strings(spark, paths, names, multi_line), names)]
+    names, groups = _groups(spark, paths, multi_line)
     folder = staging_path(spark, "csv")
     # Positions are numbered per scan, so each way of reading is staged on its own.
-    for i, frame in enumerate(frames):
-        frame.write.parquet(f"{folder}/part={i}")
-    staged = spark.read.parquet(*[f"{folder}/part={i}" for i in range(len(frames))])
+    for i, (files, order, odd) in enumerate(groups):
+        _labelled(_read_strings(spark, files, len(names), odd), order).write.parquet(f"{folder}/part={i}")
+    staged = spark.read.parquet(*[f"{folder}/part={i}" for i in range(len(groups))])
 
     types = _inferred(staged, names)
     given = F.lit(file_id) if file_id is not None else source_id(F.col(_NAME), F.col(_MODIFIED))
-    splits = _splits(staged, given)
+    splits = _splits(staged, given, file_id is not None)
     if splits.count() <= BROADCAST_SPLITS:
         splits = F.broadcast(splits)
     rows = staged.join(splits, [_FILE, _SPLIT]).select(
         "file_id",
         (F.col(_POSITION) - F.col("_base") + F.col("_before")).alias(ROW_INDEX),
-        *[_typed(n, types[n]) for n in names],
+        *[_typed(i, n, types[n]) for i, n in enumerate(names)],
     )
     files = (
         staged.groupBy(_FILE, _NAME, _MODIFIED)

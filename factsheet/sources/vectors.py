@@ -7,6 +7,8 @@ in which the sorted ``file_id`` lets row groups be skipped.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,13 @@ from factsheet.functions.vectors import checked, l2_normalize
 
 BUCKETS = 64
 BUCKET = "file_bucket"
+# The number of buckets and the load are part of the path, so that a reader needs to know neither.
+LOAD, COUNT = "_load", "_buckets"
 
 
-def file_bucket(file_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(file_id.cast("string")), F.lit(buckets)).cast("int")
+def file_bucket(file_id: Column, buckets: int | Column) -> Column:
+    count = buckets if isinstance(buckets, Column) else F.lit(buckets)
+    return F.pmod(F.xxhash64(file_id.cast("string")), count).cast("int")
 
 
 def add_vectors(
@@ -28,9 +33,14 @@ def add_vectors(
     buckets: int = BUCKETS,
     embedding: str = "embedding",
     mode: str = "append",
+    load: int | None = None,
 ) -> None:
     """Append unit-length vectors; a missing vector or a wrong dimension fails the write.
 
+    Every call writes a load of its own, numbered by time unless ``load`` is given (an existing load
+    is overwritten), and readers take the vectors of a file from its latest load. So loading a file
+    again replaces its vectors.
+
     The rebalance hint groups a bucket's rows into few files and lets AQE cut a bucket that
     one large file makes heavy.
     """
@@ -38,16 +48,24 @@ def add_vectors(
     unit = l2_normalize(checked(F.col(embedding), dimension))
     rows = vectors.withColumn(embedding, unit).withColumn(BUCKET, file_bucket(F.col("file_id"), buckets))
     balanced = rows.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, "file_id")
-    balanced.write.mode(mode).partitionBy(BUCKET).parquet(path)
+    number = time.time_ns() // 1000 if load is None else load
+    mode = mode if load is None else "overwrite"
+    balanced.write.mode(mode).partitionBy(BUCKET).parquet(f"{path}/{LOAD}={number}/{COUNT}={buckets}")
 
 
-def read_vectors(spark: SparkSession, path: str, file_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """All vectors, or those of one file: one bucket is opened and the id reaches the scan."""
+def read_vectors(spark: SparkSession, path: str, file_id: str | None = None) -> DataFrame:
+    """All vectors, or those of one file: one bucket is opened and the id reaches the scan.
+
+    Of a file that was loaded several times the latest load counts; it is found from the narrow
+    (file, load) pairs.
+    """
     table = spark.read.parquet(path)
     if file_id is not None:
-        bucket = file_bucket(F.lit(file_id), buckets)
+        bucket = file_bucket(F.lit(file_id), F.col(COUNT))
         table = table.filter((F.col(BUCKET) == bucket) & (F.col("file_id") == file_id))
-    return table.drop(BUCKET, "batch")
+    latest = table.groupBy(F.col("file_id").alias("_file")).agg(F.max(LOAD).alias("_latest"))
+    current = table.join(latest, (F.col("file_id") == F.col("_file")) & (F.col(LOAD) == F.col("_latest")), "left_semi")
+    return current.drop(BUCKET, COUNT, LOAD)
 
 
 def vectors_of_file(vectors: DataFrame, file_id: str | int) -> DataFrame:

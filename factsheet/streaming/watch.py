@@ -48,7 +48,7 @@ def watch_documents(
     def load(batch: DataFrame, batch_id: int) -> None:
         units = document_units(spread(batch), chunk_size=chunk_size, overlap=overlap)
         embedded = embed_text(units, "full_text", dimension).drop("full_text")
-        add_vectors(embedded, f"{vectors}/batch={batch_id}", dimension, buckets, mode="overwrite")
+        add_vectors(embedded, vectors, dimension, buckets, load=batch_id)
 
     return _start(txt_rows(files), load, checkpoint, once)
 

@@ -166,3 +166,22 @@ def test_document_numbers_without_hits(spark):
     queries = spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<float>")
     n = document_query(units, queries).numbers.first()
     assert (n["num_results"], n["avg_similarity"], n["file_ids"]) == (0, 0.0, [])
+
+
+def test_explain_row_joins_within_a_file(spark):
+    rows = [("a", 0, "red pen"), ("b", 0, "blue ink"), ("b", 1, "red pencil")]
+    table = spark.createDataFrame(rows, "file_id string, _row_index bigint, name string")
+    units = embed_text(row_units(table, "none", with_summaries=False), "full_text", 512)
+    queries = embed_text(spark.createDataFrame([(1, "name blue ink")], "query_id int, q string"), "q", 512)
+    result = explain_row(table, units, queries, 1).result.collect()
+    assert [(r["file_id"], r["_row_index"], r["name"]) for r in result] == [("b", 0, "blue ink")]
+    twice = queries.unionAll(queries)
+    with pytest.raises(ValueError, match="unique"):
+        nearest(units, twice, 1, ["file_id", "row_idx"])
+
+
+def test_even_blocks_whatever_the_ids(spark):
+    rng = np.random.default_rng(1)
+    corpus, queries = frame(spark, rng.normal(size=(40, 4))), rng.normal(size=(50, 4))
+    got = found(nearest(corpus, frame(spark, queries, "query_id"), 3, block_bytes=16 * 7))
+    assert len(got) == 50

@@ -1,6 +1,8 @@
+import operator
+
 import pytest
 
-from factsheet import compare_averages, compare_top, filter_threshold, sample_head, sort_data, top_n
+from factsheet import compare_averages, compare_top, filter_rows, filter_threshold, sample_head, sort_data, top_n
 
 NAN = float("nan")
 
@@ -115,9 +117,23 @@ def test_compare_averages_of_groups(spark):
     assert [tuple(r) for r in answer.result.collect()] == [("a", None), ("b", 2.0)]
     n = answer.numbers.first()
     assert (n["overall_average"], n["max_average"], n["min_average"]) == (5.0, 2.0, 2.0)
-    assert n["average_by_k"] == {"a": None, "b": 2.0}
-    few = compare_averages(df, "x", group_by="k", listed_groups=1).numbers.first()
-    assert few["average_by_k"] is None and few["overall_average"] == 5.0
+    with pytest.raises(ValueError, match="different names"):
+        compare_averages(df, "x", df, names=("a", "a"))
+
+
+@pytest.mark.parametrize("op", [">", ">=", "<", "<=", "==", "!="])
+@pytest.mark.parametrize("threshold", [3.0, 3.5, -3.5, 2.0**53, 2.0**63, -(2.0**70), NAN, float("inf")])
+def test_integers_are_compared_exactly(spark, op, threshold):
+    values = [None, -4, -3, 3, 4, 2**53, 2**53 + 1, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    compare = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq, "!=": operator.ne}[op]
+    expected = [v for v in values if (op == "!=" if v is None else compare(v, threshold))]
+    assert [r["x"] for r in filter_rows(df, "x", op, threshold).collect()] == expected
+
+
+def test_integer_filters_are_pushed(spark, table):
+    plan = filter_rows(table("lineitem"), "l_partkey", ">", 3.5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(l_partkey,3)" in plan
 
 
 def test_group_keys_become_text(spark):

@@ -1,10 +1,12 @@
 import json
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from factsheet import ingest_documents, ingest_table, load_files
+from factsheet.functions.session import staging_path
 from factsheet.sources.csv import header_names, read_csv
 from factsheet.sources.documents import find_document, read_documents, read_docx, read_txt
 from factsheet.sources.sinks import write_csv, write_json
@@ -149,7 +151,7 @@ def test_ingest_documents_stores_vectors(spark, tmp_path):
     meta = {r["filename"]: r for r in loaded.metadata.collect()}
     assert meta["a.txt"]["num_qa_pairs"] == 1 and not meta["b.txt"]["has_questions"]
     fid = meta["a.txt"]["file_id"]
-    vectors = read_vectors(spark, store, fid, buckets=4)
+    vectors = read_vectors(spark, store, fid)
     assert sorted(r["chunk_type"] for r in vectors.collect()) == ["qa_pair", "text"]
     assert find_document(loaded.data, fid).first()["filename"] == "a.txt"
     assert [r["num_vectors"] for r in list_stores(read_vectors(spark, store)).collect()] == [2, 1]
@@ -162,7 +164,7 @@ def test_ingest_table_cleans_and_stores_vectors(spark, tmp_path):
     assert [tuple(r) for r in loaded.data.orderBy("_row_index").collect()] == [("f", 0, "pen", -1.0), ("f", 1, "cup", 2.5)]
     meta = loaded.metadata.first()
     assert meta["filename"] == "my prices.csv" and meta["numeric_columns"] == ["price"] and meta["num_rows"] == 2
-    units = read_vectors(spark, store, "f", buckets=4).collect()
+    units = read_vectors(spark, store, "f").collect()
     assert sorted((r["row_idx"], r["column_name"]) for r in units) == [(-1, "item"), (-1, "price"), (0, None), (1, None)]
 
 
@@ -170,12 +172,13 @@ def test_vector_table(spark, tmp_path):
     store = str(tmp_path / "v")
     df = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0])], "file_id string, embedding array<float>")
     add_vectors(df, store, 2, buckets=4)
-    add_vectors(df.filter("file_id = 'a'"), store, 2, buckets=4)
-    got = [[round(x, 6) for x in r["embedding"]] for r in read_vectors(spark, store, "a", 4).collect()]
-    assert got == [[0.6, 0.8]] * 2
-    assert read_vectors(spark, store, "b", 4).first()["embedding"] == [0.0, 0.0]
-    plan = read_vectors(spark, store, "a", 4)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(file_bucket" in plan and "EqualTo(file_id,a)" in plan
+    # Loading a file again replaces its vectors, whatever the number of buckets was.
+    add_vectors(df.filter("file_id = 'a'"), store, 2, buckets=8)
+    got = [[round(x, 6) for x in r["embedding"]] for r in read_vectors(spark, store, "a").collect()]
+    assert got == [[0.6, 0.8]] and read_vectors(spark, store).count() == 2
+    assert read_vectors(spark, store, "b").first()["embedding"] == [0.0, 0.0]
+    plan = read_vectors(spark, store, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "file_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(file_id,a)" in plan
     with pytest.raises(Exception, match="dimension"):
         add_vectors(spark.createDataFrame([("a", [1.0])], df.schema), store, 2, buckets=4)
     with pytest.raises(Exception, match="dimension"):
@@ -193,7 +196,7 @@ def test_load_files_reports_failures(spark, tmp_path):
     report = {r["name"]: r for r in loaded.report.collect()}
     assert {n: (r["status"], r["type"]) for n, r in report.items()} == {
         "a b.csv": ("success", "csv"), "t.txt": ("success", "document"),
-        "bad.pdf": ("error", None), "missing.csv": ("error", None),
+        "bad.pdf": ("error", "document"), "missing.csv": ("error", "csv"),
     }
     assert "pdf" in report["bad.pdf"]["error"]
     assert (report["a b.csv"]["rows_read"], report["a b.csv"]["columns_cleaned"]) == (2, 2)
@@ -201,3 +204,49 @@ def test_load_files_reports_failures(spark, tmp_path):
     assert list_stores(read_vectors(spark, str(tmp_path / "v" / "tables"))).first()["file_id"] == "a_b"
     with pytest.raises(ValueError):
         load_files(spark, paths[2:])
+
+
+def test_files_of_one_name_stay_two(spark, tmp_path):
+    for folder, text in (("x", "n\n1\n"), ("y", "n\n2\n3\n")):
+        (tmp_path / folder).mkdir()
+        put(tmp_path / folder / "s.csv", text)
+    paths = [str(tmp_path / f / "s.csv") for f in ("x", "y")]
+    loaded = load_files(spark, paths, str(tmp_path / "v"), dimension=8)
+    assert sorted(r["rows_read"] for r in loaded.report.collect()) == [1, 2] and set(loaded.tables) == set(paths)
+    assert len({r["file_id"] for r in loaded.report.collect()}) == 2
+    assert [r["num_vectors"] for r in list_stores(read_vectors(spark, str(tmp_path / "v" / "tables"))).collect()].__len__() == 2
+
+
+def test_csv_headers_of_several_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    put(tmp_path / "d" / "1.csv", "\na,b\n1,x\n")
+    put(tmp_path / "d" / "2.csv", "b,a\ny,2\n")
+    rows = read_csv(spark, str(tmp_path / "d"), "f").rows.orderBy("_row_index").collect()
+    assert [tuple(r) for r in rows] == [("f", 0, 1, "x"), ("f", 1, 2, "y")]
+    put(tmp_path / "d" / "3.csv", "a,c\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_csv(spark, str(tmp_path / "d"))
+
+
+def test_csv_header_over_two_lines_and_long_rows(spark, tmp_path):
+    rows = read_csv(spark, put(tmp_path / "h.csv", '"a\nb",c,d\n1,2,3\n')).rows
+    assert rows.columns[2:] == ["a\nb", "c", "d"] and rows.first()[2:] == (1, 2, 3)
+    with pytest.raises(ValueError, match="more fields"):
+        read_csv(spark, put(tmp_path / "l.csv", "a,b\n1,2\n1,2,3\n"))
+
+
+def test_csv_names_that_clash(spark, tmp_path):
+    rows = read_csv(spark, put(tmp_path / "n.csv", "Id,id,file_id,_row_index\n1,2,3,4\n"), "f").rows
+    assert rows.columns == ["file_id", "_row_index", "Id", "id.1", "file_id.1", "_row_index.1"]
+    assert tuple(rows.first()) == ("f", 0, 1, 2, 3, 4)
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            staging_path(session(master), "x")
+    assert staging_path(session("yarn", "hdfs://n/c/"), "x").startswith("hdfs://n/c/factsheet/x-")
+    assert staging_path(session("local[2]"), "x")

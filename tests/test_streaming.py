@@ -16,7 +16,7 @@ def test_documents_arrive_in_steps(spark, tmp_path):
     both = read_vectors(spark, store)
     assert [r["num_vectors"] for r in list_stores(both).collect()] == [2, 1]
     fid = both.filter("original_text = 'plain'").first()["file_id"]
-    assert read_vectors(spark, store, fid, 2).count() == 1
+    assert read_vectors(spark, store, fid).count() == 1
 
 
 def test_rows_arrive(spark, tmp_path):
