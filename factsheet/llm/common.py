@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factsheet.functions.session import shared_folder
+
 #: What separates the words of a text in the shingle operators: all but letters and digits.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Characters that one numpy step handles; longer batches are cut.
@@ -22,11 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared ``spark.checkpoint.dir``; an error where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one that all executors share."""
+    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
