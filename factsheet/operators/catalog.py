@@ -21,8 +21,8 @@ INTENTS = (
     "top_n",
     "compare_top",
     "explain_row",
-    "document_query",
     "general_query",
+    "document_query",
 )
 
 
@@ -34,6 +34,7 @@ def table_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
     return profiles(named, skip=(ROW_INDEX, "file_id"))
 
 
+# The output names of both lists.
 def list_tables(catalog: DataFrame) -> DataFrame:
     return catalog.select(
         "file_id", "filename", F.col("num_rows").alias("rows"), F.col("num_columns").alias("columns"), "numeric_columns"

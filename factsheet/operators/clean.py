@@ -17,19 +17,21 @@ WANTED_RATIO = 0.5
 
 
 def columns_with_digits(
-    df: DataFrame, columns: Sequence[str], key: str | Sequence[str] = ROW_INDEX
+    df: DataFrame, columns: Sequence[str], key: str | Sequence[str] = ROW_INDEX, sample: int | None = SAMPLE
 ) -> list[str]:
-    """Columns where one of the first ten non-missing values holds a digit.
+    """Columns where one of the first ``sample`` non-missing values holds a digit; all with None.
 
     One bounded heap per column (TakeOrderedAndProject over that column and the key);
-    ten short rows per column reach the driver.
+    ``sample`` short rows per column reach the driver.
     """
+    if sample is None:
+        return list(columns)
     keys = [col(k) for k in key_columns(df, key)]
     heads = [
         df.select(*keys, col(c).alias("v"))
         .filter(F.col("v").isNotNull())
         .orderBy(*keys)
-        .limit(SAMPLE)
+        .limit(sample)
         .select(F.lit(c).alias("column"), F.col("v").rlike(r"\p{Nd}").alias("digit"))
         for c in columns
     ]
@@ -41,7 +43,7 @@ def columns_with_digits(
 
 
 def number_columns(
-    df: DataFrame, key: str | Sequence[str] = ROW_INDEX, exclude: Sequence[str] = ()
+    df: DataFrame, key: str | Sequence[str] = ROW_INDEX, exclude: Sequence[str] = (), sample: int | None = SAMPLE
 ) -> list[str]:
     """Text columns that cleaning replaces: more than half of all rows read as numbers."""
     keys = key_columns(df, key)
@@ -50,7 +52,7 @@ def number_columns(
         for f in df.schema.fields
         if isinstance(f.dataType, T.StringType) and f.name not in exclude and f.name not in keys
     ]
-    candidates = columns_with_digits(df, text, keys)
+    candidates = columns_with_digits(df, text, keys, sample)
     if not candidates:
         return []
     ratios = df.agg(
@@ -62,13 +64,18 @@ def number_columns(
     return [c for i, c in enumerate(candidates) if (ratios[f"r{i}"] or 0.0) > WANTED_RATIO]
 
 
-def clean_table(df: DataFrame, key: str | Sequence[str] = ROW_INDEX, exclude: Sequence[str] = ()) -> DataFrame:
+def clean_table(
+    df: DataFrame, key: str | Sequence[str] = ROW_INDEX, exclude: Sequence[str] = (), sample: int | None = SAMPLE
+) -> DataFrame:
     """The table with its number-like text columns rewritten as doubles.
 
+    A column is looked at if one of its first ``sample`` values holds a digit; with None the share of
+    readable values in all rows decides alone.
+
     ISO dates become years and ``Brand#12`` becomes 12.0: name such columns in ``exclude``
     to keep them as text.
     """
-    chosen = number_columns(df, key, exclude)
+    chosen = number_columns(df, key, exclude, sample)
     return df.select(
         *[clean_number(col(c)).alias(c) if c in chosen else col(c) for c in df.columns]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factsheet.functions.columns import require
 from factsheet.functions.folds import accumulator, fold_emit
-from factsheet.functions.text import SPACE_CLASS, STORED_TEXT_LIMIT, strip
+from factsheet.functions.text import SPACE_CLASS, STORED_TEXT_LIMIT, stored_text, strip
 
 CHUNK_SIZE = 1000
 OVERLAP = 200
@@ -158,21 +158,31 @@ def extract_qa(df: DataFrame, doc_id: str = "file_id", text: str = "text") -> Da
     return rows.select(doc_id, "qa_idx", *_qa_columns())
 
 
+# The labels of a pair's text.
+QUESTION_LABEL, ANSWER_LABEL, ANALYSIS_LABEL = "Question: ", "Answer: ", "Analysis: "
+
+
 def qa_text(question: Column, answer: Column, analysis: Column) -> Column:
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("Question: "), question),
-        F.concat(F.lit("Answer: "), answer),
-        F.when(analysis != "", F.concat(F.lit("Analysis: "), analysis)),
+        F.concat(F.lit(QUESTION_LABEL), question),
+        F.concat(F.lit(ANSWER_LABEL), answer),
+        F.when(analysis != "", F.concat(F.lit(ANALYSIS_LABEL), analysis)),
     )
 
 
 def document_units(
-    df: DataFrame, doc_id: str = "file_id", text: str = "text", chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP
+    df: DataFrame,
+    doc_id: str = "file_id",
+    text: str = "text",
+    chunk_size: int = CHUNK_SIZE,
+    overlap: int = OVERLAP,
+    stored: int | None = STORED_TEXT_LIMIT,
 ) -> DataFrame:
     """The units of a document that get a vector: its chunks, then its question/answer pairs.
 
-    ``full_text`` is what is embedded, ``original_text`` the 500 characters kept for display.
+    ``full_text`` is what is embedded, ``original_text`` the first ``stored`` characters (None: all) kept
+    for display.
     """
     require(df, doc_id, text)
     folded = _with_pairs(_with_chunks(df.select(doc_id, text), text, chunk_size, overlap), text)
@@ -194,7 +204,7 @@ def document_units(
         "chunk_idx",
         "chunk_type",
         full.alias("full_text"),
-        F.substring(full, 1, STORED_TEXT_LIMIT).alias("original_text"),
+        stored_text(full, stored).alias("original_text"),
         F.when(pair, F.col("question")).alias("question_text"),
         F.when(pair, F.col("answer")).alias("answer_text"),
         F.when(pair, F.col("analysis")).alias("analysis_text"),

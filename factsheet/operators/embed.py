@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factsheet.functions.columns import ROW_INDEX, col, require
 from factsheet.functions.hashing import token_buckets
-from factsheet.functions.text import row_text, stored_text
+from factsheet.functions.text import STORED_TEXT_LIMIT, row_text, stored_text
 from factsheet.functions.vectors import dense_counts
 from factsheet.operators.profile import column_summaries
 
@@ -42,6 +42,7 @@ def row_units(
     key: str = ROW_INDEX,
     columns: Sequence[str] | None = None,
     with_summaries: bool = True,
+    stored: int | None = STORED_TEXT_LIMIT,
 ) -> DataFrame:
     """The units of a table that get a vector: one per row, and one per column (row_idx -1).
 
@@ -57,11 +58,11 @@ def row_units(
         F.lit(None).cast("string").alias("column_name"),
         F.lit(True).alias("is_row_vector"),
         full.alias("full_text"),
-        stored_text(full).alias("original_text"),
+        stored_text(full, stored).alias("original_text"),
     )
     if not with_summaries:
         return rows
-    # A summary is stored whole, a row text up to 500 characters.
+    # A summary is stored whole, a row text up to ``stored`` characters (None: whole).
     summaries = column_summaries(df, names, key)
     return rows.unionByName(
         summaries.select(

@@ -154,6 +154,7 @@ def column_summaries(
             ]
         )
         nan = F.lit("nan")
+        # The wording of both sentences.
         sentences = [
             F.struct(
                 F.lit(c).alias("column_name"),

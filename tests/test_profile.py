@@ -110,3 +110,14 @@ def test_row_units(spark):
     assert len(rows[0]["original_text"]) == 500 and len(rows[0]["full_text"]) == 603
     assert rows[-1]["column_name"] == "s" and not rows[-1]["is_row_vector"] and len(rows[-1]["original_text"]) > 500
     assert rows[1]["full_text"] == "s: y" and rows[1]["is_row_vector"]
+
+
+def test_means_in_sentences_round_like_python(spark):
+    df = spark.createDataFrame([(0, 0.125, 1.005, 2.675)], "k int, a double, b double, c double")
+    text = " ".join(r["summary"] for r in column_summaries(df, ["a", "b", "c"], "k").collect())
+    assert "Mean: 0.12," in text and "Mean: 1.00," in text and "Mean: 2.67," in text
+
+
+def test_cleaning_that_looks_at_all_rows(spark):
+    df = spark.createDataFrame([(i, "x" if i < 10 else f"{i}-") for i in range(40)], "_row_index bigint, s string")
+    assert dict(clean_table(df).dtypes)["s"] == "string" and dict(clean_table(df, sample=None).dtypes)["s"] == "double"
