@@ -97,6 +97,20 @@ def test_checksums_and_context():
     assert pii.spans("call +49 30 1234567")[0][3] > pii.spans("nothing +49 30 1234567")[0][3] > pii.spans("order +49 30 1234567")[0][3]
 
 
+@pytest.mark.parametrize("number", ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"])
+@pytest.mark.parametrize("behind", ["", " EUR", " BIC", " BANK", " EUR 100", " 2024 EUR", ".", " now", "x"])
+def test_account_numbers_end_where_they_end(number, behind):
+    text = f"Pay {number}{behind}"
+    assert [(a, b) for a, k, b, _ in pii.spans(text) if pii.KINDS[k] == "iban"] == ([] if behind == "x" else [(4, 4 + len(number))])
+
+
+def test_account_numbers_in_a_row_and_in_context():
+    one, two = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    assert [text_ for text_ in (f"{one} {two}"[a:b] for a, b in pii.ibans(f"{one} {two}"))] == [one, two]
+    kinds = [[pii.KINDS[k] for _, k, _, _ in pii.spans(f"{left} {two}")] for left in ("see", "serial", "account, serial")]
+    assert kinds == [["iban"], [], ["iban"]]
+
+
 def test_personal_data_of_odd_rows(spark, odd):
     rows = [(1, "Mail é a@b.de or 10.0.0.1", 0), (2, None, 0), (None, "", 0), (1, "Mail é a@b.de or 10.0.0.1", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans long")
