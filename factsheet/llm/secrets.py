@@ -1,6 +1,8 @@
 """Secret scan: patterns propose candidates, a random forest removes the false ones.
 
-Candidates are runs of key characters: 16 or more with a digit, or 20 or more of any. A candidate's
+Candidates are runs of key characters: 16 or more with a digit, or 20 or more of any, cut at '=' inside;
+the whole quoted or unspaced value behind a name that says so; and the password in a URL, these of ``SHORTEST``
+characters or more. Where they overlap, each is a candidate of its own. A candidate's
 features are its length, its character transitions, how much of it is covered by dictionary words,
 the path it lies in, and the words beside it. The forest is trained on labelled findings, given
 by the caller or derived by ``self_evident``: candidates in the format of a known
@@ -29,6 +31,8 @@ from factsheet.llm.common import picked, stored, unit_hash
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 NEAR = 40
+#: Characters of an assigned value or a URL's password at least.
+SHORTEST = 6
 #: Formats of known issuers: fixed values.
 FORMATS = {
     "aws_key": re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}"),
@@ -39,6 +43,11 @@ FORMATS = {
     "openai": re.compile(r"sk-[A-Za-z0-9_-]{20,}"),
 }
 ASSIGNED = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|private_?key)\w*[\"']?\s*(=|:|=>|:=)\s*[\"']?$")
+#: The value behind such a name: what its quotes hold, or all up to white space.
+VALUE = re.compile(ASSIGNED.pattern.removesuffix(r"[\"']?$") + r"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s"'`]+))""")
+URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@]*:(?P<password>[^\s/]+)@")
+#: What each text with a candidate holds.
+MAY_HOLD = r"[A-Za-z0-9_+/=-]{16}|://[^\s/:@]*:|(?i:token|secret|passw|pwd|api_?key|access_?key|auth|credential|private_?key)"
 SECRET_WORD = re.compile(r"(?i)token|secret|passw|pwd|key|auth|credential|bearer")
 DIGEST_WORD = re.compile(r"(?i)\b(sha-?(1|256|512)?|md5|commit|checksum|digest|hash|revision|uuid|guid|etag|integrity)\b")
 EXAMPLE_WORD = re.compile(r"(?i)\b(example|sample|dummy|fake|test|placeholder|your[_-])")
@@ -102,6 +111,30 @@ def self_evident(value: str, left: str) -> tuple[str | None, int | None]:
     return None, None
 
 
+def proposed(text: str) -> list[tuple[int, int, bool]]:
+    """Spans of the candidates of a text, each once, by start; whether it is the password in a URL."""
+    found = {}
+    for m in CANDIDATE.finditer(text):
+        # A name assigned without spaces belongs to the context, not to the value; either side may be one.
+        start, body = m.start(), m.group().rstrip("=")
+        pieces = body.split("=")
+        for k, piece in enumerate(pieces):
+            end = start + len(piece) if k < len(pieces) - 1 else m.end()
+            if end - start >= 20 or (end - start >= 16 and any("0" <= c <= "9" for c in text[start:end])):
+                found[start, end] = False
+            start = end + 1
+    for m in VALUE.finditer(text):
+        start, end = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            end = start + len(text[start:end].rstrip(",;)]}"))
+        if end - start >= SHORTEST:
+            found.setdefault((start, end), False)
+    for m in URL.finditer(text):
+        if len(m.group("password")) >= SHORTEST:
+            found[m.span("password")] = True
+    return [(a, b, url) for (a, b), url in sorted(found.items())]
+
+
 def dictionary(docs: DataFrame, text: str = "text", size: int = 4000) -> set[str]:
     """The commonest words of 3 to 12 letters in all documents."""
     each = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
@@ -114,7 +147,7 @@ def candidates(docs: DataFrame, words: set[str], doc_id: str = "doc_id", text: s
     rows = picked(docs, (doc_id, "doc_id"), (text, "text"), *([(path, "path")] if path else []))
     kind_of_id = rows.schema["doc_id"].dataType.simpleString()
     where = F.coalesce(F.col("path").cast("string"), F.lit("")) if path else F.lit("")
-    rows = rows.select("doc_id", "text", where.alias("path")).filter(F.col("text").rlike("[A-Za-z0-9_+/=-]{16}"))
+    rows = rows.select("doc_id", "text", where.alias("path")).filter(F.col("text").rlike(MAY_HOLD))
     longest = max(map(len, words), default=0)
     schema = f"doc_id {kind_of_id}, start int, end int, value string, format string, label int, features array<float>"
     types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float32()))
@@ -123,19 +156,13 @@ def candidates(docs: DataFrame, words: set[str], doc_id: str = "doc_id", text: s
         for batch in batches:
             owner, out = [], []
             for i, (t, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for m in CANDIDATE.finditer(t):
-                    value = m.group()
-                    # A name assigned without spaces belongs to the context, not to the value.
-                    start = m.start()
-                    if "=" in value.rstrip("="):
-                        head = value.rstrip("=").rindex("=") + 1
-                        start, value = start + head, value[head:]
-                    if len(value) < 16 or (len(value) < 20 and not any("0" <= c <= "9" for c in value)):
-                        continue
-                    left, right = t[max(0, start - NEAR) : start], t[m.end() : m.end() + NEAR]
+                for start, end, url in proposed(t):
+                    value, left, right = t[start:end], t[max(0, start - NEAR) : start], t[end : end + NEAR]
                     name, label = self_evident(value, left)
+                    if url and label is None and not value.isalpha():
+                        label = 1
                     owner.append(i)
-                    out.append((start, m.end(), value, name, label, features(value, left, right, p, words, longest)))
+                    out.append((start, end, value, name, label, features(value, left, right, p, words, longest)))
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]],
@@ -170,5 +197,5 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_
         scored = found.withColumn("probability", sure)
     else:
         scored = model.transform(found.withColumn("features", array_to_vector("features"))).withColumn("probability", vector_to_array("probability")[1])
-    verdict = (F.col("probability") >= least) | F.col("format").isNotNull()
+    verdict = F.col("probability") >= least
     return scored.select("doc_id", "start", "end", "value", "format", "probability", verdict.alias("is_secret"))

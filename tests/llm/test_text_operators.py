@@ -287,3 +287,27 @@ def test_secrets_of_odd_rows(spark, odd):
     docs = spark.createDataFrame([(1, "api_key=" + "ab12" * 8, None), (1, "api_key=" + "ab12" * 8, None)], "doc_id long, text string, source string")
     found = secrets.scan(docs).collect()
     assert [(r.doc_id, r.start, r.end, r.is_secret) for r in found] == [(1, 8, 40, True)] * 2
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"), ("DB_PASSWORD: 'a!b@c#d.1'", "a!b@c#d.1"), ("pwd=hunter2!x, next", "hunter2!x"),
+        ("postgres://me:p@ss:w0rd!@db.host/x", "p@ss:w0rd!"), ("AKIA" + "A1" * 8 + "=prod", "AKIA" + "A1" * 8), ("key=AKIA" + "A1" * 8, "AKIA" + "A1" * 8),
+        ("token = " + "ab12" * 5 + "==", "ab12" * 5 + "=="), ('{"secret": "x y-z 9"}', "x y-z 9"),
+    ],
+)
+def test_whole_values_are_candidates(spark, text, value):
+    docs = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
+    rows = secrets.candidates(docs, set()).collect()
+    assert value in {r.value for r in rows} and all(text[r.start : r.end] == r.value for r in rows) and len({(r.start, r.end) for r in rows}) == len(rows)
+    assert value in {r.value for r in secrets.scan(docs).collect() if r.is_secret}
+
+
+def test_forest_judges_known_formats(spark):
+    docs = spark.createDataFrame([(1, "see AKIA" + "A1" * 8 + " there", "src/a.py")] + planted_secrets(80)[1:], "doc_id long, text string, source string")
+    found = secrets.candidates(docs, set())
+    false = found.withColumn("label", F.when(F.col("format").isNotNull(), 0).otherwise(F.col("label")))
+    false = false.unionByName(false.filter("format is not null").crossJoin(spark.range(60)).drop("id"))
+    verdict = secrets.scan(docs, labelled=false).filter("format is not null").collect()
+    assert verdict and all(r.is_secret == (r.probability >= 0.5) for r in verdict) and not any(r.is_secret for r in verdict)
