@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsheet.llm import decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, secrets, tokens
+from factsheet.llm import decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, secrets, sharding, tokens
 from factsheet.llm.common import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,9 +73,20 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentences", ",").alias("sentences"), "n_unknown")
 
 
+#: Shards of the documents.
+SHARDS = 24
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(read_table(spark, sf_dir, "documents"), SHARDS)
+    crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return found.select("row.doc_id", "size", crc, F.lit("key").alias("law"), "shard", "slot", F.col("grown").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op10_shared_passages": op10_shared_passages,
+    "op13_sharding": op13_sharding,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_token_output": op4_token_output,
