@@ -83,3 +83,46 @@ select r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
     not base_failed and not beyond as kept
 from r join bad using (doc_id)
 """
+
+
+def op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """The clustering round by round: ``a`` has assignments, ``c`` centroids."""
+    steps = [
+        f"""
+with kept as materialized (
+    select row_number() over (order by vec_id) as id, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as p
+    from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as materialized (
+    select row_number() over (order by sha256('2:' || vec_id), id) - 1 as c, p
+    from kept order by sha256('2:' || vec_id), id limit {k}
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f""", a{r} as materialized (
+    select id, vec_id, c, d from (
+        select id, vec_id, c, d, row_number() over (partition by id order by d, c) as place from (
+            select id, vec_id, c,
+                list_sum(list_transform(list_zip(kept.p, c{r}.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+            from kept, c{r}
+        )
+    ) where place = 1
+)"""
+        )
+        if r < rounds:
+            steps.append(
+                f""", m{r} as materialized (
+    select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as p
+    from (select c, i, sum(p[i]) as s, count(*) as n from a{r} join kept using (id), range(1, 65) t(i) group by c, i)
+    group by c
+), c{r + 1} as materialized (
+    select c, coalesce(m{r}.p, c{r}.p) as p from c{r} left join m{r} using (c)
+)"""
+            )
+    return "".join(steps) + f"""
+select vec_id, c::int as cluster, d as distance,
+    (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+    sha256(array_to_string(p, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (c)
+"""

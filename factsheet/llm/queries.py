@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsheet.llm import decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, secrets, sharding, tokens
+from factsheet.llm import centroids, decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, secrets, sharding, tokens
 from factsheet.llm.common import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,9 +83,19 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", crc, F.lit("key").alias("law"), "shard", "slot", F.col("grown").alias("grown_shard"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    total = found.centroids.agg(F.sum("inertia")).first()[0]
+    sums = found.centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.lit(total).cast("bigint").alias("inertia"), digest.alias("centroid_sha256"))
+    # One row a centroid.
+    return found.assigned.join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op10_shared_passages": op10_shared_passages,
+    "op11_centroids": op11_centroids,
     "op13_sharding": op13_sharding,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
@@ -99,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_decontamination": oracle.OP1,
+    "op11_centroids": oracle.op11_sql(),
     "op6_licences": licences.licences_sql(),
     "op8_quality": oracle.OP8,
 }
