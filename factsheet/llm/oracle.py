@@ -84,6 +84,43 @@ select r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 from r join bad using (doc_id)
 """
 
+OP12 = r"""
+with p as (
+    select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), w as (
+    select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p
+), g as materialized (
+    select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 5) t(k))
+    group by all having count(*) >= 30
+), n as (
+    select lang, sum(len(w))::bigint as n from w group by lang
+), cut as (
+    select lang, k, phrase, f as a, j, string_split(phrase, ' ') as ws
+    from (select *, unnest(range(1, k)) as j from g where k >= 2)
+), lowest as (
+    select * from (
+        select cut.lang, cut.k, cut.phrase, a, l.f as l, r.f as r,
+            ((2000000::hugeint * a) // (l.f + r.f))::bigint as score,
+            row_number() over (partition by cut.lang, cut.phrase order by (2000000::hugeint * a) // (l.f + r.f), j) as place
+        from cut
+        join g l on l.lang = cut.lang and l.phrase = array_to_string(ws[1:j], ' ')
+        join g r on r.lang = cut.lang and r.phrase = array_to_string(ws[j + 1:], ' ')
+    ) where place = 1
+), hidden as (
+    select distinct s.lang, s.phrase
+    from g s join g t on s.lang = t.lang and t.k > s.k and 100 * t.f >= 80 * s.f
+        and contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')
+    where s.k >= 2
+), ranked as (
+    select lowest.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+    from lowest anti join hidden using (lang, phrase)
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
 
 def op11_sql(k: int = 40, rounds: int = 5) -> str:
     """The clustering round by round: ``a`` has assignments, ``c`` centroids."""

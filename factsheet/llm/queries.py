@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsheet.llm import centroids, decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, secrets, sharding, tokens
+from factsheet.llm import centroids, collocations, decontaminate, language, licences, mixing, near_dup, oracle, passages, pii, quality, secrets, sharding, tokens
 from factsheet.llm.common import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -92,10 +92,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.assigned.join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op10_shared_passages": op10_shared_passages,
     "op11_centroids": op11_centroids,
+    "op12_collocations": op12_collocations,
     "op13_sharding": op13_sharding,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_decontamination": oracle.OP1,
     "op11_centroids": oracle.op11_sql(),
+    "op12_collocations": oracle.OP12,
     "op6_licences": licences.licences_sql(),
     "op8_quality": oracle.OP8,
 }
