@@ -18,11 +18,14 @@ def decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def source_id(file_name: Column, modified: Column, prefix: str = "") -> Column:
-    """``<stem>_<8 hex digits>``: the same file always gets the same id, a changed one a new id."""
-    stem = F.regexp_replace(F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", ""), " ", "_")
-    digest = F.md5(F.concat_ws("_", file_name, modified.cast("string")))
-    return F.concat(F.lit(prefix), stem, F.lit("_"), F.substring(digest, 1, 8))
+def source_id(path: Column, content: Column, prefix: str = "") -> Column:
+    """``<stem>_<16 hex digits>`` of a file's full path and a digest of its content.
+
+    The same file always gets the same id, a changed one a new id, and files of one name in two folders get two.
+    """
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), r"(?<=.)\.[^.]*$", ""), " ", "_")
+    digest = F.md5(F.concat_ws("\x00", path, content))
+    return F.concat(F.lit(prefix), stem, F.lit("_"), F.substring(digest, 1, 16))
 
 
 def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:

@@ -1,15 +1,14 @@
 """Exact nearest neighbours for a table of queries, and the two searches built on it.
 
-The corpus is read once per block of queries and never shuffled: each task scores its rows
-against a block of query vectors with one matrix product per Arrow batch, keeps the k best
-per query, and only those rows move. Query vectors are shipped to the tasks in blocks of a
-fixed size; a larger query table makes more blocks, not larger ones.
+A query table that fits a block of fixed size is shipped to the tasks that read the corpus, which never
+moves: each task scores its rows against the block with one matrix product per Arrow batch, keeps the
+k best per query, and only those rows are shuffled. A larger query table is joined by cells
+(``operators.cells``): it never passes through the driver, and the corpus is read as often whatever its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factsheet.functions.columns import ROW_INDEX, col, require
-from factsheet.functions.session import staging_path
+from factsheet.functions.session import staged
 from factsheet.functions.text import fixed_text
 from factsheet.functions.vectors import score_text, similarity
 from factsheet.operators.answer import Answer
+from factsheet.operators.cells import CELLS, DIGITS, cell_join, matrix, smallest, unit_rows
 
+# What a block of query vectors that is shipped to all tasks has at most, in bytes and in rows.
 QUERY_BLOCK_BYTES = 32 << 20
-# Distances are compared after rounding, so that equal vectors tie and ids decide.
-DIGITS = 9
-# Query vectors fetched in the first step; most query tables need no second one.
-FIRST_QUERIES = 2048
-# Distances computed at a time in a task.
-CELLS = 1 << 22
+FIRST_QUERIES = 8192
 PARTITIONS_PER_MERGE = 1024
 BROADCAST_ROWS = 1_000_000
 CONTEXT_PAIRS = 3
@@ -41,49 +37,14 @@ PAIR_LABELS = ("Q: ", "A: ", "Analysis: ")
 PAIRS_HEADING = "\n\nRelevant Q&A pairs from analysis:\n"
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    m = m.astype(np.float64)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    lengths = pc.fill_null(pc.list_value_length(vectors), -1)
-    if len(vectors) and not pc.all(pc.equal(lengths, dimension)).as_py():
-        raise ValueError(f"a vector does not have dimension {dimension}")
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dimension)
-
-
-def _query_blocks(queries: DataFrame, query_id: str, vector: str, block_bytes: int) -> tuple[list[pa.Table], int]:
-    """Query vectors as Arrow tables of at most ``block_bytes`` each, and their dimension."""
-    wanted = queries.select(col(query_id).alias("query_id"), col(vector).alias("vector"))
-    start = wanted.limit(FIRST_QUERIES + 1).toArrow()
-    if not len(start):
-        return [], 0
-    dimension = len(start["vector"][0])
-    most = max(1, block_bytes // (4 * max(1, dimension)))
-    if len(start) <= min(most, FIRST_QUERIES):
-        return [start], dimension
-    # Too many to fetch at once: store the vectors by block, then fetch block after block.
-    spark = queries.sparkSession
-    path = staging_path(spark, "queries")
-    wanted.write.parquet(f"{path}/all")
-    stored = spark.read.schema(wanted.schema).parquet(f"{path}/all")
-    total = stored.count()
-    if total <= most:
-        return [stored.toArrow()], dimension
-    # Dealt out by turns, so that blocks are even whatever the ids are.
-    n = 2 * (total // most + 1)
-    dealt = stored.repartition(n).withColumn("block", F.spark_partition_id())
-    dealt.write.partitionBy("block").parquet(f"{path}/blocks")
-    parts = spark.read.parquet(f"{path}/blocks")
-    blocks = [parts.filter(F.col("block") == b).select("query_id", "vector").toArrow() for b in range(n)]
-    return [b for b in blocks if len(b)], dimension
-
-
-def _best_rows(shared, dimension: int, k: int, ids: Sequence[str], kept: Sequence[str]):
+def _query_block(queries: DataFrame, most: int) -> pa.Table | None:
+    """The query vectors as one Arrow table, or None if they are more than ``most`` bytes."""
+    start = queries.limit(FIRST_QUERIES + 1).toArrow()
+    width = pc.max(pc.list_value_length(start["_vector"])).as_py() or 0
+    return start if len(start) <= FIRST_QUERIES and 4 * len(start) * width <= most else None
+
+
+def _best_rows(shared, k: int, ids: Sequence[str], kept: Sequence[str]):
     """A task function: corpus batches in, the k best rows per query of the whole task out.
 
     Pairs (query, distance, row) are kept as arrays; the rows they point to are kept once.
@@ -92,7 +53,8 @@ def _best_rows(shared, dimension: int, k: int, ids: Sequence[str], kept: Sequenc
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = pa.ipc.open_stream(shared.value).read_all()
         query_ids = data["query_id"].combine_chunks()
-        q = _unit_rows(_matrix(data["vector"], dimension))
+        dimension = pc.max(pc.list_value_length(data["_vector"])).as_py()
+        q = unit_rows(matrix(data["_vector"], dimension))
         q_norm = (q * q).sum(axis=1)[:, None]
         slice_rows = max(1, CELLS // len(q))
         bound = np.full((len(q), 1), np.inf)
@@ -123,21 +85,14 @@ def _best_rows(shared, dimension: int, k: int, ids: Sequence[str], kept: Sequenc
                 continue
             # Rows in id order: among equal distances the first ones have the smallest ids.
             batch_rows = pa.Table.from_batches([batch]).sort_by(sort_keys).combine_chunks()
-            vectors = _unit_rows(_matrix(batch_rows["_vector"], dimension))
+            vectors = unit_rows(matrix(batch_rows["_vector"], dimension))
             batch_rows = batch_rows.select(list(kept))
             for first in range(0, len(vectors), slice_rows):
                 v = vectors[first : first + slice_rows]
                 d = np.round(np.maximum(q_norm + (v * v).sum(axis=1)[None, :] - 2.0 * (q @ v.T), 0.0), DIGITS)
-                limit = bound
-                if len(v) > k:
-                    limit = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1 : k])
-                at, row = np.nonzero(d <= limit)
+                at, row, near = smallest(d, bound, k)
                 if not len(at):
                     continue
-                near = d[at, row]
-                order = np.lexsort((row, near, at))
-                order = order[np.arange(len(at)) - np.searchsorted(at, at, side="left") < k]
-                at, near, row = at[order], near[order], row[order]
                 used = np.unique(row)
                 rows.append(batch_rows.slice(first, len(v)).take(pa.array(used)))
                 pairs.append((at, near, offset + np.searchsorted(used, row)))
@@ -186,38 +141,47 @@ def _nearest(corpus, queries, k, ids, vector, query_id, query_vector, keep, file
     kept = list(dict.fromkeys([*ids, *keep]))
     if not queries.groupBy(col(query_id)).count().filter("count > 1").isEmpty():
         raise ValueError(f"{query_id} is not unique")
-    blocks, dimension = _query_blocks(queries, query_id, query_vector, block_bytes)
+    asked = queries.select(col(query_id).alias("query_id"), col(query_vector).alias("_vector"))
     rows = corpus.select(*[col(c) for c in kept], col(vector).alias("_vector"))
+    columns = [col(c) for c in kept if c != "query_id"]
+    block = _query_block(asked, block_bytes)
+    if block is None:
+        best, table, _ = cell_join(rows, asked, k, ids)
+        ranked = _merged(best, k, ids)
+        if set(kept) != set(ids):
+            # Only the hits get the other columns, by the position of their row in the stored corpus.
+            hits = staged(ranked.select("query_id", "rank", "distance", "_at"), "hits")
+            few = hits.count() <= BROADCAST_ROWS
+            ranked = table.select("_at", *columns).join(F.broadcast(hits) if few else hits, "_at")
+        return ranked.select("query_id", "rank", "distance", *columns), None
     out = T.StructType(
         [corpus.schema[c] for c in kept]
         + [T.StructField("distance", T.DoubleType()), T.StructField("query_id", queries.schema[query_id].dataType)]
     )
     spark = corpus.sparkSession
-    if not blocks:
-        best = spark.createDataFrame([], out)
-    else:
-        best = reduce(
-            DataFrame.unionByName,
-            [rows.mapInArrow(_task(spark, b, dimension, k, ids, kept), out) for b in blocks],
-        )
+    best = rows.mapInArrow(_task(spark, block, k, ids, kept), out) if len(block) else spark.createDataFrame([], out)
+    return _merged(best, k, ids).select("query_id", "rank", "distance", *columns), len(block)
+
+
+def _merged(best: DataFrame, k: int, ids: Sequence[str]) -> DataFrame:
+    """The k best of all candidates of each query, with their rank.
+
+    Each task hands over k rows per query. Groups of tasks are merged first, so that the last merge of a
+    query sees few rows however many tasks there were.
+    """
     order = [F.col("distance"), *[col(c) for c in ids]]
-    # Each task hands over k rows per query. Groups of tasks are merged first, so that the
-    # last merge of a query sees few rows however many tasks there were.
-    group = F.floor(F.spark_partition_id() / PARTITIONS_PER_MERGE)
-    best = best.withColumn("_group", group)
+    best = best.withColumn("_group", F.floor(F.spark_partition_id() / PARTITIONS_PER_MERGE))
     first = W.partitionBy("query_id", "_group").orderBy(*order)
     best = best.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r", "_group")
     last = W.partitionBy("query_id").orderBy(*order)
-    ranked = best.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
-    columns = [col(c) for c in kept if c != "query_id"]
-    return ranked.select("query_id", "rank", "distance", *columns), sum(map(len, blocks))
+    return best.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
 
 
-def _task(spark, block, dimension, k, ids, kept):
+def _task(spark, block, k, ids, kept):
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, block.schema) as writer:
         writer.write_table(block)
-    return _best_rows(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), dimension, k, ids, kept)
+    return _best_rows(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), k, ids, kept)
 
 
 def _check_top_k(top_k: int) -> None:
@@ -234,6 +198,7 @@ def explain_row(
     file_id: str | None = None,
     rows_only: bool = False,
     query_id: str = "query_id",
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> Answer:
     """The rows of a table closest to each query, with all their columns.
 
@@ -248,14 +213,14 @@ def explain_row(
     ids = ["file_id", "row_idx", "column_name"]
     hits, n_queries = _nearest(
         pool, queries, top_k, ids, "embedding", query_id, "embedding", ["is_row_vector"], file_id,
-        QUERY_BLOCK_BYTES,
+        block_bytes,
     )
     rows = hits.filter("is_row_vector").select(
         "query_id", "rank", F.col("row_idx").alias("_row_index"), similarity(F.col("distance")).alias("_similarity_score"),
         F.col("file_id").alias("_file"),
     )
     # At most top_k rows per query: broadcast while that is a bounded number of rows.
-    picked = F.broadcast(rows) if n_queries * top_k <= BROADCAST_ROWS else rows
+    picked = F.broadcast(rows) if n_queries is not None and n_queries * top_k <= BROADCAST_ROWS else rows
     table = df.withColumn("_row_index", col(key).cast("bigint"))
     # Positions are unique within a file only.
     same = ["_row_index"]

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from factsheet.functions.columns import ROW_INDEX
-from factsheet.functions.session import spread, staged
+from factsheet.functions.session import spread
 from factsheet.operators.catalog import load_report
 from factsheet.operators.clean import clean_table
 from factsheet.operators.documents import CHUNK_SIZE, OVERLAP, document_metadata, document_units
@@ -70,8 +70,7 @@ def ingest_documents(
     encoder: Encoder | None = None,
 ) -> Loaded:
     """Read documents and describe them; with ``vectors`` also store a vector per chunk and Q&A pair."""
-    # Written once to the shared folder, so that files are parsed a single time.
-    docs = staged(read_documents(spark, path), "documents")
+    docs = read_documents(spark, path)
     if vectors is not None:
         units = document_units(spread(docs), chunk_size=chunk_size, overlap=overlap)
         add_vectors(

@@ -256,23 +256,23 @@ ORACLE["fingerprint"] = _fingerprint("customer", [n for n, _ in _columns("custom
 _WORD_GAP = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-def _chunks(source: str, size: int = 1000, words: int = 40) -> str:
-    """CTEs ending in ch(doc_id, chunk_idx, chunk): one paragraph per recursion step."""
+def _chunks(source: str, size: int = 1000, words: int = 40, name: str = "") -> str:
+    """CTEs ending in ch(doc_id, chunk_idx, chunk), or ``name`` and ch: one paragraph per recursion step."""
     opened = "p"
     if words:
         kept = f"array_to_string(list_filter(regexp_split_to_array(c, '{_WORD_GAP}'), lambda w: w <> '')[-{words}:], ' ')"
         opened = f"{kept} || ' ' || p"
     return f"""
-ps as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{SPACE}')),
+{name}ps as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{SPACE}')),
               lambda x: x <> '') as ps from {source}),
-r as (select doc_id, ps, 1 as i, '' as c, null::varchar as e, -1 as pos from ps
+{name}r as (select doc_id, ps, 1 as i, '' as c, null::varchar as e, -1 as pos from {name}ps
   union all select doc_id, ps, i + 1,
     case when length(c) + length(p) > {size} and c <> '' then {opened} when c <> '' then c || chr(10) || p else p end,
     case when length(c) + length(p) > {size} and c <> '' then c end,
     case when length(c) + length(p) > {size} and c <> '' then pos + 1 else pos end
-  from (select *, ps[i] as p from r where i <= len(ps))),
-ch as (select doc_id, pos as chunk_idx, e as chunk from r where e is not null
-  union all select doc_id, pos + 1, c from r where i = len(ps) + 1 and c <> '')"""
+  from (select *, ps[i] as p from {name}r where i <= len(ps))),
+{name}ch as (select doc_id, pos as chunk_idx, e as chunk from {name}r where e is not null
+  union all select doc_id, pos + 1, c from {name}r where i = len(ps) + 1 and c <> '')"""
 
 
 ORACLE["chunk_text"] = f"with recursive {_chunks('documents')} select doc_id, chunk_idx, chunk from ch"
@@ -357,6 +357,7 @@ ranked as (select *, row_number() over (partition by query_id order by d, vec_id
 ORACLE["knn"] = f"""{_knn("")}
 select query_id, rank::int as rank, vec_id, round(1 - d, 6) as similarity, round(1 - d / 2, 6) as cosine
 from ranked where rank <= 5"""
+ORACLE["knn_by_cells"] = ORACLE["knn"]
 ORACLE["knn_in_file"] = f"""{_knn("where b.label = 3")}
 select query_id, rank::int as rank, vec_id, round(d, 6) as distance from ranked where rank <= 5"""
 ORACLE["vectors_of_file"] = "select vec_id, label as file_id from embeddings where label = 3"
@@ -417,6 +418,7 @@ hits as (select query_id, rank::int as rank, r.doc_id as file_id, r.chunk_idx, 1
   from ranked r join ch on ch.doc_id = r.doc_id and ch.chunk_idx = r.chunk_idx)"""
 ORACLE["document_query"] = f"""{_FOUND}
 select query_id, rank, file_id, chunk_idx, 'text' as chunk_type, round(s, 6) as similarity, content from hits"""
+ORACLE["document_query_by_cells"] = ORACLE["document_query"]
 ORACLE["document_query_numbers"] = f"""{_FOUND}
 select item_id as query_id, count(s) as num_results, round(coalesce(avg(s), 0), 6) as avg_similarity,
        (select coalesce(string_agg(f::varchar, ',' order by f), '')
@@ -427,15 +429,17 @@ select query_id, string_agg('[Relevance: ' || printf('%.2f', s) || '] ' || conte
        as context_text
 from hits group by query_id"""
 
-_FOUND_QA = f"""
-with recursive qd as {_QA_DOCUMENTS},
+_QA_UNITS = f"""
+qd as {_QA_DOCUMENTS},
 {_chunks("qd")},
 {_QA.strip()},
 sizes as (select doc_id, count(*) as n from ch group by doc_id),
 un as (select doc_id, chunk_idx, 'text' as chunk_type, chunk as full_text, null::varchar as question,
          null::varchar as answer, null::varchar as analysis from ch
   union all select qa.doc_id, n + qa_idx, 'qa_pair', {_QA_TEXT}, question, answer, analysis
-  from qa join sizes on sizes.doc_id = qa.doc_id),
+  from qa join sizes on sizes.doc_id = qa.doc_id)"""
+_FOUND_QA = f"""
+with recursive {_QA_UNITS.strip()},
 {_search("benchmark", "item_id", "text", "un", "doc_id, chunk_idx", "full_text", 5)},
 hits as (select query_id, rank::int as rank, r.doc_id as file_id, chunk_type, 1 - d as s,
     substr(full_text, 1, 500) as content, question, answer, analysis
@@ -454,6 +458,15 @@ n as (select query_id, (sum(length('[Relevance: ' || printf('%.2f', s) || '] ' |
 select n.query_id, coalesce(chr(10) || chr(10) || 'Relevant Q&A pairs from analysis:' || chr(10) || t, '') as qa_context, n.n
 from n left join b on b.query_id = n.query_id"""
 
+ORACLE["vector_store_two_streams"] = f"""
+with recursive {_QA_UNITS.strip()},
+{_chunks("(select item_id as doc_id, text from benchmark)", name="item_").strip()},
+both_units as (select chunk_idx, chunk_type, full_text, question, answer, analysis from un
+  union all select chunk_idx, 'text', chunk, null, null, null from item_ch)
+select t as "table", chunk_idx, chunk_type, substr(full_text, 1, 500) as original_text, question as question_text,
+       answer as answer_text, analysis as analysis_text
+from both_units, (select unnest(['loads', 'compacted']) as t)"""
+
 # Catalog
 
 ORACLE["catalog_list"] = " union all ".join(

@@ -19,7 +19,8 @@ from factsheet.operators.search import document_numbers
 from factsheet.sources.csv import read_csv
 from factsheet.sources.documents import find_document, read_txt
 from factsheet.sources.sinks import write_csv, write_json
-from factsheet.sources.vectors import add_vectors, list_stores, read_vectors, store_stats, vectors_of_file
+from factsheet.sources.vectors import add_vectors, compact, list_stores, read_vectors, store_stats, vectors_of_file
+from factsheet.streaming.watch import watch_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -402,6 +403,17 @@ def _(spark, sf):
     )
 
 
+@query("knn_by_cells")
+def _(spark, sf):
+    """The same by the join that larger query tables take."""
+    v = vectors_of(spark, sf)
+    hits = fs.nearest(v, as_queries(v), 5, block_bytes=0)
+    return hits.select(
+        "query_id", "rank", "vec_id", F.round(similarity(F.col("distance")), 6).alias("similarity"),
+        F.round(cosine(F.col("distance")), 6).alias("cosine"),
+    )
+
+
 @query("knn_in_file")
 def _(spark, sf):
     """The same among the vectors of one file."""
@@ -456,6 +468,24 @@ def _(spark, sf):
     return list_stores(read_vectors(spark, path))
 
 
+@query("vector_store_two_streams")
+def _(spark, sf):
+    """Two streams of text files and a batch load fill one table; then it is compacted."""
+    path = staging_path(spark, "streams")
+    texts = table(spark, sf, "benchmark").select("item_id", "text")
+    for part in (0, 1):
+        texts.filter(F.col("item_id") % 2 == part).write.partitionBy("item_id").text(f"{path}/in{part}")
+        watch_documents(spark, f"{path}/in{part}", f"{path}/vectors", f"{path}/state{part}", dimension=DIMENSION).awaitTermination()
+    talks = embedded_units(qa_documents(spark, sf)).withColumn("file_id", F.concat(F.lit("talk"), F.col("file_id").cast("string")))
+    add_vectors(talks.drop("full_text"), f"{path}/vectors", DIMENSION)
+    before = read_vectors(spark, f"{path}/vectors")
+    compact(spark, f"{path}/vectors")
+    after = read_vectors(spark, f"{path}/vectors")
+    columns = ["chunk_idx", "chunk_type", "original_text", "question_text", "answer_text", "analysis_text"]
+    both = before.select(F.lit("loads").alias("table"), *columns).unionByName(after.select(F.lit("compacted").alias("table"), *columns))
+    return both
+
+
 def row_queries(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("c_nationkey "), F.col("n_nationkey").cast("string"), F.lit(" c_mktsegment BUILDING"))
     return fs.embed_text(
@@ -513,6 +543,17 @@ def _(spark, sf):
     return rounded(result, "similarity", digits=6)
 
 
+@query("document_query_by_cells")
+def _(spark, sf):
+    """The same from stored vectors, by the join that larger query tables take."""
+    path = staging_path(spark, "vectors")
+    units = embedded_units(documents(spark, sf)).withColumn("file_id", F.col("file_id").cast("string"))
+    add_vectors(units.drop("full_text"), path, DIMENSION)
+    units = read_vectors(spark, path).withColumn("file_id", F.col("file_id").cast("bigint"))
+    result = fs.document_query(units, text_queries(spark, sf), 3, block_bytes=0).result
+    return rounded(result.drop("similarity_score", "question", "answer", "analysis"), "similarity", digits=6)
+
+
 @query("document_query_numbers")
 def _(spark, sf):
     numbers = rounded(found(spark, sf).numbers, "avg_similarity", digits=6)

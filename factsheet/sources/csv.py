@@ -4,6 +4,8 @@ A read costs one pass over the text to stage it as parquet in the shared folder,
 aggregate over the staged strings to infer all types at once, and no shuffle. The staged
 copy also fixes the row positions: they come from physical columns, so a task that is run
 again after the loss of an executor cannot number its rows differently.
+
+Files with line breaks inside quotes are read in splits, too (``sources.records``).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from factsheet.functions.columns import ROW_INDEX
 from factsheet.functions.hashing import decoded, source_id
 from factsheet.functions.session import staged, staging_path
+from factsheet.sources.records import AT, FILE, NAME, RECORD, SPLIT, lines, records
 
 # Cells that mean "missing".
 NA_TOKENS = (
@@ -37,10 +40,7 @@ BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 # Row offsets are broadcast only up to this many file splits, else they are joined by shuffle.
 BROADCAST_SPLITS = 500_000
 
-# A header may break over so many lines.
-HEAD_LINES = 100
-
-_FILE, _NAME, _MODIFIED, _SPLIT, _POSITION, _EXTRA = "_file", "_name", "_modified", "_split", "_position", "_extra"
+_POSITION, _EXTRA, _ORDER = "_position", "_extra", "_order"
 
 
 class CsvTable(NamedTuple):
@@ -73,56 +73,68 @@ def header_names(line: str) -> list[str]:
     return names
 
 
+@F.arrow_udf(T.StringType())
+def _names(heads: pa.Array) -> pa.Array:
+    return pa.array([json.dumps(header_names(h)) for h in heads.to_pylist()], pa.string())
+
+
 def _heads(spark: SparkSession, paths: Sequence[str], multi_line: bool | None) -> DataFrame:
-    """Per file: its header's names as JSON, and whether some line has an odd number of quotes.
+    """Per file: its first line that isn't blank, and whether a line break inside quotes is possible.
 
-    A file with odd lines has line breaks inside quotes and can't be split by line; its header is read
-    from its first ``HEAD_LINES`` lines, that of the others from the first line that isn't blank.
+    It is when a line has an odd number of quotes, or a quote amid other characters, which opens nothing.
     """
-    quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
-    lines = spark.read.text(list(paths)).filter(F.trim("value") != "").select(
-        decoded(F.col("_metadata.file_path")).alias(_FILE),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-        "value",
-        (F.col("value").contains('"') & (quotes % 2 == 1)).alias("odd"),
-    )
-    first = lines.groupBy(_FILE).agg(F.min_by("value", "at").alias("head"), F.max("odd").alias("odd"))
-    first = staged(first, "heads")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    doubtful = F.col("value").contains('"') & ((quotes % 2 == 1) | F.col("value").rlike('[^,"]"[^,"]'))
+    # Ids in a task grow with its lines, and a task reads a file's splits in order.
+    at = F.struct(F.col(SPLIT), F.monotonically_increasing_id()).alias("at")
+    found = lines(spark, paths).filter(F.trim("value") != "").select(FILE, at, "value", doubtful.alias("odd"))
+    heads = found.groupBy(FILE).agg(F.min_by("value", "at").alias("head"), F.max("odd").alias("odd"))
     if multi_line is not None:
-        first = first.withColumn("odd", F.lit(multi_line))
-    odd = first.filter("odd").select(F.col(_FILE).alias("_odd"))
-    top = lines.join(odd, lines[_FILE] == odd["_odd"], "left_semi")
-    top = top.withColumn("n", F.row_number().over(W.partitionBy(_FILE).orderBy("at"))).filter(F.col("n") <= HEAD_LINES)
-    whole = top.groupBy(_FILE).agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "value")))["value"], "\n").alias("head"))
-    heads = first.filter("not odd").select(_FILE, "head", "odd").unionByName(whole.select(_FILE, "head", F.lit(True).alias("odd")))
-
-    @F.arrow_udf(T.StringType())
-    def names(heads: pa.Array) -> pa.Array:
-        return pa.array([json.dumps(header_names(h)) for h in heads.to_pylist()], pa.string())
-
-    return staged(heads.select(_FILE, "odd", names("head").alias("names")), "heads")
-
-
-def _read_strings(spark: SparkSession, paths: Sequence[str], width: int, multi_line: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(_EXTRA, T.StringType())])
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", True)
-    return reader.option("multiLine", multi_line).csv(list(paths))
-
-
-def _labelled(df: DataFrame, order: Sequence[int]) -> DataFrame:
-    """Cells c0, c1, ... in the table's order; ``order`` says where the file has them."""
-    cells = [F.when(~F.col(f"c{k}").isin(*NA_TOKENS), F.col(f"c{k}")).alias(f"c{i}") for i, k in enumerate(order)]
-    return df.select(
-        *cells,
-        F.col(_EXTRA).isNotNull().alias(_EXTRA),
-        decoded(F.col("_metadata.file_path")).alias(_FILE),
-        decoded(F.col("_metadata.file_name")).alias(_NAME),
-        F.col("_metadata.file_modification_time").alias(_MODIFIED),
-        F.col("_metadata.file_block_start").alias(_SPLIT),
+        heads = heads.withColumn("odd", F.lit(multi_line))
+    return staged(heads, "heads")
+
+
+def _strings(width: int) -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(_EXTRA, T.StringType())])
+
+
+def _read_strings(spark: SparkSession, paths: Sequence[str], width: int) -> DataFrame:
+    """The cells of files whose records are lines."""
+    reader = spark.read.schema(_strings(width)).option("header", True).option("escape", '"').option("enforceSchema", True)
+    return reader.csv(list(paths)).select(
+        "*",
+        decoded(F.col("_metadata.file_path")).alias(FILE),
+        decoded(F.col("_metadata.file_name")).alias(NAME),
+        F.col("_metadata.file_block_start").alias(SPLIT),
         F.monotonically_increasing_id().alias(_POSITION),
     )
 
 
+def _read_records(found: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+    """The cells of records with line breaks, without the records that are headers."""
+    first = heads.select(F.col(FILE).alias("_f"), F.col("first").alias("_first"))
+    rows = found.join(_fitting(first), (F.col(FILE) == F.col("_f")) & (F.struct(SPLIT, AT) == F.col("_first")), "left_anti")
+    schema = ", ".join(f"{f.name} string" for f in _strings(width))
+    cells = F.from_csv(F.col(RECORD), schema, {"escape": '"'}).alias("c")
+    return rows.select(cells, FILE, NAME, SPLIT, F.col(AT).alias(_POSITION)).select("c.*", FILE, NAME, SPLIT, _POSITION)
+
+
+def _fitting(files: DataFrame) -> DataFrame:
+    """A table of one row for each file, to be broadcast up to a checked number of them."""
+    return F.broadcast(files) if files.count() <= BROADCAST_SPLITS else files
+
+
+def _labelled(df: DataFrame, width: int, order: Sequence[int] | None) -> DataFrame:
+    """Cells c0, c1, ... in the table's order; ``order``, or else the column of that name, says where a file has them."""
+    if order is None:
+        found = F.array(*[f"c{i}" for i in range(width)])
+        df = df.withColumns({f"c{i}": F.get(found, F.get(F.col(_ORDER), i)) for i in range(width)})
+    else:
+        df = df.withColumns({f"c{i}": F.col(f"c{k}") for i, k in enumerate(order)})
+    cells = [F.when(~F.col(f"c{i}").isin(*NA_TOKENS), F.col(f"c{i}")).alias(f"c{i}") for i in range(width)]
+    return df.select(*cells, F.col(_EXTRA).isNotNull().alias(_EXTRA), FILE, NAME, SPLIT, _POSITION)
+
+
 def _inferred(staged: DataFrame, names: Sequence[str]) -> dict[str, str]:
     checks = []
     for i in range(len(names)):
@@ -155,41 +167,49 @@ def _typed(i: int, name: str, dtype: str) -> Column:
     return c.alias(name) if dtype == "string" else F.trim(c).cast(dtype).alias(name)
 
 
-def _splits(staged: DataFrame, file_id: Column, across: bool) -> DataFrame:
+def _splits(rows: DataFrame, width: int, file_id: str | None) -> DataFrame:
+    """Per file split: its file, the position of its first row in the task, rows, and a digest of the rows."""
+    digest = F.xxhash64(*[f"c{i}" for i in range(width)]).cast("decimal(20,0)") if file_id is None else F.lit(0).cast("decimal(20,0)")
+    found = rows.groupBy(FILE, NAME, SPLIT).agg(F.min(_POSITION).alias("_base"), F.count(F.lit(1)).alias("_n"), F.sum(digest).alias("_digest"))
+    return staged(found, "splits")
+
+
+def _files(splits: DataFrame, file_id: str | None) -> DataFrame:
+    """Per file: its id, by path and content unless one is given, and its rows."""
+    files = splits.groupBy(FILE, NAME).agg(F.sum("_n").alias("num_rows"), F.sum("_digest").alias("_digest"))
+    content = F.concat_ws("/", F.col("num_rows").cast("string"), F.col("_digest").cast("string"))
+    given = F.lit(file_id) if file_id is not None else source_id(F.col(FILE), content)
+    files = files.select(FILE, NAME, given.alias("file_id"), "num_rows")
+    if file_id is None and not files.groupBy("file_id").count().filter("count > 1").isEmpty():
+        raise ValueError("two files got one id; read them under ids of your own")
+    return files
+
+
+def _offsets(splits: DataFrame, files: DataFrame, across: bool) -> DataFrame:
     """Per file split: its file's id, and the position of its first row in the task and in the table.
 
     ``across`` numbers the rows of all files together, in the order of their paths: files under one id.
     """
-    splits = staged.groupBy(_FILE, _NAME, _MODIFIED, _SPLIT).agg(
-        F.min(_POSITION).alias("_base"), F.count(F.lit(1)).alias("_n")
-    )
-    order = W.orderBy(_FILE, _SPLIT) if across else W.partitionBy(_FILE).orderBy(_SPLIT)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    return splits.select(
-        _FILE, _SPLIT, file_id.alias("file_id"), "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
+    order = W.orderBy(FILE, SPLIT) if across else W.partitionBy(FILE).orderBy(SPLIT)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return splits.join(files.select(FILE, "file_id"), FILE).select(FILE, SPLIT, "file_id", "_base", before.alias("_before"))
 
 
-def _groups(spark: SparkSession, paths: Sequence[str], multi_line: bool | None) -> tuple[list[str], list[tuple]]:
-    """The table's column names, and (files, order of columns, multi_line) for each way of reading.
+def _forms(heads: DataFrame) -> tuple[list[str], DataFrame | None]:
+    """The table's column names, and per file where it has them; None if all files agree.
 
-    Only distinct headers reach the driver, and names of files only where they must be read apart.
+    Only distinct headers reach the driver.
     """
-    heads = _heads(spark, paths, multi_line)
-    kinds = [(json.loads(r["names"]), r["odd"]) for r in heads.groupBy("names", "odd").agg(F.min(_FILE).alias("f")).orderBy("f").collect()]
-    if not kinds:
-        raise ValueError(f"no rows in {paths}")
-    names = kinds[0][0]
-    for other, _ in kinds:
+    kinds = [json.loads(r["names"]) for r in heads.groupBy("names").agg(F.min(FILE).alias("f")).orderBy("f").collect()]
+    names = kinds[0]
+    for other in kinds:
         if sorted(other) != sorted(names):
             raise ValueError(f"files have different headers: {names} and {other}")
     if len(kinds) == 1:
-        return names, [(list(paths), range(len(names)), kinds[0][1])]
-    groups = []
-    for other, odd in kinds:
-        files = [r[0] for r in heads.filter((F.col("names") == json.dumps(other)) & (F.col("odd") == odd)).select(_FILE).collect()]
-        groups.append((files, [other.index(n) for n in names], odd))
-    return names, groups
+        return names, None
+    orders = [(json.dumps(k), [k.index(n) for n in names]) for k in kinds]
+    table = heads.sparkSession.createDataFrame(orders, f"names string, {_ORDER} array<int>")
+    return names, heads.select(FILE, "names").join(F.broadcast(table), "names").select(FILE, _ORDER)
 
 
 def read_csv(
@@ -202,31 +222,46 @@ def read_csv(
 
     Integers become bigint (double when the column has gaps), other numbers double,
     True/False columns without gaps boolean; dates stay text. Rows with fewer fields are filled with
-    nulls; rows with more are an error. ``multi_line`` of None finds the files with line breaks inside
-    quotes and reads only those unsplit. With a given ``file_id`` the rows of all files are numbered
-    together, else each file on its own.
+    nulls; rows with more are an error. ``multi_line`` of None finds the files that may have line breaks
+    inside quotes; what their splits start in is worked out first, so that many tasks read one file. With a
+    given ``file_id`` the rows of all files are numbered together, else each file on its own.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    names, groups = _groups(spark, paths, multi_line)
+    heads = _heads(spark, paths, multi_line)
+    has = {r["odd"] for r in heads.select("odd").distinct().collect()}
+    if not has:
+        raise ValueError(f"no rows in {paths}")
+    plain = heads.filter("not odd").select(FILE, "head", F.lit(None).cast(f"struct<{SPLIT}: bigint, {AT}: bigint>").alias("first"))
+    found = None
+    if True in has:
+        found = records(spark, paths, None if False not in has else heads.filter("odd").select(FILE))
+        at = F.struct(SPLIT, AT)
+        plain = plain.unionByName(found.groupBy(FILE).agg(F.min_by(RECORD, at).alias("head"), F.min(at).alias("first")))
+    heads = staged(plain.withColumn("names", _names("head")), "heads")
+    names, orders = _forms(heads)
+    width = len(names)
+
     folder = staging_path(spark, "csv")
+    parts = []
+    if False in has:
+        rows = _read_strings(spark, paths, width)
+        if found is not None:
+            rows = rows.join(_fitting(heads.filter("first is null").select(FILE)), FILE, "left_semi")
+        parts.append(rows)
+    if found is not None:
+        parts.append(_read_records(found, heads.filter("first is not null"), width))
     # Positions are numbered per scan, so each way of reading is staged on its own.
-    for i, (files, order, odd) in enumerate(groups):
-        _labelled(_read_strings(spark, files, len(names), odd), order).write.parquet(f"{folder}/part={i}")
-    staged = spark.read.parquet(*[f"{folder}/part={i}" for i in range(len(groups))])
-
-    types = _inferred(staged, names)
-    given = F.lit(file_id) if file_id is not None else source_id(F.col(_NAME), F.col(_MODIFIED))
-    splits = _splits(staged, given, file_id is not None)
-    if splits.count() <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    rows = staged.join(splits, [_FILE, _SPLIT]).select(
+    for i, rows in enumerate(parts):
+        rows = rows if orders is None else rows.join(_fitting(orders), FILE)
+        _labelled(rows, width, range(width) if orders is None else None).write.parquet(f"{folder}/part={i}")
+    cells = spark.read.parquet(*[f"{folder}/part={i}" for i in range(len(parts))])
+
+    types = _inferred(cells, names)
+    splits = _splits(cells, width, file_id)
+    files = _files(splits, file_id)
+    rows = cells.join(_fitting(_offsets(splits, files, file_id is not None)), [FILE, SPLIT]).select(
         "file_id",
         (F.col(_POSITION) - F.col("_base") + F.col("_before")).alias(ROW_INDEX),
         *[_typed(i, n, types[n]) for i, n in enumerate(names)],
     )
-    files = (
-        staged.groupBy(_FILE, _NAME, _MODIFIED)
-        .agg(F.count(F.lit(1)).alias("num_rows"))
-        .select(given.alias("file_id"), F.col(_NAME).alias("filename"), "num_rows", F.lit(len(names)).alias("num_columns"))
-    )
-    return CsvTable(rows, files)
+    return CsvTable(rows, files.select("file_id", F.col(NAME).alias("filename"), "num_rows", F.lit(width).alias("num_columns")))

@@ -1,12 +1,13 @@
 """Loading files as they arrive in a folder.
 
-Each micro-batch goes through the same functions as a batch load. A batch writes to a folder
-of its own and overwrites it, so a batch that is run again after a failure leaves no
-duplicates.
+Each micro-batch goes through the same functions as a batch load, under a name made of the stream's own id
+and the number of the batch. A batch that is run again after a failure leaves no duplicates, and any number
+of streams and batch loads may write into one table.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,8 @@ def watch_documents(
 ) -> StreamingQuery:
     """Chunk and embed text files as they arrive; ``read_vectors`` reads the resulting table.
 
-    ``once`` stops after the files present at the start.
+    A batch is a load like others: it replaces what the table holds of its files. ``once`` stops after
+    the files present at the start.
     """
     files = (
         spark.readStream.option("pathGlobFilter", TXT_FILES)
@@ -48,7 +50,7 @@ def watch_documents(
     def load(batch: DataFrame, batch_id: int) -> None:
         units = document_units(spread(batch), chunk_size=chunk_size, overlap=overlap)
         embedded = embed_text(units, "full_text", dimension).drop("full_text")
-        add_vectors(embedded, vectors, dimension, buckets, load=batch_id)
+        add_vectors(embedded, vectors, dimension, buckets, key=f"{stream_id(spark, checkpoint)}/{batch_id}")
 
     return _start(txt_rows(files), load, checkpoint, once)
 
@@ -76,11 +78,16 @@ def watch_rows(
     rows = files.select(*[cell(f) for f in schema.fields])
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{output}/stream={stream_id(spark, checkpoint)}/batch={batch_id}")
 
     return _start(rows, load, checkpoint, once)
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a stream when it made its checkpoint folder."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def _start(rows: DataFrame, load, checkpoint: str, once: bool) -> StreamingQuery:
     writer = rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

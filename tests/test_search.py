@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factsheet import document_context, document_query, embed_text, explain_row, nearest, row_units
 from factsheet.functions.vectors import l2_normalize
+from factsheet.operators import cells
 
 
 def frame(spark, vectors, name="vec_id"):
@@ -180,8 +181,95 @@ def test_explain_row_joins_within_a_file(spark):
         nearest(units, twice, 1, ["file_id", "row_idx"])
 
 
-def test_even_blocks_whatever_the_ids(spark):
-    rng = np.random.default_rng(1)
-    corpus, queries = frame(spark, rng.normal(size=(40, 4))), rng.normal(size=(50, 4))
-    got = found(nearest(corpus, frame(spark, queries, "query_id"), 3, block_bytes=16 * 7))
-    assert len(got) == 50
+# Query tables of any size: the join by cells
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    """Cells, blocks and turns of a few rows, so that small tables make many of each."""
+    for name, n in (("RING_ROWS", 10), ("BLOCK_BYTES", 4 * 8 * 7), ("TURN_ROWS", 5), ("SAMPLE", 60)):
+        monkeypatch.setattr(cells, name, n)
+
+
+def clusters(rng, n, dimension=8, centers=12):
+    middle = rng.normal(size=(centers, dimension)) * 10
+    return middle[rng.integers(0, centers, n)] + rng.normal(size=(n, dimension))
+
+
+def join(spark, corpus, queries, k):
+    c = frame(spark, corpus).withColumnRenamed("embedding", "_vector")
+    q = frame(spark, queries, "query_id").withColumnRenamed("embedding", "_vector")
+    return cells.cell_join(c, q, k, ["vec_id"])
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+@pytest.mark.parametrize("shape", ["random", "clusters", "copies", "few"])
+def test_cells_equal_brute_force(spark, small_cells, shape, k):
+    rng = np.random.default_rng(k)
+    if shape == "random":
+        corpus, queries = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    elif shape == "clusters":
+        both = clusters(rng, 340)
+        corpus, queries = both[:300], both[300:]
+    elif shape == "copies":
+        # Half of all rows and of all queries are one vector, some have length zero.
+        corpus = np.concatenate([np.ones((150, 8)), rng.normal(size=(140, 8)), np.zeros((10, 8))])
+        queries = np.concatenate([np.ones((20, 8)) * 2, rng.normal(size=(19, 8)), np.zeros((1, 8))])
+    else:
+        corpus, queries = rng.normal(size=(3, 8)), rng.normal(size=(4, 8))
+    got = nearest(frame(spark, corpus), frame(spark, queries, "query_id"), k, block_bytes=0)
+    same(found(got), brute_force(corpus, queries, k))
+
+
+def test_cells_that_no_query_reaches_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(cells, "RING_ROWS", 40)
+    both = clusters(np.random.default_rng(2), 2200, centers=30)
+    corpus, queries = both[:2000], both[2000:][:20]
+    best, _, figures = join(spark, corpus, queries, 3)
+    assert figures["rings"] > 40 and figures["pairs"] < 0.2 * figures["rings"] * 20
+    assert figures["reached"] < figures["rings"]
+    same(found(nearest(frame(spark, corpus), frame(spark, queries, "query_id"), 3, block_bytes=0)), brute_force(corpus, queries, 3))
+
+
+def test_cells_read_the_corpus_once_however_many_queries(spark, small_cells):
+    rng = np.random.default_rng(7)
+    for n in (10, 200):
+        best, stored, figures = join(spark, rng.normal(size=(200, 8)), rng.normal(size=(n, 8)), 2)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        # One scan of the stored corpus and one of the stored queries.
+        assert plan.count("FileScan parquet") == 2
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert figures["pairs"] > 200
+
+
+def test_cells_keep_other_columns_of_hits_only(spark, small_cells):
+    rng = np.random.default_rng(3)
+    corpus, queries = rng.normal(size=(90, 4)), rng.normal(size=(30, 4))
+    table = frame(spark, corpus).withColumns({"text": F.concat(F.lit("t"), "vec_id"), "distance_": F.lit(1)})
+    got = nearest(table, frame(spark, queries, "query_id"), 2, keep=["text", "distance_"], block_bytes=0)
+    assert got.columns == ["query_id", "rank", "distance", "vec_id", "text", "distance_"]
+    rows = got.collect()
+    assert len(rows) == 60 and all(r["text"] == f"t{r['vec_id']}" for r in rows)
+    same(found(got), brute_force(corpus, queries, 2))
+
+
+def test_cells_of_nothing_and_errors(spark):
+    corpus, queries = frame(spark, np.eye(2)), frame(spark, np.eye(2), "query_id")
+    assert nearest(corpus.limit(0), queries, 2, block_bytes=0).count() == 0
+    assert nearest(corpus.limit(0).withColumn("t", F.lit("x")), queries, 2, keep=["t"], block_bytes=0).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        nearest(corpus, frame(spark, np.eye(3), "query_id"), 1, block_bytes=0).collect()
+    missing = corpus.unionByName(spark.createDataFrame([(9, None)], corpus.schema))
+    with pytest.raises(Exception, match="dimension"):
+        nearest(missing, queries, 1, block_bytes=0).collect()
+    with pytest.raises(Exception, match="dimension"):
+        nearest(corpus, missing.withColumnRenamed("vec_id", "query_id"), 1, block_bytes=0).collect()
+
+
+def test_searches_by_cells(spark, laptops, small_cells):
+    units = embed_text(row_units(laptops, "shop"), "full_text", 512)
+    queries = embed_text(spark.createDataFrame([(1, "name laptop bag price"), (2, "red pen")], "query_id int, q string"), "q", 512)
+    one = explain_row(laptops, units, queries, 1)
+    two = explain_row(laptops, units, queries, 1, block_bytes=0)
+    assert sorted(map(str, one.result.collect())) == sorted(map(str, two.result.collect()))
+    assert sorted(map(str, one.numbers.collect())) == sorted(map(str, two.numbers.collect()))

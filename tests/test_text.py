@@ -69,7 +69,9 @@ def test_row_text_of_numbers_only_prints_floats(spark):
 
 
 def test_source_id_is_stable(spark):
-    df = spark.createDataFrame([("my file.v1.csv", "2024-01-01"), ("my file.v1.csv", "2024-01-02")], "n string, t string")
-    ids = [r[0] for r in df.select(source_id(F.col("n"), F.col("t"))).collect()]
-    assert ids[0] != ids[1] and all(i.startswith("my_file.v1_") and len(i) == len("my_file.v1_") + 8 for i in ids)
-    assert ids == [r[0] for r in df.select(source_id(F.col("n"), F.col("t"))).collect()]
+    rows = [("file:/x/my file.v1.csv", "aa"), ("file:/x/my file.v1.csv", "ab"), ("file:/y/my file.v1.csv", "aa"), ("file:/x/.hidden", "a")]
+    df = spark.createDataFrame(rows, "p string, t string")
+    ids = [r[0] for r in df.select(source_id(F.col("p"), F.col("t"))).collect()]
+    assert len(set(ids)) == 4 and all(i.startswith("my_file.v1_") and len(i) == len("my_file.v1_") + 16 for i in ids[:3])
+    assert ids[3].startswith(".hidden_")
+    assert ids == [r[0] for r in df.select(source_id(F.col("p"), F.col("t"))).collect()]
