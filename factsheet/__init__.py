@@ -27,7 +27,7 @@ from factsheet.operators.profile import (
     table_profile,
 )
 from factsheet.operators.search import document_context, document_query, explain_row, nearest
-from factsheet.operators.select import compare_top, filter_rows, filter_threshold, sample_head, sort_data, top_n
+from factsheet.operators.select import compare_top, filter_rows, filter_threshold, ranks, sample_head, sort_data, top_n
 from factsheet.plans.ingest import ingest_documents, ingest_table, load_files
 
 # Task functions travel with their code, so executors need not have this package installed.
@@ -60,6 +60,7 @@ __all__ = [
     "nearest",
     "numeric_summary",
     "row_units",
+    "ranks",
     "sample_head",
     "samples",
     "sort_data",

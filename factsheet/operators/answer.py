@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 
 
 class Answer(NamedTuple):
-    """What an analytic question returns: result rows, and one row of computed figures."""
+    """What an analytic question returns: result rows, one row of computed figures, and (rank, value, id) of lists."""
 
     result: DataFrame
     numbers: DataFrame
+    ranked: DataFrame | None = None

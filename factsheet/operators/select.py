@@ -22,11 +22,15 @@ from factsheet.functions.columns import (
     require,
     require_numeric,
     side_by_side,
+    texts,
     value,
 )
+from factsheet.functions.positions import HEAP_ROWS, first_places, positions
 from factsheet.operators.answer import Answer
 
 FIRST_ROWS = 100
+#: Lists among the numbers have at most so many values; ranks of any number are frames.
+LISTED = 1000
 
 COMPARISONS = {
     ">": lambda c, v: c > v,
@@ -123,42 +127,62 @@ def sort_data(
     ascending: bool = True,
     limit: int | None = None,
     key: str | Sequence[str] = ROW_INDEX,
+    listed: int = LISTED,
 ) -> Answer:
     """Sorted rows; ``limit`` of None or 0 keeps all of them.
 
-    Without a limit the row indices are the key column of the (range-partitioned) result;
-    with one they are also returned as a list among the numbers.
+    Without a limit the row indices are the key column of the (range-partitioned) result; with one they
+    are the ids of ``ranked``, and up to ``listed`` of them also a list among the numbers.
     """
     require(df, column)
     keys = key_columns(df, key)
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    order = _order(df, column, keys, ascending)
-    rows = df.orderBy(*order)
-    rows = rows.limit(limit) if limit else rows
     labels = [F.lit(column).alias("sort_column"), F.lit(ascending).alias("ascending")]
     if not limit:
         first, last = _ends(df, column, ascending)
         numbers = df.agg(
             F.count(F.lit(1)).alias("total_rows"), first.alias("first_value"), last.alias("last_value")
         ).select("total_rows", F.col("total_rows").alias("returned_rows"), *labels, "first_value", "last_value")
-        return Answer(rows, numbers)
-    picked = _ranked(rows, column, keys, ascending).agg(
-        F.count(F.lit(1)).alias("returned_rows"),
-        F.min_by("v", "pos").alias("first_value"),
-        F.max_by("v", "pos").alias("last_value"),
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"),
-    ).select("returned_rows", *labels, "first_value", "last_value", F.col("p.id").alias("row_indices"))
+        return Answer(df.orderBy(*_order(df, column, keys, ascending)), numbers)
+    rows, ranked = _first(df, column, limit, ascending, keys)
+    figures = [F.count(F.lit(1)).alias("returned_rows"), F.min_by("value", "rank").alias("first_value"), F.max_by("value", "rank").alias("last_value")]
+    picked = ranked.agg(*figures, *_lists(limit, listed, row_indices="id"))
+    indices = ["row_indices"] if limit <= listed else []
+    picked = picked.select("returned_rows", *labels, "first_value", "last_value", *indices)
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return Answer(rows, side_by_side(total, picked))
+    return Answer(rows, side_by_side(total, picked), ranked)
 
 
-def _ranked(rows: DataFrame, column: str, keys: Sequence[str], ascending: bool) -> DataFrame:
-    """(pos, v, id) of rows that are already limited, so the window sees only those."""
-    w = W.partitionBy(F.lit(0)).orderBy(*_order(rows, column, keys, ascending))
-    return rows.select(
-        F.row_number().over(w).alias("pos"), value(rows, column).alias("v"), key_value(keys).alias("id")
-    )
+def ranks(
+    df: DataFrame, column: str, n: int | None = None, ascending: bool = False, key: str | Sequence[str] = ROW_INDEX
+) -> DataFrame:
+    """(rank, value, id) of the first n rows of a sorted table, or of all; any number of them."""
+    keys = key_columns(df, key)
+    require(df, column)
+    order = _order(df, column, keys, ascending)
+    narrow = df.select(col(column), *[col(k) for k in keys if k != column])
+    placed = positions(narrow, order, "_rank") if n is None else first_places(narrow, order, n, "_rank")
+    return placed.select(F.col("_rank").alias("rank"), value(df, column).alias("value"), key_value(keys).alias("id"))
+
+
+def _first(df: DataFrame, column: str, n: int, ascending: bool, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The first n rows, and their (rank, value, id)."""
+    if n <= HEAP_ROWS:
+        return top_rows(df, column, n, ascending, keys), ranks(df, column, n, ascending, keys)
+    # Stored once with their places; both frames read them there.
+    placed = first_places(df, _order(df, column, keys, ascending), n, "_rank")
+    ranked = placed.select(F.col("_rank").alias("rank"), value(df, column).alias("value"), key_value(keys).alias("id"))
+    return placed.orderBy("_rank").drop("_rank"), ranked
+
+
+def _lists(n: int, listed: int, where: Column | None = None, **lists: str) -> list[Column]:
+    """Ordered lists of columns of a ranked frame, where n is small enough to be listed."""
+    if n > listed:
+        return []
+    pairs = F.struct("rank", *sorted(set(lists.values())))
+    found = F.array_sort(F.collect_list(pairs if where is None else F.when(where, pairs)))
+    return [found[c].alias(name) for name, c in lists.items()]
 
 
 def top_rows(
@@ -171,30 +195,31 @@ def top_rows(
 
 
 def top_n(
-    df: DataFrame, column: str, n: int, ascending: bool = False, key: str | Sequence[str] = ROW_INDEX
+    df: DataFrame,
+    column: str,
+    n: int,
+    ascending: bool = False,
+    key: str | Sequence[str] = ROW_INDEX,
+    listed: int = LISTED,
 ) -> Answer:
-    """The n highest (or lowest) rows and the figures of that list.
+    """The n highest (or lowest) rows, their ranks, and the figures of that list.
 
     ``highest_value`` is the first of the list, so the lowest value when ascending;
-    ``average_of_top`` is null when one of the n values is missing.
+    ``average_of_top`` is null when one of the n values is missing. Up to ``listed`` values and
+    indices are also lists among the numbers.
     """
     require_numeric(df, column)
     keys = key_columns(df, key)
-    rows = top_rows(df, column, n, ascending, keys)
-    listed = _ranked(rows, column, keys, ascending).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "v", "id"))).alias("p"),
-        F.when(F.count(F.lit(1)) == F.count("v"), F.avg(F.col("v").cast("double"))).alias("average_of_top"),
-    )
-    numbers = listed.select(
-        F.lit(n).alias("n"),
-        F.lit(column).alias("column"),
-        F.col("p.v").alias("top_values"),
-        F.col("p.id").alias("top_indices"),
-        F.get("p", F.lit(0))["v"].alias("highest_value"),
-        F.get("p", F.size("p") - 1)["v"].alias("lowest_in_top"),
-        "average_of_top",
+    if n <= 0:
+        raise ValueError("n must be positive")
+    rows, ranked = _first(df, column, n, ascending, keys)
+    found = ranked.agg(
+        *_lists(n, listed, top_values="value", top_indices="id"),
+        F.min_by("value", "rank").alias("highest_value"),
+        F.max_by("value", "rank").alias("lowest_in_top"),
+        F.when(F.count(F.lit(1)) == F.count("value"), F.avg(F.col("value").cast("double"))).alias("average_of_top"),
     )
-    return Answer(rows, numbers)
+    return Answer(rows, found.select(F.lit(n).alias("n"), F.lit(column).alias("column"), "*"), ranked)
 
 
 def compare_top(
@@ -204,6 +229,7 @@ def compare_top(
     n: int,
     names: tuple[str, str] = ("file1", "file2"),
     key: str | Sequence[str] = ROW_INDEX,
+    listed: int = LISTED,
 ) -> Answer:
     """The n largest of the same column in two tables, side by side for ranks 1 to n."""
     if n <= 0:
@@ -211,22 +237,17 @@ def compare_top(
     sides = []
     for side, df in enumerate((df1, df2)):
         require_numeric(df, column)
-        keys = key_columns(df, key)
-        top = top_rows(df.select(col(column), *[col(k) for k in keys if k != column]), column, n, False, keys)
-        sides.append(
-            top.select(F.lit(side).alias("side"), measure(top, column).alias("v"), key_value(keys).alias("id"))
-        )
+        top = ranks(df, column, n, False, key)
+        sides.append(top.select(F.lit(side).alias("side"), "rank", measure(top, "value").alias("v"), "id"))
     both = sides[0].unionByName(sides[1])
-    w = W.partitionBy("side").orderBy(F.col("v").desc_nulls_last(), "id")
-    ranked = both.withColumn("rank", F.row_number().over(w))
 
     def of(side: int, c: str) -> Column:
         return F.when(F.col("side") == side, F.col(c))
 
-    ranks = df1.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("rank"))
+    every = df1.sparkSession.range(1, n + 1).select(F.col("id").alias("rank"))
     result = (
-        ranked.unionByName(ranks, allowMissingColumns=True)
-        .groupBy("rank")
+        both.unionByName(every, allowMissingColumns=True)
+        .groupBy(F.col("rank").cast("int").alias("rank"))
         .agg(
             *[
                 F.max(of(side, c)).alias(f"{name}_{label}")
@@ -238,14 +259,14 @@ def compare_top(
     )
     figures = []
     for side, name in enumerate(names):
-        pairs = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("rank", "v"))))
         figures += [
-            pairs["v"].alias(f"{name}_top_values"),
+            *_lists(n, listed, F.col("side") == side, **{f"{name}_top_values": "v"}),
             F.avg(of(side, "v")).alias(f"{name}_average"),
             F.max(of(side, "v")).alias(f"{name}_max"),
         ]
-    numbers = ranked.agg(F.first(F.lit(n)).alias("n"), F.first(F.lit(column)).alias("column"), *figures)
-    return Answer(result, numbers)
+    numbers = both.agg(F.first(F.lit(n)).alias("n"), F.first(F.lit(column)).alias("column"), *figures)
+    ranked = both.select(F.element_at(texts(names), F.col("side") + 1).alias("file"), "rank", F.col("v").alias("value"), "id")
+    return Answer(result, numbers, ranked)
 
 
 def sample_head(df: DataFrame, n: int = 3, key: str | Sequence[str] = ROW_INDEX) -> DataFrame:

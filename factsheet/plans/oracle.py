@@ -130,6 +130,31 @@ select 10 as n, 'acctbal' as "column",
   (select round(avg(v), 4) from c) as customer_average, (select round(avg(v), 4) from s) as supplier_average,
   (select max(v) from c) as customer_max, (select max(v) from s) as supplier_max"""
 
+_LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity"
+
+
+def _half(direction: str) -> str:
+    return f"""
+select row_number() over (order by l_extendedprice {direction}, {_LINE_ORDER}) as rank, * from lineitem
+order by l_extendedprice {direction}, {_LINE_ORDER} limit (select count(*) // 2 from lineitem)"""
+
+
+ORACLE["top_half_ranks"] = f"select rank, l_extendedprice as value, l_orderkey, l_linenumber, l_quantity from ({_half('desc')})"
+ORACLE["top_half_numbers"] = f"""
+select (select count(*) // 2 from lineitem) as n, 'l_extendedprice' as "column", min_by(l_extendedprice, rank) as highest_value,
+       max_by(l_extendedprice, rank) as lowest_in_top, round(avg(l_extendedprice), 4) as average_of_top
+from ({_half('asc')})"""
+ORACLE["sort_half_rows"] = f"select l_orderkey, l_linenumber, l_quantity, l_extendedprice from ({_half('asc')})"
+ORACLE["rank_all_rows"] = f"""
+select row_number() over (order by value asc nulls last, event_id) as rank, value, event_id as id from {GAPPED} e"""
+_SIDE = f"select row_number() over (order by l_extendedprice desc, {_LINE_ORDER}) as rank, * from lineitem where l_returnflag"
+ORACLE["compare_top_half"] = f"""
+with a as ({_SIDE} = 'N'), b as ({_SIDE} <> 'N')
+select r.rank::int as rank, a.l_extendedprice as new_l_extendedprice, b.l_extendedprice as old_l_extendedprice,
+       a.l_orderkey as new_order, b.l_orderkey as old_order
+from (select unnest(range(1, (select count(*) // 2 from lineitem) + 1)) as rank) r
+left join a on a.rank = r.rank left join b on b.rank = r.rank"""
+
 # Profiles
 
 # The schemas of the given tables.

@@ -236,6 +236,51 @@ def _(spark, sf):
     return rounded(numbers.withColumns(lists), "customer_average", "supplier_average")
 
 
+RANKED_KEY = ("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def half(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Line items, and half their number: lists that no task could hold on large tables."""
+    rows = table(spark, sf, "lineitem")
+    return rows, max(1, rows.count() // 2)
+
+
+@query("top_half_ranks")
+def _(spark, sf):
+    rows, n = half(spark, sf)
+    return fs.top_n(rows, "l_extendedprice", n, key=LINEITEM_KEY).ranked.select("rank", "value", *[f"id.{k}" for k in RANKED_KEY])
+
+
+@query("top_half_numbers")
+def _(spark, sf):
+    rows, n = half(spark, sf)
+    numbers = fs.top_n(rows, "l_extendedprice", n, True, LINEITEM_KEY, listed=0).numbers
+    return rounded(numbers, "average_of_top").withColumn("n", F.col("n").cast("bigint"))
+
+
+@query("sort_half_rows")
+def _(spark, sf):
+    rows, n = half(spark, sf)
+    return fs.sort_data(rows, "l_extendedprice", True, n, LINEITEM_KEY).result.select(*RANKED_KEY, "l_extendedprice")
+
+
+@query("rank_all_rows")
+def _(spark, sf):
+    """The place of every event in order of its value."""
+    return fs.ranks(gapped_events(spark, sf), "value", None, True, "event_id")
+
+
+@query("compare_top_half")
+def _(spark, sf):
+    rows, n = half(spark, sf)
+    sides = [rows.filter(f"l_returnflag {op} 'N'").select(*LINEITEM_KEY) for op in ("=", "<>")]
+    result = fs.compare_top(*sides, "l_extendedprice", n, ("new", "old"), LINEITEM_KEY).result
+    return result.select(
+        "rank", "new_l_extendedprice", "old_l_extendedprice",
+        F.col("new_index.l_orderkey").alias("new_order"), F.col("old_index.l_orderkey").alias("old_order"),
+    )
+
+
 # Profiles
 
 

@@ -1,8 +1,10 @@
 import operator
 
 import pytest
+from pyspark.sql import functions as F
 
 from factsheet import compare_averages, compare_top, filter_rows, filter_threshold, sample_head, sort_data, top_n
+from factsheet.functions.positions import positions
 
 NAN = float("nan")
 
@@ -153,5 +155,43 @@ def test_single_table_figures(spark):
     }
 
 
+@pytest.fixture
+def long_lists(monkeypatch):
+    """Every list is taken for a long one."""
+    for module in ("factsheet.operators.select", "factsheet.functions.positions"):
+        monkeypatch.setattr(f"{module}.HEAP_ROWS", 0)
+
+
+def test_long_lists_equal_short_ones(spark, gaps, long_lists):
+    top = top_n(gaps, "x", 10)
+    assert [r["_row_index"] for r in top.result.collect()] == [3, 4, 0, 1, 2]
+    assert [tuple(r) for r in top.ranked.orderBy("rank").collect()] == [(1, 2.0, 3), (2, 2.0, 4), (3, 1.0, 0), (4, None, 1), (5, None, 2)]
+    n = top.numbers.first()
+    assert n["top_indices"] == [3, 4, 0, 1, 2] and n["highest_value"] == 2.0 and n["average_of_top"] is None
+    assert top_n(gaps, "x", 3).numbers.first()["average_of_top"] == pytest.approx(5 / 3)
+    both = compare_top(gaps, gaps, "x", 2, ("a", "b"))
+    assert [tuple(r) for r in both.result.collect()] == [(1, 2.0, 3, 2.0, 3), (2, 2.0, 4, 2.0, 4)]
+    limited = sort_data(gaps, "x", True, 2)
+    assert [r["_row_index"] for r in limited.result.collect()] == [0, 3] and limited.numbers.first()["row_indices"] == [0, 3]
+    assert top_n(gaps.limit(0), "x", 3).ranked.count() == 0
+
+
+def test_lists_among_the_numbers_are_bounded(gaps):
+    n = top_n(gaps, "x", 3, listed=2)
+    assert "top_values" not in n.numbers.columns and n.numbers.first()["highest_value"] == 2.0 and n.ranked.count() == 3
+    assert "row_indices" not in sort_data(gaps, "x", limit=3, listed=2).numbers.columns
+    assert "file1_top_values" not in compare_top(gaps, gaps, "x", 3, listed=2).numbers.columns
+
+
+def test_positions_of_many_equal_rows_lie_in_many_tasks(spark, long_lists):
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 5, id) as x", "1 as k").repartition(9)
+    found = positions(df, [F.col("x").desc(), F.col("k")], "pos")
+    assert found.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first() == (1, 20_000, 20_000)
+    pairs = sorted((r["pos"], -r["x"]) for r in found.collect())
+    assert [x for _, x in pairs] == sorted(x for _, x in pairs)
+    plan = top_n(df, "x", 15_000, key="k").ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
 def test_sample_head(gaps):
     assert [r["_row_index"] for r in sample_head(gaps.repartition(3)).collect()] == [0, 1, 2]
