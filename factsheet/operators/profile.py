@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from factsheet.functions.columns import col, measure, split_columns, sql_text, texts, value
 from factsheet.functions.hashing import fingerprint, row_digest
 from factsheet.functions.text import fixed_text, printed
-from factsheet.operators.quantile import SMALL, median_exprs
+from factsheet.operators.quantile import SMALL, figures
 
+#: Texts up to this length are counted as they are, longer ones by digests.
+SHORT = 64
 # Names a data-frame user knows for the types a CSV can hold.
 TYPE_NAMES = {
     "long": "int64",
@@ -76,23 +78,38 @@ def table_profile(df: DataFrame, file_id: str, filename: str, skip: Sequence[str
     return profiles([(df, file_id, filename)], skip)
 
 
+def numeric_figures(df: DataFrame, names: Sequence[str], small: int = SMALL) -> DataFrame:
+    """One row with lo, hi (as the column is typed), mean and exact median (mid) of each column, from two scans."""
+    wanted = [
+        f.alias(f"{label}{i}")
+        for i, c in enumerate(names)
+        for label, f in (("lo", F.min(value(df, c))), ("hi", F.max(value(df, c))), ("mean", F.avg(measure(df, c)).cast("double")))
+    ]
+    facts, middle = figures(df, names, wanted, small)
+    types = df.agg(*wanted).schema
+    kinds = T.StructType([*types.fields, *[T.StructField(f"mid{i}", T.DoubleType()) for i in range(len(names))]])
+    return df.sparkSession.createDataFrame([(*facts[: len(wanted)], *[middle[c] for c in names])], kinds)
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, small: int = SMALL) -> DataFrame:
-    """(column, min, max, mean, median) with exact medians, all columns in one pass for the rest."""
+    """(column, min, max, mean, median) with exact medians, all columns together."""
     names = list(columns if columns is not None else split_columns(df)[0])
-    middle = median_exprs(df, names, small)
-    figures = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.min(measure(df, c)).cast("double").alias("min"),
-                F.max(measure(df, c)).cast("double").alias("max"),
-                F.avg(measure(df, c)).cast("double").alias("mean"),
-                middle[c].alias("median"),
-            ).alias(f"s{i}")
-            for i, c in enumerate(names)
-        ]
-    )
-    return figures.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))])))
+
+    def double(name: str, i: int) -> Column:
+        boolean = isinstance(df.schema[names[i]].dataType, T.BooleanType)
+        return (F.col(name).cast("int") if boolean else F.col(name)).cast("double")
+
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"),
+            double(f"lo{i}", i).alias("min"),
+            double(f"hi{i}", i).alias("max"),
+            F.col(f"mean{i}").alias("mean"),
+            F.col(f"mid{i}").alias("median"),
+        )
+        for i, c in enumerate(names)
+    ]
+    return numeric_figures(df, names, small).select(F.inline(F.array(*rows)))
 
 
 def categorical_summary(
@@ -101,34 +118,52 @@ def categorical_summary(
     """(column, unique_values, top_values): distinct count without nulls, most frequent values.
 
     All columns are counted together in long form, so each value is counted map-side and a
-    value held by many rows crosses the shuffle once per task. Equal counts are ordered by
-    first appearance when ``key`` is given, else by value.
+    value held by many rows crosses the shuffle once per task. Texts of more than ``SHORT`` characters
+    are counted by 128 bits of digest; only the most frequent of them are fetched by their digests.
+    Equal counts are ordered by first appearance when ``key`` is given, else by value.
     """
     names = list(columns if columns is not None else split_columns(df)[1])
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), printed(value(df, c), df.schema[c].dataType).alias("v"))
-            for c in names
-        ]
-    )
-    long = df.select(F.explode(cells).alias("e"), *([col(key).alias("k")] if key else [])).filter("e.v is not null")
-    first_seen = [F.min("k").alias("seen")] if key else []
-    counts = long.groupBy("e.column", "e.v").agg(F.count(F.lit(1)).alias("n"), *first_seen)
-    order = [F.desc("n"), F.col("seen") if key else F.col("v"), F.col("v")]
-    ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("column").orderBy(*order)))
-    best = ranked.filter(F.col("r") <= top).select("column", "v", "r", F.lit(0).cast("bigint").alias("distinct"))
+
+    def cell(i: int, c: str) -> Column:
+        return F.struct(F.lit(i).alias("i"), printed(value(df, c), df.schema[c].dataType).alias("v"))
+
+    cells = F.explode(F.array(*[cell(i, c) for i, c in enumerate(names)])).alias("e")
+    long = df.select(cells, *([col(key).alias("k")] if key else [])).filter("e.v is not null").select("e.*", *(["k"] if key else []))
+    is_long = F.length("v") > SHORT
+    long = long.select(
+        "i", "v", *(["k"] if key else []),
+        F.when(~is_long, F.col("v")).alias("short"),
+        F.when(is_long, F.xxhash64(F.lit(1), "v")).alias("d1"),
+        F.when(is_long, F.xxhash64(F.lit(2), "v")).alias("d2"),
+    )
+    same = ["i", "short", "d1", "d2"]
+    # Without a key the starts of long texts order them, and their whole texts those of equal starts.
+    order = F.min("k") if key else F.min(F.substring("v", 1, SHORT))
+    counts = long.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), order.alias("seen"))
+    first = W.partitionBy("i").orderBy(F.desc("n"), "seen")
+    best = counts.withColumn("r", F.rank().over(first)).filter(F.col("r") <= top).select(*same, "n", "seen")
+    # The most frequent values: a few for each column, but for long texts that begin alike.
+    digests = best.filter("d1 is not null").select(F.col("i").alias("bi"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
+    at = (F.col("i") == F.col("bi")) & (F.col("d1") == F.col("b1")) & (F.col("d2") == F.col("b2"))
+    fetched = long.filter("d1 is not null").join(digests, at, "left_semi").groupBy("i", "d1", "d2").agg(F.min("v").alias("v"))
+    whole = best.filter("d1 is not null").join(fetched, ["i", "d1", "d2"]).select("i", "v", "n", "seen")
+    listed = best.filter("short is not null").select("i", F.col("short").alias("v"), "n", "seen").unionByName(whole)
+    last = W.partitionBy("i").orderBy(F.desc("n"), "seen", "v")
+    listed = listed.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= top).select("i", "v", "r", F.lit(0).cast("bigint").alias("distinct"))
     # Reads every column of ``counts``, so that both uses share one exchange.
-    counted = (F.col("n") > 0) | F.col("seen").isNull() if key else F.col("n") > 0
-    sizes = counts.groupBy("column").agg(F.count_if(counted).alias("distinct"))
-    every = df.sparkSession.range(1).select(F.explode(texts(names)).alias("column"))
+    counted = (F.col("n") > 0) | F.col("seen").isNull() | F.col("short").isNull() | F.col("d1").isNull() | F.col("d2").isNull()
+    sizes = counts.groupBy("i").agg(F.count_if(counted).alias("distinct"))
+    every = df.sparkSession.range(1).select(F.posexplode(texts(names)).alias("i", "column"))
     return (
-        best.unionByName(sizes, allowMissingColumns=True)
+        listed.unionByName(sizes, allowMissingColumns=True)
         .unionByName(every, allowMissingColumns=True)
-        .groupBy("column")
+        .groupBy("i")
         .agg(
+            F.max("column").alias("column"),
             F.coalesce(F.max("distinct"), F.lit(0)).alias("unique_values"),
             F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "v"))))["v"].alias("top_values"),
         )
+        .drop("i")
     )
 
 
@@ -140,19 +175,7 @@ def column_summaries(
     numeric, text = ([c for c in names if c in wanted] for names in split_columns(df))
     parts = []
     if numeric:
-        middle = median_exprs(df, numeric, small)
-        figures = df.agg(
-            *[
-                f.alias(f"{label}{i}")
-                for i, c in enumerate(numeric)
-                for label, f in (
-                    ("lo", F.min(value(df, c))),
-                    ("hi", F.max(value(df, c))),
-                    ("mean", F.avg(measure(df, c)).cast("double")),
-                    ("mid", middle[c]),
-                )
-            ]
-        )
+        found = numeric_figures(df, numeric, small)
         nan = F.lit("nan")
         # The wording of both sentences.
         sentences = [
@@ -171,7 +194,7 @@ def column_summaries(
             )
             for i, c in enumerate(numeric)
         ]
-        parts.append(figures.select(F.inline(F.array(*sentences))))
+        parts.append(found.select(F.inline(F.array(*sentences))))
     if text:
         parts.append(
             categorical_summary(df, text, key).select(

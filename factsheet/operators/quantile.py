@@ -1,135 +1,127 @@
-"""Exact medians without gathering a column in one task."""
+"""Exact medians of any number of columns in two scans.
+
+The first scan makes a mergeable quantile sketch of every column, and reads from each a bracket that should
+hold the middle rank. The second counts, for all columns at once, what lies below the bracket and every value
+inside it; the counts say exactly which value has the middle rank, or that the bracket missed it and a wider
+one, known from the same sketch, is counted.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import Row
 
 from factsheet.functions.columns import measure
+from factsheet.functions.session import staged
 
+#: Values in brackets that the driver may look at; more are counted in ranges of a stored table.
 SMALL = 1 << 16
-BUCKETS = 4096
-
-
-def medians(
-    df: DataFrame, columns: Sequence[str], small: int = SMALL, buckets: int = BUCKETS
-) -> dict[str, float | None]:
-    """The exact median of each column.
-
-    The range of a column is cut into intervals, only the count, minimum and maximum of each
-    interval are kept, and the search goes on inside the interval that holds the middle rank;
-    an interval of at most ``small`` values is listed. The first
-    cut is even on a logarithmic scale, so far outliers do not push all other values into
-    one interval; later cuts are even. An interval shrinks to its own minimum and maximum,
-    and a value held by many rows ends the search at once. What reaches the driver is one or
-    two interval rows per column and pass.
-    """
+#: Size of a sketch; its ranks are off by about 0.1 % of the rows.
+SKETCH = 4096
+#: Shares of the rows on either side of the middle that brackets hold; the last holds everything.
+MARGINS = (0.002, 0.02, 0.5)
+_TASK_BITS = 33
+
+
+def medians(df: DataFrame, columns: Sequence[str], small: int = SMALL) -> dict[str, float | None]:
+    """The exact median of each column."""
+    return figures(df, columns, small=small)[1]
+
+
+def figures(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = (), small: int = SMALL) -> tuple[Row | None, dict[str, float | None]]:
+    """Further aggregates of the same first scan, and the exact median of each column."""
+    v = [measure(df, c).cast("double") for c in columns]
     if not columns:
-        return {}
-    v = {c: measure(df, c).cast("double") for c in columns}
-    finite = {c: F.when(F.abs(v[c]) != math.inf, v[c]) for c in columns}
-    facts = df.agg(
-        *[
-            f(c).alias(f"{label}{i}")
-            for i, c in enumerate(columns)
-            for label, f in (
-                ("n", lambda c: F.count(v[c])),
-                ("lo", lambda c: F.min(finite[c])),
-                ("hi", lambda c: F.max(finite[c])),
-            )
-        ]
-    ).first()
-    counts = {c: facts[f"n{i}"] for i, c in enumerate(columns)}
-    answer: dict[str, float | None] = {c: None for c in columns if counts[c] == 0}
-
-    pending: dict[tuple[str, int], tuple[int, float, float, int]] = {}
+        return (df.agg(*extra).first() if extra else None), {}
+    sketched = df.agg(
+        *extra,
+        *[f.alias(f"_{label}{i}") for i, x in enumerate(v) for label, f in (("n", F.count(x)), ("s", F.kll_sketch_agg_double(x, F.lit(SKETCH))))],
+    )
+    ends = [
+        F.when(F.col(f"_n{i}") > 0, F.array(*[F.kll_sketch_get_quantile_double(f"_s{i}", F.lit(0.5 + m)) for w in MARGINS for m in (-w, w)])).alias(f"_e{i}")
+        for i in range(len(v))
+    ]
+    # ``extra`` keeps its place at the start of the row.
+    facts = sketched.select(*[c for c in sketched.columns if not c.startswith("_s")], *ends).first()
+    counts = {i: facts[f"_n{i}"] for i in range(len(v)) if facts[f"_n{i}"]}
+    brackets = {i: [tuple(facts[f"_e{i}"][2 * m : 2 * m + 2]) for m in range(len(MARGINS))] for i in counts}
+    pending = {(i, k) for i, n in counts.items() for k in ((n - 1) // 2, n // 2)}
+    found: dict[tuple[int, int], float] = {}
+    for margin in range(len(MARGINS)):
+        if pending:
+            wanted = {i: sorted(k for j, k in pending if j == i) for i, _ in pending}
+            many = 2 * MARGINS[margin] * sum(counts[i] for i in wanted) > small
+            found |= _counted(df, {i: v[i] for i in wanted}, {i: brackets[i][margin] for i in wanted}, wanted, many)
+            pending -= found.keys()
+    answer: dict[str, float | None] = {}
     for i, c in enumerate(columns):
-        if c not in answer:
-            lo, hi = facts[f"lo{i}"], facts[f"hi{i}"]
-            lo, hi = (-math.inf, math.inf) if lo is None else (lo, hi)
-            for rank in {(counts[c] - 1) // 2, counts[c] // 2}:
-                pending[c, rank] = (rank, lo, hi, counts[c])
-    found: dict[tuple[str, int], float] = {}
-    first = True
-    while pending:
-        found_now, pending = _narrow(df, v, pending, small, buckets, open_ended=first)
-        found.update(found_now)
-        first = False
-    for c in columns:
-        if c not in answer:
-            low, high = found[c, (counts[c] - 1) // 2], found[c, counts[c] // 2]
-            answer[c] = low if low == high else low / 2 + high / 2 if math.isinf(low + high) else (low + high) / 2
-    return answer
-
-
-def median_exprs(df: DataFrame, columns: Sequence[str], small: int = SMALL) -> dict[str, Column]:
-    """Each column's median as an expression, to be used inside an aggregation of ``df``."""
-    return {c: F.lit(m).cast("double") for c, m in medians(df, columns, small).items()}
-
-
-def _position(x: Column, lo: float, hi: float, buckets: int, logarithmic: bool) -> Column:
-    """Interval number of x, never falling as x grows; infinities lie outside."""
-    if not lo < hi or math.isinf(lo):
-        inside = F.lit(0)
-    else:
-        if logarithmic:
-            low, high = (math.copysign(math.log1p(abs(e)), e) for e in (lo, hi))
-            at = F.signum(x) * F.log1p(F.abs(x))
-        else:
-            scale = 1.0 if math.isfinite(hi - lo) else 0.5
-            low, high, at = lo * scale, hi * scale, x * scale
-        inside = F.floor((at - low) / (high - low) * buckets).cast("int") if low < high else F.lit(0)
-    return F.when(x < lo, -1).when(x > hi, buckets + 1).otherwise(inside)
-
-
-def _narrow(df, v, pending, small, buckets, open_ended):
-    """One pass per wanted interval: list its values if they are few, else cut it again.
-
-    Every interval is a scan of one column with its own aggregation, so the values of a
-    column go straight from the columnar file into the partial counts.
-    """
-    sizes = {(c, lo, hi): n for (c, _), (_, lo, hi, n) in pending.items()}
-    ids = {bracket: i for i, bracket in enumerate(sizes)}
-    ranks = {i: sorted({k for (c, _), (k, lo, hi, _) in pending.items() if ids[c, lo, hi] == i}) for i in ids.values()}
-    listings, cuts = [], []
-    for (c, lo, hi), i in ids.items():
-        x = df.select(v[c].alias("x"))
-        x = x.filter(F.col("x").isNotNull() if open_ended else F.col("x").between(lo, hi))
-        if sizes[c, lo, hi] <= small and not open_ended:
-            values = x.agg(F.sort_array(F.collect_list("x")).alias("xs"))
-            at_ranks = F.array(*[F.get("xs", F.lit(k)) for k in ranks[i]])
-            listings.append(values.select(F.lit(i).alias("b"), at_ranks.alias("xs")))
+        if i not in counts:
+            answer[c] = None
             continue
-        intervals = x.groupBy(_position(F.col("x"), lo, hi, buckets, open_ended).alias("at")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
-        )
-        w = W.partitionBy("b").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-        ended = intervals.withColumn("b", F.lit(i)).withColumn("end", F.sum("n").over(w))
-        cuts.append(ended.filter((F.col("end") - F.col("n") <= ranks[i][-1]) & (F.col("end") > ranks[i][0])))
-    values, spans = {}, {i: [] for i in ids.values()}
-    if listings:
-        for r in reduce(DataFrame.unionByName, listings).collect():
-            values.update({(r["b"], k): x for k, x in zip(ranks[r["b"]], r["xs"])})
-    if cuts:
-        for r in reduce(DataFrame.unionByName, cuts).collect():
-            spans[r["b"]].append(r)
-    found, still = {}, {}
-    for target, (k, lo, hi, _) in pending.items():
-        i = ids[target[0], lo, hi]
-        if (i, k) in values:
-            found[target] = values[i, k]
-            continue
-        r = next(r for r in spans[i] if r["end"] - r["n"] <= k < r["end"])
-        inner = k - (r["end"] - r["n"])
-        if inner == 0:
-            found[target] = r["lo"]
-        elif inner == r["n"] - 1 or r["lo"] == r["hi"]:
-            found[target] = r["hi"]
+        low, high = found[i, (counts[i] - 1) // 2], found[i, counts[i] // 2]
+        answer[c] = low if low == high else low / 2 + high / 2 if math.isinf(low + high) else (low + high) / 2
+    return facts, answer
+
+
+def _counted(df: DataFrame, v: dict[int, Column], brackets: dict[int, tuple[float, float]], ranks: dict[int, list[int]], many: bool) -> dict[tuple[int, int], float]:
+    """The values of the wanted ranks that lie in their bracket, from one scan of all columns."""
+    cells = []
+    for i, x in v.items():
+        low, high = (F.lit(e).cast("double") for e in brackets[i])
+        # What is above the bracket isn't counted; what is below counts as one value.
+        inside = x <= high
+        cells.append(F.when(inside, F.struct(F.lit(i).alias("c"), (x < low).alias("below"), F.when(x >= low, x).alias("x"))))
+    long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
+    counts = long.groupBy("c", "below", "x").agg(F.count(F.lit(1)).alias("n"))
+    return _in_ranges(counts, ranks) if many else _on_driver(counts, ranks)
+
+
+def _on_driver(counts: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """From few distinct values."""
+    values: dict[int, list[tuple[float, int]]] = {i: [] for i in ranks}
+    passed = dict.fromkeys(ranks, 0)
+    for r in counts.collect():
+        if r.below:
+            passed[r.c] += r.n
         else:
-            still[target] = (inner, r["lo"], r["hi"], r["n"])
-    return found, still
+            values[r.c].append((r.x, r.n))
+    found = {}
+    for i, wanted in ranks.items():
+        end = passed[i]
+        at = iter(wanted)
+        k = next(at, None)
+        while k is not None and k < end:
+            k = next(at, None)
+        for x, n in sorted(values[i]):
+            end += n
+            while k is not None and k < end:
+                found[i, k] = x
+                k = next(at, None)
+    return found
+
+
+def _in_ranges(counts: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """From any number of distinct values: they are stored in ranges, and only the ranges of the ranks are looked at."""
+    ranged = counts.repartitionByRange("c", F.desc("below"), "x").sortWithinPartitions("c", F.desc("below"), "x")
+    stored = staged(ranged.withColumn("at", F.monotonically_increasing_id()), "values")
+    task = F.shiftright("at", _TASK_BITS)
+    # One row for each range and column.
+    sizes = stored.groupBy("c", task.alias("task")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("below"), F.col("n")).otherwise(0)).alias("below")).collect()
+    passed: dict[int, int] = dict.fromkeys(ranks, 0)
+    targets = []
+    for c, t, n, below in sorted(sizes):
+        targets += [(c, t, k, k - passed[c]) for k in ranks[c] if passed[c] + below <= k < passed[c] + n]
+        passed[c] += n
+    if not targets:
+        return {}
+    # Two rows for each column.
+    table = F.broadcast(counts.sparkSession.createDataFrame(targets, "c int, task bigint, rank bigint, k bigint"))
+    end = F.sum("n").over(W.partitionBy("c", "task").orderBy("at"))
+    near = stored.withColumn("task", task).join(table.select("c", "task").distinct(), ["c", "task"], "left_semi").withColumn("end", end)
+    hits = near.join(table, ["c", "task"]).filter((F.col("k") < F.col("end")) & (F.col("k") >= F.col("end") - F.col("n")))
+    return {(r.c, r["rank"]): r.x for r in hits.collect()}

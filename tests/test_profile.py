@@ -11,6 +11,7 @@ from factsheet import (
     table_fingerprint,
     table_profile,
 )
+from factsheet.operators import quantile
 from factsheet.operators.quantile import medians
 
 
@@ -30,11 +31,48 @@ from factsheet.operators.quantile import medians
 )
 def test_interval_search_finds_exact_medians(spark, values):
     df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "x double, i int")
-    for small, buckets in ((3, 4), (50, 16)):
-        got = medians(df, ["x", "i"], small=small, buckets=buckets)
+    for small in (0, 1 << 16):
+        got = medians(df, ["x", "i"], small=small)
         assert got["x"] == np.median(np.array(values, float)) and got["i"] == np.median(np.arange(len(values)))
 
 
+def test_brackets_that_miss_are_widened(spark, monkeypatch):
+    # A sketch so small that its brackets are wrong; counting finds out.
+    monkeypatch.setattr(quantile, "SKETCH", 8)
+    values = np.random.default_rng(4).lognormal(0, 3, 20_001)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(8)
+    for small in (0, 1 << 16):
+        monkeypatch.setattr(quantile, "MARGINS", (0.0001, 0.001, 0.5))
+        assert medians(df, ["x"], small=small) == {"x": np.median(values)}
+
+
+def test_two_scans_whatever_the_number_of_columns(spark, table, monkeypatch):
+    lineitem = table("lineitem")
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_orderkey", "l_suppkey", "l_linenumber"]
+    plans = []
+    count = quantile._counted
+    monkeypatch.setattr(quantile, "_counted", lambda *a: plans.append(a) or count(*a))
+    found = medians(lineitem, names)
+    assert len(plans) == 1
+    pdf = lineitem.select(*names).toPandas()
+    assert found == {c: pytest.approx(float(pdf[c].median())) for c in names}
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    start = "x" * 100
+    values = [start + s for s in "bbbaaac"] + ["short", "short", start, None, "y" * 64, "y" * 65, "y" * 65]
+    df = spark.createDataFrame([(i, v, "k") for i, v in enumerate(values)], "_row_index bigint, s string, t string")
+    by_key = {r["column"]: r for r in categorical_summary(df, ["s", "t"], "_row_index").collect()}
+    assert by_key["s"]["unique_values"] == 7 and by_key["s"]["top_values"] == [start + "b", start + "a", "short"]
+    assert by_key["t"]["unique_values"] == 1 and by_key["t"]["top_values"] == ["k"]
+    # Equal counts and equal starts: the whole texts decide.
+    assert categorical_summary(df, ["s"]).first()["top_values"] == [start + "a", start + "b", "short"]
+    many = spark.createDataFrame([(start + str(i),) for i in range(50)], "s string")
+    assert categorical_summary(many, ["s"]).first()["top_values"] == [start + "0", start + "1", start + "10"]
+    plan = categorical_summary(df, ["s"], "_row_index")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_median_ignores_missing_values(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "x double")
     assert medians(df, ["x"]) == {"x": 2.0}
