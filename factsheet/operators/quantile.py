@@ -19,7 +19,7 @@ from pyspark.sql.types import Row
 from factsheet.functions.columns import measure
 from factsheet.functions.session import staged
 
-#: Values in brackets that the driver may look at; more are counted in ranges of a stored table.
+#: Rows strictly inside brackets that are listed; more are counted in ranges of a stored table.
 SMALL = 1 << 16
 #: Size of a sketch; its ranks are off by about 0.1 % of the rows.
 SKETCH = 4096
@@ -42,10 +42,8 @@ def figures(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = (),
         *extra,
         *[f.alias(f"_{label}{i}") for i, x in enumerate(v) for label, f in (("n", F.count(x)), ("s", F.kll_sketch_agg_double(x, F.lit(SKETCH))))],
     )
-    ends = [
-        F.when(F.col(f"_n{i}") > 0, F.array(*[F.kll_sketch_get_quantile_double(f"_s{i}", F.lit(0.5 + m)) for w in MARGINS for m in (-w, w)])).alias(f"_e{i}")
-        for i in range(len(v))
-    ]
+    shares = F.array(*[F.lit(0.5 + m) for w in MARGINS for m in (-w, w)])
+    ends = [F.when(F.col(f"_n{i}") > 0, F.kll_sketch_get_quantile_double(f"_s{i}", shares)).alias(f"_e{i}") for i in range(len(v))]
     # ``extra`` keeps its place at the start of the row.
     facts = sketched.select(*[c for c in sketched.columns if not c.startswith("_s")], *ends).first()
     counts = {i: facts[f"_n{i}"] for i in range(len(v)) if facts[f"_n{i}"]}
@@ -70,41 +68,39 @@ def figures(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = (),
 
 def _counted(df: DataFrame, v: dict[int, Column], brackets: dict[int, tuple[float, float]], ranks: dict[int, list[int]], many: bool) -> dict[tuple[int, int], float]:
     """The values of the wanted ranks that lie in their bracket, from one scan of all columns."""
-    cells = []
+    return _in_ranges(_long(df, v, brackets), ranks) if many else _listed(df, v, brackets, ranks)
+
+
+def _listed(df: DataFrame, v: dict[int, Column], brackets: dict[int, tuple[float, float]], ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """From brackets of few rows: both ends are counted, however many rows hold them, and what lies between is listed."""
+    aggregates = []
     for i, x in v.items():
         low, high = (F.lit(e).cast("double") for e in brackets[i])
-        # What is above the bracket isn't counted; what is below counts as one value.
-        inside = x <= high
-        cells.append(F.when(inside, F.struct(F.lit(i).alias("c"), (x < low).alias("below"), F.when(x >= low, x).alias("x"))))
-    long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
-    counts = long.groupBy("c", "below", "x").agg(F.count(F.lit(1)).alias("n"))
-    return _in_ranges(counts, ranks) if many else _on_driver(counts, ranks)
-
-
-def _on_driver(counts: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
-    """From few distinct values."""
-    values: dict[int, list[tuple[float, int]]] = {i: [] for i in ranks}
-    passed = dict.fromkeys(ranks, 0)
-    for r in counts.collect():
-        if r.below:
-            passed[r.c] += r.n
-        else:
-            values[r.c].append((r.x, r.n))
+        between = F.collect_list(F.when((x > low) & (x < high), x))
+        aggregates += [F.count_if(x < low).alias(f"p{i}"), F.count_if(x == low).alias(f"l{i}"), F.count_if((x == high) & (x > low)).alias(f"h{i}"), between.alias(f"b{i}")]
+    row = df.agg(*aggregates).first()
     found = {}
     for i, wanted in ranks.items():
-        end = passed[i]
-        at = iter(wanted)
-        k = next(at, None)
-        while k is not None and k < end:
-            k = next(at, None)
-        for x, n in sorted(values[i]):
-            end += n
-            while k is not None and k < end:
-                found[i, k] = x
-                k = next(at, None)
+        low, high = brackets[i]
+        inside = sorted(row[f"b{i}"])
+        for k in wanted:
+            at = k - row[f"p{i}"] - row[f"l{i}"]
+            if -row[f"l{i}"] <= at < len(inside) + row[f"h{i}"]:
+                found[i, k] = low if at < 0 else inside[at] if at < len(inside) else high
     return found
 
 
+def _long(df: DataFrame, v: dict[int, Column], brackets: dict[int, tuple[float, float]]) -> DataFrame:
+    """(c, below, x, n): the distinct values in each column's bracket, and how many rows are below it."""
+    cells = []
+    for i, x in v.items():
+        low, high = (F.lit(e).cast("double") for e in brackets[i])
+        # What is above the bracket isn't counted; what is below counts as one value.
+        cells.append(F.when(x <= high, F.struct(F.lit(i).alias("c"), (x < low).alias("below"), F.when(x >= low, x).alias("x"))))
+    long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*")
+    return long.groupBy("c", "below", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _in_ranges(counts: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
     """From any number of distinct values: they are stored in ranges, and only the ranges of the ranks are looked at."""
     ranged = counts.repartitionByRange("c", F.desc("below"), "x").sortWithinPartitions("c", F.desc("below"), "x")
