@@ -69,7 +69,7 @@ def frequent_pairs(rows: DataFrame, least: int) -> DataFrame:
 
 
 def windows(rows: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
-    """(lang, w1 ... w4): the longest window of each word, padded with empty words."""
+    """(lang, window): the longest window of each word, its words joined by spaces."""
     out = leads(rows, LONGEST)
     whole = F.lit(True)
     for k in range(1, LONGEST):
@@ -81,8 +81,17 @@ def windows(rows: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
             whole = whole & F.col(f"kept{k}").isNotNull()
         out = out.withColumn(f"whole{k}", F.coalesce(whole, F.lit(False)))
         whole = F.col(f"whole{k}")
-    padded = [F.when(F.col(f"whole{k}"), F.col(w)).otherwise("").alias(w) for k, w in enumerate(COLUMNS[1:], 1)]
-    return out.select("lang", "w1", *padded)
+    held = [F.when(F.col(f"whole{k}"), F.col(w)) for k, w in enumerate(COLUMNS[1:], 1)]
+    return out.select("lang", F.concat_ws(" ", "w1", *held).alias("window"))
+
+
+def counted_windows(found: DataFrame) -> DataFrame:
+    """(lang, w1 ... w4, f): each distinct window, padded with empty words, and how often it occurs.
+
+    A window is one string while it is shuffled, which takes less room than four.
+    """
+    counts = found.groupBy("lang", "window").agg(F.count(F.lit(1)).alias("f")).withColumn("words", F.split("window", " "))
+    return counts.select("lang", *[F.coalesce(F.get("words", F.lit(k)), F.lit("")).alias(w) for k, w in enumerate(COLUMNS)], "f")
 
 
 def phrases(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang", cut_rows: int = CUT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +99,7 @@ def phrases(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "l
     rows = pieces(docs, text, lang)
     cuts = stored(frequent_pairs(rows, least), "pairs")
     whole = windows(rows, cuts if cuts.limit(cut_rows + 1).count() <= cut_rows else None)
-    counted = stored(whole.groupBy("lang", *COLUMNS).agg(F.count(F.lit(1)).alias("f")), "windows")
+    counted = stored(counted_windows(whole), "windows")
     shorter = COLUMNS[:-1]
     # The levels of the rollup: 0 has three words, 1 two, 3 one, 7 the language alone, 15 everything.
     level = F.grouping_id().alias("level")

@@ -87,5 +87,5 @@ def test_one_explosion_and_a_rollup(spark, table):
     rows = collocations.pieces(table("documents"))
     plan = collocations.windows(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") == 1 and "Exchange" not in plan
-    counted = collocations.windows(rows).groupBy("lang", *collocations.COLUMNS).count()
-    assert "Window" not in counted._jdf.queryExecution().executedPlan().toString()
+    counted = collocations.counted_windows(collocations.windows(rows))
+    assert counted.columns == ["lang", *collocations.COLUMNS, "f"] and "Window" not in counted._jdf.queryExecution().executedPlan().toString()
