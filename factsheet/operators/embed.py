@@ -43,11 +43,12 @@ def row_units(
     columns: Sequence[str] | None = None,
     with_summaries: bool = True,
     stored: int | None = STORED_TEXT_LIMIT,
+    by_file: bool = False,
 ) -> DataFrame:
     """The units of a table that get a vector: one per row, and one per column (row_idx -1).
 
     Rows of a table that has a ``file_id`` column keep theirs; ``file_id`` names the others and the
-    summaries.
+    summaries. ``by_file`` makes summaries for each of the small tables that ``file_id`` tells apart.
     """
     require(df, key)
     names = list(columns if columns is not None else [c for c in df.columns if c not in (ROW_INDEX, "file_id")])
@@ -63,10 +64,10 @@ def row_units(
     if not with_summaries:
         return rows
     # A summary is stored whole, a row text up to ``stored`` characters (None: whole).
-    summaries = column_summaries(df, names, key)
+    summaries = column_summaries(df, names, key, by="file_id" if by_file else None)
     return rows.unionByName(
         summaries.select(
-            F.lit(file_id).alias("file_id"),
+            F.col("file_id") if by_file else F.lit(file_id).alias("file_id"),
             F.lit(-1).cast("bigint").alias("row_idx"),
             "column_name",
             F.lit(False).alias("is_row_vector"),

@@ -112,52 +112,64 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, small:
     return numeric_figures(df, names, small).select(F.inline(F.array(*rows)))
 
 
+def figures_by(df: DataFrame, names: Sequence[str], by: str) -> DataFrame:
+    """``numeric_figures`` of many small tables at once, told apart by ``by``; each median is found in one task."""
+    wanted = [
+        f.alias(f"{label}{i}")
+        for i, c in enumerate(names)
+        for label, f in (("lo", F.min(value(df, c))), ("hi", F.max(value(df, c))), ("mean", F.avg(measure(df, c)).cast("double")), ("mid", F.median(measure(df, c).cast("double"))))
+    ]
+    return df.groupBy(by).agg(*wanted)
+
+
 def categorical_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, key: str | None = None, top: int = 3
+    df: DataFrame, columns: Sequence[str] | None = None, key: str | None = None, top: int = 3, by: str | None = None
 ) -> DataFrame:
     """(column, unique_values, top_values): distinct count without nulls, most frequent values.
 
+    With ``by`` the same for each of many tables that the column of this name tells apart.
+
     All columns are counted together in long form, so each value is counted map-side and a
     value held by many rows crosses the shuffle once per task. Texts of more than ``SHORT`` characters
     are counted by 128 bits of digest; only the most frequent of them are fetched by their digests.
     Equal counts are ordered by first appearance when ``key`` is given, else by value.
     """
     names = list(columns if columns is not None else split_columns(df)[1])
+    of = ["b"] if by else []
 
     def cell(i: int, c: str) -> Column:
         return F.struct(F.lit(i).alias("i"), printed(value(df, c), df.schema[c].dataType).alias("v"))
 
     cells = F.explode(F.array(*[cell(i, c) for i, c in enumerate(names)])).alias("e")
-    long = df.select(cells, *([col(key).alias("k")] if key else [])).filter("e.v is not null").select("e.*", *(["k"] if key else []))
-    is_long = F.length("v") > SHORT
-    long = long.select(
-        "i", "v", *(["k"] if key else []),
-        F.when(~is_long, F.col("v")).alias("short"),
-        F.when(is_long, F.xxhash64(F.lit(1), "v")).alias("d1"),
-        F.when(is_long, F.xxhash64(F.lit(2), "v")).alias("d2"),
+    others = [col(name).alias(as_) for name, as_ in ((key, "k"), (by, "b")) if name]
+    is_long = F.length("e.v") > SHORT
+    long = df.select(cells, *others).filter("e.v is not null").select(
+        "e.*", *["k"] * bool(key), *of,
+        F.when(~is_long, F.col("e.v")).alias("short"),
+        F.when(is_long, F.xxhash64(F.lit(1), "e.v")).alias("d1"),
+        F.when(is_long, F.xxhash64(F.lit(2), "e.v")).alias("d2"),
     )
-    same = ["i", "short", "d1", "d2"]
+    digest = [*of, "i", "d1", "d2"]
     # Without a key the starts of long texts order them, and their whole texts those of equal starts.
     order = F.min("k") if key else F.min(F.substring("v", 1, SHORT))
-    counts = long.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), order.alias("seen"))
-    first = W.partitionBy("i").orderBy(F.desc("n"), "seen")
-    best = counts.withColumn("r", F.rank().over(first)).filter(F.col("r") <= top).select(*same, "n", "seen")
+    counts = long.groupBy(*digest, "short").agg(F.count(F.lit(1)).alias("n"), order.alias("seen"))
+    first = W.partitionBy(*of, "i").orderBy(F.desc("n"), "seen")
+    best = counts.withColumn("r", F.rank().over(first)).filter(F.col("r") <= top).select(*digest, "short", "n", "seen")
     # The most frequent values: a few for each column, but for long texts that begin alike.
-    digests = best.filter("d1 is not null").select(F.col("i").alias("bi"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
-    at = (F.col("i") == F.col("bi")) & (F.col("d1") == F.col("b1")) & (F.col("d2") == F.col("b2"))
-    fetched = long.filter("d1 is not null").join(digests, at, "left_semi").groupBy("i", "d1", "d2").agg(F.min("v").alias("v"))
-    whole = best.filter("d1 is not null").join(fetched, ["i", "d1", "d2"]).select("i", "v", "n", "seen")
-    listed = best.filter("short is not null").select("i", F.col("short").alias("v"), "n", "seen").unionByName(whole)
-    last = W.partitionBy("i").orderBy(F.desc("n"), "seen", "v")
-    listed = listed.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= top).select("i", "v", "r", F.lit(0).cast("bigint").alias("distinct"))
+    digests = best.filter("d1 is not null").select(*digest)
+    fetched = long.filter("d1 is not null").join(digests, digest, "left_semi").groupBy(*digest).agg(F.min("v").alias("v"))
+    whole = best.filter("d1 is not null").join(fetched, digest).select(*of, "i", "v", "n", "seen")
+    listed = best.filter("short is not null").select(*of, "i", F.col("short").alias("v"), "n", "seen").unionByName(whole)
+    last = W.partitionBy(*of, "i").orderBy(F.desc("n"), "seen", "v")
+    listed = listed.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= top).select(*of, "i", "v", "r", F.lit(0).cast("bigint").alias("distinct"))
     # Reads every column of ``counts``, so that both uses share one exchange.
     counted = (F.col("n") > 0) | F.col("seen").isNull() | F.col("short").isNull() | F.col("d1").isNull() | F.col("d2").isNull()
-    sizes = counts.groupBy("i").agg(F.count_if(counted).alias("distinct"))
-    every = df.sparkSession.range(1).select(F.posexplode(texts(names)).alias("i", "column"))
-    return (
+    sizes = counts.groupBy(*of, "i").agg(F.count_if(counted).alias("distinct"))
+    every = (df.select(col(by).alias("b")).distinct() if by else df.sparkSession.range(1)).select(*of, F.posexplode(texts(names)).alias("i", "column"))
+    found = (
         listed.unionByName(sizes, allowMissingColumns=True)
         .unionByName(every, allowMissingColumns=True)
-        .groupBy("i")
+        .groupBy(*of, "i")
         .agg(
             F.max("column").alias("column"),
             F.coalesce(F.max("distinct"), F.lit(0)).alias("unique_values"),
@@ -165,17 +177,22 @@ def categorical_summary(
         )
         .drop("i")
     )
+    return found.withColumnRenamed("b", by) if by else found
 
 
 def column_summaries(
-    df: DataFrame, columns: Sequence[str] | None = None, key: str | None = None, small: int = SMALL
+    df: DataFrame, columns: Sequence[str] | None = None, key: str | None = None, small: int = SMALL, by: str | None = None
 ) -> DataFrame:
-    """(column_name, summary): one descriptive sentence per column of the table."""
+    """(column_name, summary): one descriptive sentence per column of the table.
+
+    With ``by`` the same for each of many small tables that the column of this name tells apart.
+    """
     wanted = list(columns if columns is not None else df.columns)
+    of = [col(by)] if by else []
     numeric, text = ([c for c in names if c in wanted] for names in split_columns(df))
     parts = []
     if numeric:
-        found = numeric_figures(df, numeric, small)
+        found = figures_by(df, numeric, by) if by else numeric_figures(df, numeric, small)
         nan = F.lit("nan")
         # The wording of both sentences.
         sentences = [
@@ -194,10 +211,11 @@ def column_summaries(
             )
             for i, c in enumerate(numeric)
         ]
-        parts.append(found.select(F.inline(F.array(*sentences))))
+        parts.append(found.select(*of, F.inline(F.array(*sentences))))
     if text:
         parts.append(
-            categorical_summary(df, text, key).select(
+            categorical_summary(df, text, key, by=by).select(
+                *of,
                 F.col("column").alias("column_name"),
                 F.concat(
                     F.lit("Column "),
@@ -212,12 +230,17 @@ def column_summaries(
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def table_fingerprint(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """One row (num_rows, digest_sum, fingerprint) that says whether two tables hold the same rows."""
-    names = [c for c in df.columns if c not in skip]
-    return df.agg(
+def table_fingerprint(df: DataFrame, skip: Sequence[str] = (), by: str | None = None) -> DataFrame:
+    """One row (num_rows, digest_sum, fingerprint) that says whether two tables hold the same rows.
+
+    With ``by`` one row for each of the tables that the column of this name tells apart; it isn't a cell itself.
+    """
+    names = [c for c in df.columns if c not in skip and c != by]
+    of = [col(by)] if by else []
+    return df.groupBy(*of).agg(
         F.count(F.lit(1)).alias("num_rows"), F.coalesce(F.sum(row_digest(df, names)), F.lit(0)).alias("digest_sum")
     ).select(
+        *of,
         "num_rows",
         F.col("digest_sum").cast("decimal(38,0)").cast("string").alias("digest_sum"),
         fingerprint(names, F.col("num_rows"), F.col("digest_sum")).alias("fingerprint"),

@@ -326,12 +326,6 @@ from ch"""
 
 _QA_TEXT = """'Question: ' || question || chr(10) || 'Answer: ' || answer ||
  case when analysis <> '' then chr(10) || 'Analysis: ' || analysis else '' end"""
-ORACLE["qa_units"] = f"""
-with {_QA}
-select doc_id, 'qa_pair' as chunk_type, {_QA_TEXT} as full_text, substr({_QA_TEXT}, 1, 500) as original_text,
-       question as question_text, answer as answer_text, analysis as analysis_text
-from qa"""
-
 ORACLE["document_metadata"] = f"""
 with recursive {_chunks("documents")}, n as (select doc_id, count(*) as n from ch group by doc_id)
 select d.doc_id, length(text)::bigint as num_characters, coalesce(n.n, 0)::int as num_chunks, 0::int as num_qa_pairs,
@@ -343,13 +337,6 @@ _QA_DOCUMENTS = """(select conv_id as doc_id, string_agg(case role
   when 'assistant' then chr(10) || chr(10) || 'Ans: ' || text || chr(10) || chr(10) || 'ANALYSIS: ' || length(text)
                         || ' characters' || chr(10)
   else text || chr(10) end, '' order by turn) as text from conversations group by conv_id)"""
-ORACLE["qa_document_metadata"] = f"""
-with {_QA}
-select d.doc_id, length(d.text)::bigint as num_characters,
-       (select count(*) from qa where qa.doc_id = d.doc_id)::int as num_qa_pairs,
-       (select count(*) from qa where qa.doc_id = d.doc_id) > 0 as has_questions
-from {_QA_DOCUMENTS} d"""
-
 # Vectors
 
 
@@ -396,7 +383,7 @@ select vec_id, 'f' || label as file_id, len(embedding)::int as dimension, 1.0::d
 ORACLE["vector_store_one_file"] = """
 select vec_id, 'f' || label as file_id, 1.0::double as norm from embeddings where label = 3"""
 ORACLE["vector_store_reload"] = """
-select 'f' || label as file_id, count(*) filter (where label <> 3 or vec_id % 2 = 0) as num_vectors from embeddings group by label"""
+select vec_id, 'f' || label as file_id, len(embedding)::int as dimension from embeddings where label <> 3 or vec_id % 2 = 0"""
 
 _UNITS = f"""
 units as (select 'customer' as file_id, c_custkey as row_idx, null::varchar as column_name, true as is_row_vector,
@@ -463,26 +450,36 @@ un as (select doc_id, chunk_idx, 'text' as chunk_type, chunk as full_text, null:
          null::varchar as answer, null::varchar as analysis from ch
   union all select qa.doc_id, n + qa_idx, 'qa_pair', {_QA_TEXT}, question, answer, analysis
   from qa join sizes on sizes.doc_id = qa.doc_id)"""
+ORACLE["qa_units"] = f"""
+with recursive {_QA_UNITS.strip()}
+select doc_id, chunk_idx::int as chunk_idx, chunk_type, full_text, substr(full_text, 1, 500) as original_text,
+       question as question_text, answer as answer_text, analysis as analysis_text
+from un"""
+ORACLE["qa_document_metadata"] = f"""
+with recursive {_QA_UNITS.strip()},
+pairs as (select doc_id, count(*) as p from qa group by doc_id)
+select qd.doc_id, length(text)::bigint as num_characters, coalesce(n, 0)::int as num_chunks, coalesce(p, 0)::int as num_qa_pairs,
+       coalesce(p, 0) > 0 as has_questions
+from qd left join sizes on sizes.doc_id = qd.doc_id left join pairs on pairs.doc_id = qd.doc_id"""
 _FOUND_QA = f"""
 with recursive {_QA_UNITS.strip()},
 {_search("benchmark", "item_id", "text", "un", "doc_id, chunk_idx", "full_text", 5)},
-hits as (select query_id, rank::int as rank, r.doc_id as file_id, chunk_type, 1 - d as s,
+hits as (select query_id, rank::int as rank, r.doc_id as file_id, r.chunk_idx::int as chunk_idx, chunk_type, 1 - d as s,
     substr(full_text, 1, 500) as content, question, answer, analysis
   from ranked r join un on un.doc_id = r.doc_id and un.chunk_idx = r.chunk_idx)"""
 ORACLE["document_query_qa"] = f"""{_FOUND_QA}
-select query_id, rank, file_id, printf('%.4f', s) as similarity_score, question, answer, analysis
-from hits where chunk_type = 'qa_pair'"""
+select query_id, rank, file_id, chunk_idx, chunk_type, printf('%.4f', s) as similarity_score, content, question, answer, analysis
+from hits"""
 ORACLE["document_context"] = f"""{_FOUND_QA},
 p as (select *, row_number() over (partition by query_id order by rank) as nth from hits
       where question <> '' and answer <> ''),
 b as (select query_id, string_agg('Q: ' || question || chr(10) || 'A: ' || answer ||
         case when analysis <> '' then chr(10) || 'Analysis: ' || analysis else '' end, chr(10) || chr(10) order by rank) as t
       from p where nth <= 3 group by query_id),
-n as (select query_id, (sum(length('[Relevance: ' || printf('%.2f', s) || '] ' || content)) + 2 * (count(*) - 1))::int as n
+n as (select query_id, string_agg('[Relevance: ' || printf('%.2f', s) || '] ' || content, chr(10) || chr(10) order by rank) as context_text
       from hits group by query_id)
-select n.query_id, coalesce(chr(10) || chr(10) || 'Relevant Q&A pairs from analysis:' || chr(10) || t, '') as qa_context, n.n
+select n.query_id, coalesce(chr(10) || chr(10) || 'Relevant Q&A pairs from analysis:' || chr(10) || t, '') as qa_context, context_text
 from n left join b on b.query_id = n.query_id"""
-
 ORACLE["vector_store_two_streams"] = f"""
 with recursive {_QA_UNITS.strip()},
 {_chunks("(select item_id as doc_id, text from benchmark)", name="item_").strip()},
@@ -549,3 +546,46 @@ with recursive {_chunks("(select item_id as doc_id, text from benchmark)")}
 select 'txt' as document_type, false as has_questions, count(*) as documents,
        sum(length(text) + 1)::bigint as characters, (select count(*) from ch) as chunks
 from benchmark"""
+_ITEMS = """(select item_id || '.txt' as name, item_id::varchar as stem, text || chr(10) as text, 'txt' as kind from benchmark where item_id % 2 = 0
+  union all select item_id || '.docx', item_id::varchar, text, 'docx' from benchmark where item_id % 2 = 1)"""
+ORACLE["documents_by_dispatch"] = f"""
+select name as filename, kind as document_type, 'doc_' || stem as file_id, text, null::varchar as error from {_ITEMS}
+union all select 'broken.docx', null, null, null, 'BadZipFile'"""
+ORACLE["documents_same_name"] = f"""
+with recursive {_chunks("(select item_id as doc_id, text from benchmark)")}, n as (select doc_id, count(*) as n from ch group by doc_id)
+select item_id || '.txt' as filename, 2::bigint as ids, (2 * coalesce(n, 0))::bigint as chunks, (2 * coalesce(n, 0))::bigint as vectors
+from benchmark left join n on n.doc_id = item_id"""
+_TABLES_READ = " union all ".join(
+    f"select '{t}.csv' as name, file_id, status, rows_read, columns_read, rows_cleaned, columns_cleaned, fingerprint, type, error, "
+    f"rows_read + columns_read as vectors from ({_report(t, source)})"
+    for t, source in (("customer", "customer"), ("part", f"({ORACLE['clean_table']})"), ("nation", f"(select n_nationkey, {_clean('n_name')} as n_name, n_regionkey from nation)"))
+)
+ORACLE["load_files"] = f"""
+{_TABLES_READ}
+union all select 'empty.csv', 'empty', 'success', 0, {len(_columns("customer"))}, 0, {len(_columns("customer"))}, null, 'csv', null, null
+union all select 'broken.csv', null, 'error', null, null, null, null, null, 'csv', 'rows have more fields than the header''s 2', null
+union all select 'missing.csv', null, 'error', null, null, null, null, null, 'csv', 'no such file', null
+union all select 'broken.docx', null, 'error', null, null, null, null, null, 'document', 'BadZipFile', null
+union all select name, 'doc_' || stem, 'success', null, null, null, null, md5(text), 'document', null, null from {_ITEMS}"""
+
+
+def _listed(name: str) -> str:
+    """One row of the list of tables, as read from CSV and cleaned."""
+    cleaned = {"part": ["p_partkey", "p_brand", "p_size", "p_retailprice"]}.get(name, [n for n, d in _columns(name) if _is_numeric(d)])
+    return f"""select '{name}_table' as file_id, '{name} table.csv' as filename, count(*) as rows, {len(_columns(name))} as columns,
+ '{",".join(cleaned)}' as numeric_columns, null::varchar as type, null::bigint as characters, null::int as chunks, null::int as qa_pairs,
+ null::bigint as csv_files, null::bigint as document_files, null::bigint as total_rows from {name}"""
+
+
+ORACLE["catalog_of_loads"] = f"""
+with recursive {_chunks("(select name as doc_id, text from " + _ITEMS + ")")}, n as (select doc_id, count(*) as n from ch group by doc_id)
+{_listed("customer")} union all {_listed("part")}
+union all select 'doc_' || stem, name, null, null, null, kind, length(text)::bigint, coalesce(n, 0)::int, 0, null, null, null
+  from {_ITEMS} left join n on n.doc_id = name
+union all select null, null, null, null, null, null, null, null, null, 2, (select count(*) from benchmark),
+  (select count(*) from customer) + (select count(*) from part)"""
+ORACLE["status_of_loads"] = f"""
+select 'table' as kind, 'nation' as id union all select 'vector_store', 'nation'
+union all select 'document', 'doc_' || item_id from benchmark where item_id % 2 = 0
+union all select 'vector_store', 'doc_' || item_id from benchmark where item_id % 2 = 0
+union all select 'intent', unnest([{", ".join(f"'{i}'" for i in INTENTS)}])"""

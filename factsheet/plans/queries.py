@@ -6,10 +6,15 @@ compared value by value.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import factsheet as fs
 from factsheet.functions.session import spread, staging_path
@@ -17,7 +22,8 @@ from factsheet.functions.text import clean_number, row_text, stored_text
 from factsheet.functions.vectors import cosine, similarity
 from factsheet.operators.search import document_numbers
 from factsheet.sources.csv import read_csv
-from factsheet.sources.documents import find_document, read_txt
+from factsheet.sources.documents import find_document, read_txt, scan_documents
+from factsheet.sources.registry import read_entries
 from factsheet.sources.sinks import write_csv, write_json
 from factsheet.sources.vectors import add_vectors, compact, list_stores, read_vectors, store_stats, vectors_of_file
 from factsheet.streaming.watch import watch_documents
@@ -405,8 +411,7 @@ def _(spark, sf):
 
 @query("qa_units")
 def _(spark, sf):
-    units = fs.document_units(qa_documents(spark, sf), "doc_id")
-    return units.filter(F.col("chunk_type") == "qa_pair").drop("chunk_idx")
+    return fs.document_units(qa_documents(spark, sf), "doc_id")
 
 
 @query("document_metadata")
@@ -416,7 +421,7 @@ def _(spark, sf):
 
 @query("qa_document_metadata")
 def _(spark, sf):
-    return fs.document_metadata(qa_documents(spark, sf), "doc_id").drop("num_chunks")
+    return fs.document_metadata(qa_documents(spark, sf), "doc_id")
 
 
 # Vectors and search
@@ -510,7 +515,7 @@ def _(spark, sf):
     add_vectors(vectors, path, 64)
     add_vectors(vectors, path, 64, buckets=8)
     add_vectors(vectors.filter("file_id = 'f3' and vec_id % 2 = 0"), path, 64)
-    return list_stores(read_vectors(spark, path))
+    return read_vectors(spark, path).select("vec_id", "file_id", F.size("embedding").alias("dimension"))
 
 
 @query("vector_store_two_streams")
@@ -611,15 +616,14 @@ def found_qa(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("document_query_qa")
 def _(spark, sf):
-    pairs = found_qa(spark, sf).filter(F.col("chunk_type") == "qa_pair")
-    return pairs.select(
-        "query_id", "rank", "file_id", "similarity_score", "question", "answer", "analysis"
+    return found_qa(spark, sf).select(
+        "query_id", "rank", "file_id", "chunk_idx", "chunk_type", "similarity_score", "content", "question", "answer", "analysis"
     )
 
 
 @query("document_context")
 def _(spark, sf):
-    return fs.document_context(found_qa(spark, sf)).select("query_id", "qa_context", F.length("context_text").alias("n"))
+    return fs.document_context(found_qa(spark, sf))
 
 
 @query("document_context_text")
@@ -743,3 +747,118 @@ def _(spark, sf):
         F.sum("num_characters").alias("characters"),
         F.sum(F.col("num_chunks").cast("bigint")).alias("chunks"),
     )
+
+
+@F.arrow_udf(T.BinaryType())
+def docx_file(texts: pa.Array) -> pa.Array:
+    """Each text as a word-processing file with a paragraph for each line."""
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    files = []
+    for text in texts.to_pylist():
+        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+        files.append(out.getvalue())
+    return pa.array(files, pa.binary())
+
+
+def write_files(rows: DataFrame, path: str, suffix: str) -> None:
+    """Write each row's text (or bytes) to a file of its own, named by ``item_id``, and a line break after it.
+
+    Tasks write the files; the driver only gives them their names.
+    """
+    spark = rows.sparkSession
+    rows.select("item_id", F.col("text").cast("string").alias("text")).write.partitionBy("item_id").text(f"{path}/parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{path}/parts")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        if folder.isDirectory():
+            name = folder.getPath().getName().split("=")[1] + suffix
+            part = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")][0]
+            fs.rename(part, hadoop.Path(f"{path}/{name}"))
+    fs.delete(root, True)
+
+
+def benchmark_files(spark: SparkSession, sf: str) -> str:
+    """The benchmark's texts as files, half of them TXT and half DOCX, and one broken file."""
+    path = staging_path(spark, "files")
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    write_files(items.filter("item_id % 2 = 0"), f"{path}/texts", ".txt")
+    docx = items.filter("item_id % 2 = 1").select("item_id", docx_file("text").alias("text"))
+    write_files(docx, f"{path}/reports", ".docx")
+    write_files(spark.range(1).select(F.lit("broken").alias("item_id"), F.lit("no archive").alias("text")), f"{path}/broken", ".docx")
+    return path
+
+
+def without_digest(file_id: str | Column) -> Column:
+    """An id without its last part, which depends on where the files lie."""
+    return F.regexp_replace(file_id, "_[0-9a-f]{16}$", "")
+
+
+@query("documents_by_dispatch")
+def _(spark, sf):
+    """TXT and DOCX files of two folders, and what could not be read, by one scan."""
+    path = benchmark_files(spark, sf)
+    found = scan_documents(spark, [f"{path}/texts", f"{path}/reports", f"{path}/broken"])
+    rows = found.rows.select("filename", "document_type", without_digest("file_id").alias("file_id"), "text")
+    failed = found.failures.select("filename", F.substring_index("error", ":", 1).alias("error"))
+    return rows.unionByName(failed, allowMissingColumns=True)
+
+
+@query("documents_same_name")
+def _(spark, sf):
+    """Every text twice under one name in two folders: twice the documents, vectors and ids."""
+    path = staging_path(spark, "files")
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    for folder in ("x", "y"):
+        write_files(items, f"{path}/{folder}", ".txt")
+    loaded = fs.ingest_documents(spark, [f"{path}/x", f"{path}/y"], f"{path}/vectors", dimension=DIMENSION)
+    stores = list_stores(read_vectors(spark, f"{path}/vectors"))
+    held = loaded.metadata.select("file_id", "filename", "num_chunks").join(stores, "file_id", "left")
+    return held.groupBy("filename").agg(
+        F.count_distinct("file_id").alias("ids"), F.sum("num_chunks").alias("chunks"), F.sum("num_vectors").alias("vectors")
+    )
+
+
+@query("load_files")
+def _(spark, sf):
+    """Tables, texts and reports in one load, with a file of each kind that fails."""
+    path = benchmark_files(spark, sf)
+    for name in ("customer", "part", "nation"):
+        write_csv(table(spark, sf, name), f"{path}/{name}.csv")
+    write_csv(table(spark, sf, "customer").limit(0), f"{path}/empty.csv")
+    lines = table(spark, sf, "region").select(F.concat_ws(",", F.col("r_regionkey").cast("string"), "r_name", F.lit("more")).alias("value"))
+    spark.createDataFrame([("key,name",)], "value string").unionByName(lines).coalesce(1).write.text(f"{path}/broken.csv")
+    names = ["customer.csv", "part.csv", "nation.csv", "empty.csv", "broken.csv", "missing.csv", "texts", "reports", "broken"]
+    report = fs.load_files(spark, [f"{path}/{n}" for n in names], f"{path}/vectors", dimension=DIMENSION).report
+    stores = list_stores(read_vectors(spark, f"{path}/vectors/tables")).withColumnRenamed("num_vectors", "vectors")
+    error = F.regexp_replace(F.substring_index("error", ":", 1), "^[0-9]+ ", "")
+    return report.join(stores, "file_id", "left").withColumns({"file_id": without_digest("file_id"), "error": error})
+
+
+@query("catalog_of_loads")
+def _(spark, sf):
+    """What two loads wrote down: lists of tables and documents by their real names, and the totals."""
+    path = benchmark_files(spark, sf)
+    for name in ("customer", "part"):
+        write_csv(table(spark, sf, name), f"{path}/{name} table.csv")
+    fs.load_files(spark, [f"{path}/customer table.csv", f"{path}/texts"], catalog=f"{path}/catalog")
+    fs.load_files(spark, [f"{path}/part table.csv", f"{path}/customer table.csv", f"{path}/reports"], catalog=f"{path}/catalog")
+    tables, docs = (read_entries(spark, f"{path}/catalog", kind) for kind in ("table", "document"))
+    listed = fs.list_tables(tables).withColumn("numeric_columns", joined("numeric_columns"))
+    documents = fs.list_documents(docs.withColumnRenamed("type", "document_type"))
+    both = listed.unionByName(documents, allowMissingColumns=True).withColumn("file_id", without_digest("file_id"))
+    return both.unionByName(fs.catalog_summary(tables, docs), allowMissingColumns=True)
+
+
+@query("status_of_loads")
+def _(spark, sf):
+    """Every table, document, vector store and supported question after a load."""
+    path = benchmark_files(spark, sf)
+    write_csv(table(spark, sf, "nation"), f"{path}/nation.csv")
+    fs.load_files(spark, [f"{path}/nation.csv", f"{path}/texts"], f"{path}/vectors", dimension=DIMENSION, catalog=f"{path}/catalog")
+    tables, docs = (read_entries(spark, f"{path}/catalog", kind) for kind in ("table", "document"))
+    held = [list_stores(read_vectors(spark, f"{path}/vectors/{kind}")) for kind in ("tables", "documents")]
+    return fs.status(tables, docs, held[0].unionByName(held[1])).withColumn("id", without_digest("id"))

@@ -40,7 +40,7 @@ BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 # Row offsets are broadcast only up to this many file splits, else they are joined by shuffle.
 BROADCAST_SPLITS = 500_000
 
-_POSITION, _EXTRA, _ORDER = "_position", "_extra", "_order"
+_POSITION, _EXTRA, _ORDER, _WIDTH, _FORM = "_position", "_extra", "_order", "_width", "_form"
 
 
 class CsvTable(NamedTuple):
@@ -126,18 +126,19 @@ def _fitting(files: DataFrame) -> DataFrame:
 
 def _labelled(df: DataFrame, width: int, order: Sequence[int] | None) -> DataFrame:
     """Cells c0, c1, ... in the table's order; ``order``, or else the column of that name, says where a file has them."""
-    if order is None:
-        found = F.array(*[f"c{i}" for i in range(width)])
-        df = df.withColumns({f"c{i}": F.get(found, F.get(F.col(_ORDER), i)) for i in range(width)})
-    else:
-        df = df.withColumns({f"c{i}": F.col(f"c{k}") for i, k in enumerate(order)})
-    cells = [F.when(~F.col(f"c{i}").isin(*NA_TOKENS), F.col(f"c{i}")).alias(f"c{i}") for i in range(width)]
-    return df.select(*cells, F.col(_EXTRA).isNotNull().alias(_EXTRA), FILE, NAME, SPLIT, _POSITION)
+    extra = F.col(_EXTRA).isNotNull()
+    found = F.array(*[f"c{i}" for i in range(width)])
+    if _WIDTH in df.columns:
+        extra = extra | F.exists(F.slice(found, F.col(_WIDTH) + 1, F.lit(width) - F.col(_WIDTH)), lambda x: x.isNotNull())
+    moved = [F.get(found, F.get(F.col(_ORDER), i)) if order is None else F.col(f"c{order[i]}") for i in range(width)]
+    cells = [F.when(~c.isin(*NA_TOKENS), c).alias(f"c{i}") for i, c in enumerate(moved)]
+    return df.select(*cells, extra.alias(_EXTRA), FILE, NAME, SPLIT, _POSITION, *([_FORM] if _FORM in df.columns else []))
 
 
-def _inferred(staged: DataFrame, names: Sequence[str]) -> dict[str, str]:
+def _checks(width: int) -> list[Column]:
+    """How many cells of each column are filled, and how many read as a type."""
     checks = []
-    for i in range(len(names)):
+    for i in range(width):
         c = F.col(f"c{i}")
         checks += [
             F.count(c).alias(f"n{i}"),
@@ -145,21 +146,30 @@ def _inferred(staged: DataFrame, names: Sequence[str]) -> dict[str, str]:
             F.count_if(c.rlike(FLOATING)).alias(f"float{i}"),
             F.count_if(c.isin(*BOOLEAN)).alias(f"bool{i}"),
         ]
-    row = staged.agg(F.count(F.lit(1)).alias("rows"), F.count_if(_EXTRA).alias("long"), *checks).first()
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(_EXTRA).alias("long"), *checks]
+
+
+def _type(i: int) -> Column:
+    """The type of a column, from the row of its checks."""
+    filled, full = F.col(f"n{i}"), F.col(f"n{i}") == F.col("rows")
+    return (
+        F.when((F.col(f"int{i}") == filled) & (filled > 0) & full, "bigint")
+        .when(F.col(f"float{i}") == filled, "double")
+        .when((F.col(f"bool{i}") == filled) & full, "boolean")
+        .otherwise("string")
+    )
+
+
+def _too_long(rows: int, width: int) -> str:
+    return f"{rows} rows have more fields than the header's {width}"
+
+
+def _inferred(cells: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    width = len(names)
+    row = cells.agg(*_checks(width)).select("long", F.array(*[_type(i) for i in range(width)]).alias("types")).first()
     if row["long"]:
-        raise ValueError(f"{row['long']} rows have more fields than the header's {len(names)}")
-    types = {}
-    for i, n in enumerate(names):
-        filled, gaps = row[f"n{i}"], row[f"n{i}"] < row["rows"]
-        if row[f"int{i}"] == filled and filled and not gaps:
-            types[n] = "bigint"
-        elif row[f"float{i}"] == filled:
-            types[n] = "double"
-        elif row[f"bool{i}"] == filled and not gaps:
-            types[n] = "boolean"
-        else:
-            types[n] = "string"
-    return types
+        raise ValueError(_too_long(row["long"], width))
+    return dict(zip(names, row["types"]))
 
 
 def _typed(i: int, name: str, dtype: str) -> Column:
@@ -212,6 +222,45 @@ def _forms(heads: DataFrame) -> tuple[list[str], DataFrame | None]:
     return names, heads.select(FILE, "names").join(F.broadcast(table), "names").select(FILE, _ORDER)
 
 
+def _headed(spark: SparkSession, paths: Sequence[str], multi_line: bool | None) -> tuple[DataFrame, DataFrame | None]:
+    """Per file: its column names as JSON, and the place of its header if its records go over lines; those records."""
+    heads = _heads(spark, paths, multi_line)
+    has = {r["odd"] for r in heads.select("odd").distinct().collect()}
+    plain = heads.filter("not odd").select(FILE, "head", F.lit(None).cast(f"struct<{SPLIT}: bigint, {AT}: bigint>").alias("first"))
+    found = None
+    if True in has:
+        found = records(spark, paths, None if False not in has else heads.filter("odd").select(FILE))
+        at = F.struct(SPLIT, AT)
+        plain = plain.unionByName(found.groupBy(FILE).agg(F.min_by(RECORD, at).alias("head"), F.min(at).alias("first")))
+    return staged(plain.withColumn("names", _names("head")).drop("head"), "heads"), found
+
+
+def _stage_cells(spark: SparkSession, paths: Sequence[str], heads: DataFrame, found: DataFrame | None, orders: DataFrame | None, width: int) -> DataFrame:
+    """The cells of all files in the order of their table, with their positions.
+
+    ``orders`` has for each file where it has the table's columns (None: all as they are) and may have
+    ``_width``, the columns of its table, and ``_form``, which parts the stored cells.
+    """
+    folder = staging_path(spark, "csv")
+    kinds = {r["plain"] for r in heads.select(F.col("first").isNull().alias("plain")).distinct().collect()}
+    parts = []
+    if True in kinds:
+        rows = _read_strings(spark, paths, width)
+        if False in kinds:
+            rows = rows.join(_fitting(heads.filter("first is null").select(FILE)), FILE, "left_semi")
+        parts.append(rows)
+    if False in kinds:
+        parts.append(_read_records(found, heads.filter("first is not null"), width))
+    # Positions are numbered per scan, so each way of reading is staged on its own.
+    for i, rows in enumerate(parts):
+        rows = rows if orders is None else rows.join(_fitting(orders), FILE)
+        cells = _labelled(rows, width, range(width) if orders is None else None)
+        (cells.write.partitionBy(_FORM) if _FORM in cells.columns else cells.write).parquet(f"{folder}/part={i}")
+    kinds = [T.StructField(f.name, f.dataType) for f in cells.schema if f.name != _FORM]
+    schema = T.StructType(kinds + ([T.StructField(_FORM, T.IntegerType())] if _FORM in cells.columns else []))
+    return spark.read.option("basePath", folder).schema(schema).parquet(*[f"{folder}/part={i}" for i in range(len(parts))])
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -227,34 +276,13 @@ def read_csv(
     given ``file_id`` the rows of all files are numbered together, else each file on its own.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    heads = _heads(spark, paths, multi_line)
-    has = {r["odd"] for r in heads.select("odd").distinct().collect()}
-    if not has:
+    heads, found = _headed(spark, paths, multi_line)
+    if heads.isEmpty():
         raise ValueError(f"no rows in {paths}")
-    plain = heads.filter("not odd").select(FILE, "head", F.lit(None).cast(f"struct<{SPLIT}: bigint, {AT}: bigint>").alias("first"))
-    found = None
-    if True in has:
-        found = records(spark, paths, None if False not in has else heads.filter("odd").select(FILE))
-        at = F.struct(SPLIT, AT)
-        plain = plain.unionByName(found.groupBy(FILE).agg(F.min_by(RECORD, at).alias("head"), F.min(at).alias("first")))
-    heads = staged(plain.withColumn("names", _names("head")), "heads")
     names, orders = _forms(heads)
     width = len(names)
 
-    folder = staging_path(spark, "csv")
-    parts = []
-    if False in has:
-        rows = _read_strings(spark, paths, width)
-        if found is not None:
-            rows = rows.join(_fitting(heads.filter("first is null").select(FILE)), FILE, "left_semi")
-        parts.append(rows)
-    if found is not None:
-        parts.append(_read_records(found, heads.filter("first is not null"), width))
-    # Positions are numbered per scan, so each way of reading is staged on its own.
-    for i, rows in enumerate(parts):
-        rows = rows if orders is None else rows.join(_fitting(orders), FILE)
-        _labelled(rows, width, range(width) if orders is None else None).write.parquet(f"{folder}/part={i}")
-    cells = spark.read.parquet(*[f"{folder}/part={i}" for i in range(len(parts))])
+    cells = _stage_cells(spark, paths, heads, found, orders, width)
 
     types = _inferred(cells, names)
     splits = _splits(cells, width, file_id)
@@ -265,3 +293,108 @@ def read_csv(
         *[_typed(i, n, types[n]) for i, n in enumerate(names)],
     )
     return CsvTable(rows, files.select("file_id", F.col(NAME).alias("filename"), "num_rows", F.lit(width).alias("num_columns")))
+
+
+class CsvTables(NamedTuple):
+    """``tables`` has one frame for each form of a table (its columns and their types), with all tables of that form.
+
+    ``sources`` has a row for each path that was asked for: source, filename, file_id, num_rows, num_columns,
+    form (the place of its frame in ``tables``), error.
+    """
+
+    tables: list[DataFrame]
+    sources: DataFrame
+
+
+def _qualified(path: Column) -> Column:
+    """A file's address with one spelling of the slashes after its scheme."""
+    return F.regexp_replace(path, r"^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def existing(spark: SparkSession, sources: Sequence[str]) -> dict[str, str | None]:
+    """The address of each path, None if there is nothing."""
+    found = {}
+    for s in sources:
+        path = spark._jvm.org.apache.hadoop.fs.Path(s)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found[s] = fs.makeQualified(path).toString() if fs.exists(path) else None
+    return found
+
+
+def read_tables(spark: SparkSession, sources: Sequence[str], multi_line: bool | None = None) -> CsvTables:
+    """Read many CSV tables at once; each path is a file or a folder of files, and a table of its own.
+
+    The number of jobs depends on the forms of tables, not on their number: headers of all files come from one
+    scan, cells from one more, types of all tables from one aggregation over them. A path that can't be read
+    is a row with an error. Types are found for each table by itself, as ``read_csv`` does.
+    """
+    at = existing(spark, sources)
+    asked = spark.createDataFrame([(s, a, None if a else "no such file") for s, a in at.items()], "source string, address string, missing string")
+    asked = asked.select("source", "missing", _qualified(F.col("address")).alias("_source"))
+    paths = [s for s, a in at.items() if a]
+    none = asked.select(
+        "source", F.regexp_extract("source", r"([^/]*)/*$", 1).alias("filename"), F.lit(None).cast("string").alias("file_id"),
+        F.lit(None).cast("bigint").alias("num_rows"), F.lit(None).cast("int").alias("num_columns"), F.lit(None).cast("int").alias("form"), F.coalesce("missing", F.lit("no rows")).alias("error"),
+    )
+    heads, found = _headed(spark, paths, multi_line) if paths else (None, None)
+    if heads is None or heads.isEmpty():
+        return CsvTables([], none)
+
+    # One row for each path that was asked for.
+    few = _fitting(asked.filter("missing is null").select("_source").distinct())
+    own, parent = _qualified(F.col(FILE)), F.regexp_replace(_qualified(F.col(FILE)), "/[^/]*$", "")
+    of = heads.withColumns({"_own": own, "_parent": parent})
+    of = of.join(few.withColumnRenamed("_source", "_s1"), F.col("_own") == F.col("_s1"), "left").join(few.withColumnRenamed("_source", "_s2"), F.col("_parent") == F.col("_s2"), "left")
+    listed = F.from_json("names", "array<string>")
+    files = of.select(FILE, F.coalesce("_s1", "_s2").alias("_source"), listed.alias("own"))
+    first = files.groupBy("_source").agg(F.min_by("own", FILE).alias("names"))
+    place = F.transform("names", lambda n: (F.array_position("own", n) - 1).cast("int"))
+    files = files.join(first, "_source").select(FILE, "_source", "names", place.alias(_ORDER), F.size("names").alias(_WIDTH), (F.sort_array("own") == F.sort_array("names")).alias("same"))
+    files = staged(files, "files")
+
+    # Headers that differ; one folder of stored cells for each.
+    forms = sorted(r["names"] for r in files.select("names").distinct().collect())
+    width = max(map(len, forms))
+    numbered = F.broadcast(spark.createDataFrame(list(zip(forms, range(len(forms)))), f"names array<string>, {_FORM} int"))
+    files = files.join(numbered, "names")
+    cells = _stage_cells(spark, paths, heads, found, files.select(FILE, _ORDER, _WIDTH, _FORM), width)
+
+    splits = _splits(cells, width, None)
+    known = _fitting(files.select(FILE, "_source"))
+    checked = cells.join(known, FILE).groupBy("_source").agg(*_checks(width))
+    content = splits.join(known, FILE).groupBy("_source").agg(F.sum("_digest").alias("_digest"))
+    kinds = F.slice(F.array(*[_type(i) for i in range(width)]), 1, F.size("names"))
+    shapes = files.groupBy("_source", "names", _FORM).agg(F.every("same").alias("same")).join(checked, "_source", "left").join(content, "_source", "left")
+    shapes = shapes.fillna(0, [c for c in checked.columns if c != "_source"])
+    wrong = F.when(~F.col("same"), "files have different headers").when(
+        F.col("long") > 0, F.format_string(_too_long("%d", "%d"), F.col("long"), F.size("names"))
+    )
+    digest = F.concat_ws("/", F.to_json("names"), F.col("rows").cast("string"), F.col("_digest").cast("string"))
+    shapes = staged(shapes.select("_source", "names", _FORM, "rows", kinds.alias("types"), wrong.alias("wrong"), source_id(F.col("_source"), digest).alias("file_id")), "shapes")
+    if not shapes.groupBy("file_id").count().filter("count > 1").isEmpty():
+        raise ValueError("two files got one id; read them under ids of your own")
+
+    good = shapes.filter("wrong is null")
+    # Rows of a table are numbered through its files.
+    before = W.partitionBy("_source").orderBy(FILE, SPLIT).rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.join(known, FILE).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    tables = []
+    kinds = sorted(tuple(r) for r in good.select(_FORM, "names", "types").distinct().collect())
+    for form, names, types in kinds:
+        here = good.filter((F.col(_FORM) == form) & (F.col("types") == F.array(*map(F.lit, types)))).select("_source", "file_id")
+        placed = offsets.join(here, "_source").select(FILE, SPLIT, "file_id", "_base", "_before")
+        rows = cells.filter(F.col(_FORM) == form).join(_fitting(placed), [FILE, SPLIT])
+        index = (F.col(_POSITION) - F.col("_base") + F.col("_before")).alias(ROW_INDEX)
+        tables.append(rows.select("file_id", index, *[_typed(i, n, t) for i, (n, t) in enumerate(zip(names, types))]))
+    numbered = spark.createDataFrame([(form, types, n) for n, (form, _, types) in enumerate(kinds)], f"{_FORM} int, types array<string>, n int")
+    read = shapes.join(F.broadcast(numbered), [_FORM, "types"], "left")
+    read = read.select("_source", F.col("file_id").alias("id"), "rows", F.size("names").alias("width"), "n", "wrong")
+    report = none.join(asked.select("source", "_source"), "source").join(read, "_source", "left")
+    known_rows = F.col("wrong").isNull() & F.col("id").isNotNull()
+    return CsvTables(
+        tables,
+        report.select(
+            "source", "filename", F.when(known_rows, F.col("id")).alias("file_id"), F.when(known_rows, F.col("rows")).alias("num_rows"),
+            F.when(known_rows, F.col("width")).alias("num_columns"), F.when(known_rows, F.col("n")).alias("form"), F.when(~known_rows, F.coalesce("wrong", "error")).alias("error"),
+        ),
+    )

@@ -196,18 +196,15 @@ def scan_documents(spark: SparkSession, path: str | Sequence[str], file_id: str
     return Documents(rows, found.filter(F.col("error").isNotNull()).select("path", "filename", "error"))
 
 
-def read_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """All documents of a folder (or of given files); other file types are an error, broken files are left out.
-
-    ``scan_documents`` returns what was left out, too.
-    """
-    found = scan_documents(spark, path)
+def read_documents(spark: SparkSession, path: str | Sequence[str], file_id: str | None = None) -> Documents:
+    """``scan_documents``, where files of other types and a folder without documents are an error."""
+    found = scan_documents(spark, path, file_id)
     unsupported = found.failures.filter(F.col("error").startswith("unsupported")).select(F.max("error")).first()[0]
     if unsupported:
         raise ValueError(unsupported)
     if found.rows.isEmpty() and found.failures.isEmpty():
         raise ValueError(f"no documents in {path}")
-    return found.rows
+    return found
 
 
 def find_document(documents: DataFrame, file_id: str) -> DataFrame:
