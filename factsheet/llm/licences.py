@@ -1,9 +1,12 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, sentences that speak of licences are normalised and mapped to known
-sentence identifiers, and the text's sequence of identifiers is matched against ordered rules: a rule
-takes its identifiers out of the sequence, so longer and more special rules stand first. Sentences that speak
-of a licence and are not known are counted.
+A text is cut into paragraphs at blank lines, comment marks at the start of lines are dropped, and each paragraph
+is read twice: line by line, as licences are named in running text, and with its lines joined, as headers
+are wrapped. The reading with more known sentences counts (then the one with fewer unknown ones, then that by
+lines). Sentences that speak of licences are normalised and mapped to known sentence identifiers, and
+the text's sequence of identifiers is matched against ordered rules: a rule takes its identifiers out of
+the sequence, so longer and more special rules stand first. Sentences that speak of a licence and are not known
+are counted.
 
 Defined cases: null and empty texts, and texts without such a sentence, have no licence; equal rows get
 equal results; repeated sentences name their licence once; empty tables give empty results; other
@@ -16,7 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factsheet.llm.common import picked
+from factsheet.llm.quality import let
 
+#: Comment marks at the start of a line, what parts paragraphs, and line breaks inside one.
+MARKS = r"(?m)^[ \t]*(/\*+|\*+/?|//+|#+|--+|;+|%+)[ \t]*"
+BLANK = r"\r?\n[ \t\r]*\n\s*"
+BREAK = r"[ \t\r]*\n[ \t]*"
 #: What ends a sentence: its sign behind a letter, digit, bracket or quote, then white space.
 END = r"([\p{L}\p{N})\"'][.!?])[ \t]+"
 #: Words of sentences that speak of licences.
@@ -48,8 +56,13 @@ SENTENCES = (
     ("lgpl", rf"{_UNDER} under (the )?(terms of the )?gnu lesser general public license.*"),
     ("agpl", rf"{_UNDER} under (the )?(terms of the )?gnu affero general public license.*"),
     ("gpl", rf"{_UNDER} under (the )?(terms of the )?gnu general public license"),
-    ("gpl_free", r"this program is free software you can redistribute it.*general public license.*"),
-    ("gpl_warranty", r"this program is distributed in the hope that it will be useful.*"),
+    ("agpl_free", r"(.* )?free software,? you can redistribute it.*affero general public license.*"),
+    ("lgpl_free", r"(.* )?free software,? you can redistribute it.*(lesser|library) general public license.*"),
+    ("gpl3_free", r"(.* )?free software,? you can redistribute it.*general public license.*version 3 .*"),
+    ("gpl2_free", r"(.* )?free software,? you can redistribute it.*general public license.*version 2 .*"),
+    ("gpl_free", r"(.* )?free software,? you can redistribute it.*general public license.*"),
+    ("gpl_warranty", r"(.* )?is distributed in the hope that it will be useful.*"),
+    ("gpl_received", r"you should have received a copy of the gnu .*general public license.*"),
     ("mpl2", rf"{_UNDER} under (the )?mozilla public license,? (version |v\. ?)?2(\.0)?"),
     ("mpl2_terms", r"this source code form is subject to the terms of the mozilla public license.*"),
     ("cc_by_nc_nd", rf"{_UNDER} under (a |the )?(cc|creative commons)( license)? by nc nd( [0-9.]+)?.*"),
@@ -67,11 +80,11 @@ RULES = (
     ("MIT", r"(mit_name;)?(copyright;)?mit_grant;(mit_notice;)?(as_is;)?|spdx_mit;(mit;)?|mit;(as_is;)?|mit_name;"),
     ("BSD-3-Clause", r"bsd_grant;bsd_source;bsd_binary;bsd_name;(as_is;)?|spdx_bsd3;"),
     ("BSD-2-Clause", r"bsd_grant;bsd_source;bsd_binary;(as_is;)?"),
-    ("AGPL", r"agpl;(gpl_warranty;)?"),
-    ("LGPL", r"lgpl;(gpl_warranty;)?"),
-    ("GPL-3.0", r"(spdx_gpl3;)?gpl3;(gpl_warranty;)?|spdx_gpl3;(gpl_free;)?(gpl_warranty;)?"),
-    ("GPL-2.0", r"(spdx_gpl2;)?gpl2;(gpl_warranty;)?|spdx_gpl2;(gpl_free;)?(gpl_warranty;)?"),
-    ("GPL", r"gpl;(gpl_warranty;)?|gpl_free;(gpl_warranty;)?"),
+    ("AGPL", r"(agpl;|agpl_free;)(gpl_warranty;)?(gpl_received;)?"),
+    ("LGPL", r"(lgpl;|lgpl_free;)(gpl_warranty;)?(gpl_received;)?"),
+    ("GPL-3.0", r"((spdx_gpl3;)?(gpl3;|gpl3_free;)|spdx_gpl3;(gpl_free;)?)(gpl_warranty;)?(gpl_received;)?"),
+    ("GPL-2.0", r"((spdx_gpl2;)?(gpl2;|gpl2_free;)|spdx_gpl2;(gpl_free;)?)(gpl_warranty;)?(gpl_received;)?"),
+    ("GPL", r"(gpl;|gpl_free;)(gpl_warranty;)?(gpl_received;)?"),
     ("MPL-2.0", r"mpl2;|mpl2_terms;"),
     ("CC-BY-NC-ND", r"cc_by_nc_nd;"),
     ("CC-BY-NC-SA", r"cc_by_nc_sa;"),
@@ -92,7 +105,7 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """One row per document: doc_id, licences (sorted array), sentences (identifiers in order, array), n_unknown."""
     rows = picked(docs, (doc_id, "doc_id"), (text, "text"))
     cued = F.when(F.col("text").rlike(CUE), F.col("text"))
-    sentences = F.filter(F.split(F.regexp_replace(cued, END, "$1\n"), "\n"), lambda s: s.rlike(CUE))
+    paragraphs = F.filter(F.split(F.regexp_replace(cued, MARKS, ""), BLANK), lambda p: p.rlike(CUE))
 
     def normal(s):
         s = F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.,]+", " ")
@@ -104,8 +117,23 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             name = name.when(s.rlike(f"^({pattern})$"), identifier)
         return name.otherwise(UNKNOWN)
 
-    rows = rows.select("doc_id", F.transform(sentences, normal).alias("normal"))
-    rows = rows.select("doc_id", F.coalesce(F.transform("normal", known), F.array().cast("array<string>")).alias("all"))
+    def identifiers(p):
+        sentences = F.filter(F.split(F.regexp_replace(p, END, "$1\n"), "\n"), lambda s: s.rlike(CUE))
+        return F.transform(sentences, lambda s: let(normal(s), known))
+
+    def unknown(found):
+        return F.size(F.filter(found, lambda s: s == UNKNOWN))
+
+    def better(lines, joined):
+        n, m = F.size(lines) - unknown(lines), F.size(joined) - unknown(joined)
+        return F.when((m > n) | ((m == n) & (unknown(joined) < unknown(lines))), joined).otherwise(lines)
+
+    def read(p):
+        whole = let(identifiers(F.regexp_replace(p, BREAK, " ")), lambda joined: let(identifiers(p), lambda lines: better(lines, joined)))
+        return F.when(p.contains("\n"), whole).otherwise(identifiers(p))
+
+    found = F.coalesce(F.flatten(F.transform(paragraphs, read)), F.array().cast("array<string>"))
+    rows = rows.select("doc_id", found.alias("all"))
     rows = rows.select("doc_id", F.filter("all", lambda s: s != UNKNOWN).alias("sentences"), F.size(F.filter("all", lambda s: s == UNKNOWN)).cast("bigint").alias("n_unknown"))
     # The sequence begins with a semicolon, and each rule leaves one where it took identifiers out.
     rows = rows.withColumn("rest", F.concat(F.lit(";"), F.array_join(F.transform("sentences", lambda s: F.concat(s, F.lit(";"))), "")))
@@ -123,6 +151,18 @@ def licences_sql() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     cases = " ".join(f"when regexp_full_match(s, {quoted(p)}, 's') then {quoted(i)}" for i, p in SENTENCES)
+
+    def identifiers(p: str) -> str:
+        cut = f"string_split(regexp_replace({p}, {quoted(END)}, '\\1' || chr(10), 'g'), chr(10))"
+        normal = r"regexp_replace(regexp_replace(regexp_replace(lower(s), '[^\p{L}\p{N}.,]+', ' ', 'g'), '^[ .,]+|[ .,]+$', '', 'g'), ' +', ' ', 'g')"
+        listed = f"list_transform(list_filter({cut}, lambda s: regexp_matches(s, {quoted(CUE)})), lambda s: {normal})"
+        return f"list_transform({listed}, lambda s: case {cases} else '?' end)"
+
+    def count(found: str, sign: str) -> str:
+        return f"len(list_filter({found}, lambda s: s {sign} '?'))"
+
+    joined = f"regexp_replace(p, {quoted(BREAK)}, ' ', 'g')"
+    more = f"{count('b', '<>')} > {count('a', '<>')} or {count('b', '<>')} = {count('a', '<>')} and {count('b', '=')} < {count('a', '=')}"
     steps, at = [], "q"
     for k, (_, pattern) in enumerate(RULES):
         steps.append(f"q{k} as (select * exclude rest, regexp_matches(rest, {quoted(bounded(pattern))}) as r{k}, regexp_replace(rest, {quoted(bounded(pattern))}, ';', 'g') as rest from {at})")
@@ -130,12 +170,16 @@ def licences_sql() -> str:
     names = ", ".join(f"case when r{k} then {quoted(licence)} end" for k, (licence, _) in enumerate(RULES))
     return rf"""
 with s as (
-    select doc_id, list_filter(string_split(regexp_replace(case when regexp_matches(text, {quoted(CUE)}) then text end, {quoted(END)}, '\1' || chr(10), 'g'), chr(10)),
-        lambda s: regexp_matches(s, {quoted(CUE)})) as l from documents
-), n as (
-    select doc_id, list_transform(l, lambda s: regexp_replace(regexp_replace(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}.,]+', ' ', 'g'), '^[ .,]+|[ .,]+$', '', 'g'), ' +', ' ', 'g')) as l from s
+    select doc_id, list_filter(regexp_split_to_array(regexp_replace(case when regexp_matches(text, {quoted(CUE)}) then text end, {quoted(MARKS)}, '', 'g'), {quoted(BLANK)}),
+        lambda p: regexp_matches(p, {quoted(CUE)})) as l from documents
+), e as (
+    select doc_id, i, l[i] as p from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from s)
+), r as (
+    select doc_id, i, {identifiers("p")} as a, {identifiers(joined)} as b from e
+), c as (
+    select doc_id, flatten(list(case when {more} then b else a end order by i)) as l from r group by doc_id
 ), i as (
-    select doc_id, coalesce(list_transform(l, lambda s: case {cases} else '?' end), []) as l from n
+    select documents.doc_id, coalesce(c.l, []) as l from documents left join c using (doc_id)
 ), q as (
     select doc_id, list_filter(l, lambda s: s <> '?') as ids, len(list_filter(l, lambda s: s = '?')) as n_unknown,
         ';' || coalesce(array_to_string(list_transform(list_filter(l, lambda s: s <> '?'), lambda s: s || ';'), ''), '') as rest from i
