@@ -43,8 +43,11 @@ FORMATS = {
     "openai": re.compile(r"sk-[A-Za-z0-9_-]{20,}"),
 }
 ASSIGNED = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|private_?key)\w*[\"']?\s*(=|:|=>|:=)\s*[\"']?$")
-#: The value behind such a name: what its quotes hold, or all up to white space.
-VALUE = re.compile(ASSIGNED.pattern.removesuffix(r"[\"']?$") + r"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s"'`]+))""")
+#: A word before a sign of assignment, tried from its start alone, so that a long run is read once.
+NAME = re.compile(r"""(?<!\w)(?P<name>\w++)["']?\s*+(?:=>|:=|=|:)\s*+""")
+NAMED = re.compile(r"(?i)token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|private_?key")
+#: The value behind it: what its quotes hold, or all up to white space.
+VALUE = re.compile(r"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s"'`]+))""")
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@]*:(?P<password>[^\s/]+)@")
 #: What each text with a candidate holds.
 MAY_HOLD = r"[A-Za-z0-9_+/=-]{16}|://[^\s/:@]*:|(?i:token|secret|passw|pwd|api_?key|access_?key|auth|credential|private_?key)"
@@ -111,6 +114,19 @@ def self_evident(value: str, left: str) -> tuple[str | None, int | None]:
     return None, None
 
 
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Spans of the values behind names of secrets."""
+    spans, at = [], 0
+    while m := NAME.search(text, at):
+        at = m.end()
+        if NAMED.search(m.group("name")) and (value := VALUE.match(text, at)):
+            start, at = value.span(value.lastgroup)
+            end = start + len(text[start:at].rstrip(",;)]}")) if value.lastgroup == "bare" else at
+            spans.append((start, end))
+            at = value.end()
+    return spans
+
+
 def proposed(text: str) -> list[tuple[int, int, bool]]:
     """Spans of the candidates of a text, each once, by start; whether it is the password in a URL."""
     found = {}
@@ -123,10 +139,7 @@ def proposed(text: str) -> list[tuple[int, int, bool]]:
             if end - start >= 20 or (end - start >= 16 and any("0" <= c <= "9" for c in text[start:end])):
                 found[start, end] = False
             start = end + 1
-    for m in VALUE.finditer(text):
-        start, end = m.span(m.lastgroup)
-        if m.lastgroup == "bare":
-            end = start + len(text[start:end].rstrip(",;)]}"))
+    for start, end in assigned(text):
         if end - start >= SHORTEST:
             found.setdefault((start, end), False)
     for m in URL.finditer(text):

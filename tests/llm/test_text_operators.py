@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -229,6 +231,21 @@ def test_mixing_of_odd_rows(spark, odd):
     assert {r.rate for r in mixing.mixing_rates(odd, domains.limit(0), {"good": 1.0}).collect()} == {1.0}
 
 
+PLAIN_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("0129.. a", max_size=40))
+def test_addresses_from_the_start_of_a_run_are_those_of_the_plain_pattern(text):
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in PLAIN_IP.finditer(text)]
+
+
+def test_a_million_digits_take_no_time():
+    start = time.perf_counter()
+    assert not list(pii.IP.finditer("7" * 1_000_000)) and len(list(pii.IP.finditer("1.2.3.4 " + "9." * 300_000))) > 1
+    assert time.perf_counter() - start < 5
+
+
 # Licences
 
 
@@ -250,6 +267,82 @@ def test_licences(spark, text, names):
     assert row.licences == names and row.n_unknown == ("driving" in (text or ""))
 
 
+# Standard notices as files have them, wrapped and behind comment marks.
+GPL = """This {thing} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version.
+
+This {thing} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this {thing}.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+MIT = """MIT License
+
+Copyright (c) 2021 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = [
+    (GPL.format(thing="program", kind="", version=3), "GPL-3.0"), (GPL.format(thing="program", kind="", version=2), "GPL-2.0"),
+    (GPL.format(thing="program", kind="Affero ", version=3), "AGPL"), (GPL.format(thing="library", kind="Lesser ", version=3), "LGPL"),
+    (BSD, "BSD-2-Clause"), (BSD + BSD3, "BSD-3-Clause"), (APACHE, "Apache-2.0"), (MIT, "MIT"), (MPL, "MPL-2.0"),
+]
+
+
+def test_wrapped_notices_behind_comment_marks(spark):
+    marks = ("", "// ", "# ", " * ", "-- ", ";; ")
+    rows = [(f"{name}{mark}{end}", "code = 1\n\n" + end.join(mark + line for line in text.split("\n")) + end + "\nmore code") for text, name in NOTICES for mark in marks for end in ("\n", "\r\n")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r.doc_id: r.licences for r in licences.licences(docs).collect()}
+    assert {k: v for k, v in found.items() if v != [next(n for _, n in NOTICES if k.startswith(n) and not k[len(n):].startswith("-"))]} == {}
+
+
+def test_licence_sql_reads_notices_alike(spark, odd):
+    texts = [t for t, _ in NOTICES] + ["\n".join("# " + x for x in t.split("\n")) for t, _ in NOTICES] + [r[1] for r in odd_rows()] + ["a\nReleased under the MIT License\nb\nc", "driving license\n\nlicensed under\nthe mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    expected = {r[0]: r[1:] for r in con.sql(f"select doc_id, licences, sentences, n_unknown from ({licences.licences_sql()})").fetchall()}
+    got = licences.licences(docs).collect()
+    assert {r.doc_id: (",".join(r.licences), ",".join(r.sentences), r.n_unknown) for r in got} == expected
+
+
 def test_licences_of_odd_rows(odd):
     assert licences.licences(odd).count() == odd.count() and licences.licences(odd.limit(0)).count() == 0
 
@@ -267,6 +360,29 @@ def planted_secrets(n):
     return out
 
 
+PLAIN_VALUE = re.compile(
+    r"""(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|private_?key)\w*["']?\s*(=|:|=>|:=)\s*"""
+    r"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s"'`]+))"""
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "my_token", "x", " ", "=", ": ", '"', "'", "abc123", "\n", "auth", "tokenauth", ",", "foo="]), max_size=14).map("".join))
+def test_assigned_values_are_those_of_the_plain_pattern(text):
+    expected = []
+    for m in PLAIN_VALUE.finditer(text):
+        start, end = m.span(m.lastgroup)
+        expected.append((start, start + len(text[start:end].rstrip(",;)]}")) if m.lastgroup == "bare" else end))
+    assert secrets.assigned(text) == expected
+    assert [("pwd => abc123")[a:b] for a, b in secrets.assigned("pwd => abc123")] == ["abc123"]
+
+
+def test_long_runs_of_key_words_take_no_time():
+    start = time.perf_counter()
+    assert secrets.proposed("token" * 200_000 + " = x") and len(secrets.proposed('token = "abc123xyz" ' * 20_000)) == 20_000
+    assert time.perf_counter() - start < 20
+
+
 def test_forest_tells_secrets_from_digests(spark):
     docs = spark.createDataFrame(planted_secrets(240), "doc_id long, text string, source string")
     found = secrets.candidates(docs, secrets.dictionary(docs))
