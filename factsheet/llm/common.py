@@ -15,8 +15,10 @@ from factsheet.functions.session import shared_folder
 
 #: What separates the words of a text in the shingle operators: all but letters and digits.
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: Characters that one numpy step handles; longer batches are cut.
-STEP_CHARS = 1 << 21
+#: Characters that one numpy step handles; longer batches are cut. A step takes some hundred bytes for each.
+STEP_CHARS = 1 << 18
+#: Rows of a batch whose texts are Python strings at a time.
+STEP_ROWS = 512
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +66,12 @@ def once(key, make: Callable):
 
 
 def by_rows(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply a function to each Arrow batch of a frame."""
+    """Apply a function to each Arrow batch of a frame, in steps of a few rows."""
 
     def run(batches):
         for batch in batches:
-            yield from function(batch)
+            for start in range(0, batch.num_rows, STEP_ROWS):
+                yield from function(batch.slice(start, STEP_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsheet.llm.common import STEP_CHARS, by_rows, once, picked, unit_hash
+from factsheet.llm.common import STEP_CHARS, STEP_ROWS, by_rows, once, picked, unit_hash
 
 UNKNOWN = "und"
 BITS = 16
@@ -238,15 +238,18 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents whose language is accepted, with all their columns, in one narrow pass.
 
-    The verdict is computed beside the row, so repeated and null ids need no join.
+    Only texts go to Python; the verdict comes back beside the row, so repeated and null ids need no join.
     """
     model = fit(docs, doc_id, text, lang)
-    names = docs.columns
 
-    def keep(batch: pa.RecordBatch):
-        texts = [t or "" for t in batch.column(names.index(text)).to_pylist()]
-        sure = softmax(model.logits(texts) / model.temperature).max(axis=1)
-        ok = np.array([any(map(str.isalpha, t)) for t in texts], bool) & (sure >= model.threshold)
-        yield batch.filter(pa.array(ok & bool(model.languages)))
-
-    return docs.mapInArrow(lambda batches: (b for x in batches for b in keep(x)), docs.schema)
+    @F.arrow_udf("boolean")
+    def accepted(column: pa.Array) -> pa.Array:
+        found = []
+        for start in range(0, len(column), STEP_ROWS):
+            texts = [t or "" for t in column.slice(start, STEP_ROWS).to_pylist()]
+            sure = softmax(model.logits(texts) / model.temperature).max(axis=1)
+            ok = np.array([any(map(str.isalpha, t)) for t in texts], bool) & (sure >= model.threshold)
+            found.append(ok & bool(model.languages))
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
+
+    return docs.filter(accepted(F.col(f"`{text}`")))
