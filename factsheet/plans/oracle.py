@@ -511,6 +511,9 @@ ORACLE["document_lookup"] = f"""
 with recursive {_chunks("documents")}
 select doc_id as file_id, chunk_idx, chunk from ch where doc_id = 17"""
 ORACLE["sample_head"] = "select * from customer order by c_custkey limit 3"
+ORACLE["sample_heads"] = """
+select 'customer' as "table", c_custkey as key, to_json(c)::varchar as row from (select * from customer order by c_custkey limit 3) c
+union all select 'part', p_partkey, to_json(p)::varchar from (select * from part order by p_partkey limit 3) p"""
 
 
 def _report(name: str, source: str) -> str:

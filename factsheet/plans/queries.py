@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -676,6 +677,18 @@ def _(spark, sf):
     return fs.sample_head(table(spark, sf, "customer"), key="c_custkey")
 
 
+@query("sample_heads")
+def _(spark, sf):
+    """The first rows of the first two of three loaded tables."""
+    tables = {name: table(spark, sf, name) for name in ("customer", "part", "nation")}
+    heads = fs.samples(tables, KEYS)
+    rows = [
+        df.select(F.lit(name).alias("table"), F.col(KEYS[name]).alias("key"), F.to_json(F.struct(*df.columns)).alias("row"))
+        for name, df in heads.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("load_report")
 def _(spark, sf):
     """Two cleaned tables, all documents, and a file that failed."""
