@@ -142,7 +142,9 @@ def mixed(docs: DataFrame, rates: DataFrame, doc_id: str = "doc_id") -> DataFram
 
     The chance is a hash of the id, so the mixture is the same in every run.
     """
-    some = stored(rates.select(F.col("doc_id").alias("_rated"), F.col("rate").alias("_rate")), "rates")
-    extra = (unit_hash(F.col(f"`{doc_id}`").cast("string"), F.lit("mixed")) < F.col("_rate") - F.floor("_rate")).cast("int")
-    both = joined(docs, some, docs[doc_id].eqNullSafe(some["_rated"]))
-    return both.withColumn("_times", (F.floor("_rate") + extra).cast("int")).filter("_times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    some = stored(rates.select(F.col("doc_id").alias("rated"), "rate"), "rates")
+    # The table's columns travel in a struct, so that none can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("key"))
+    extra = (unit_hash(F.col("key").cast("string"), F.lit("mixed")) < F.col("rate") - F.floor("rate")).cast("int")
+    both = joined(rows, some, rows["key"].eqNullSafe(some["rated"])).withColumn("times", (F.floor("rate") + extra).cast("int"))
+    return both.filter("times > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

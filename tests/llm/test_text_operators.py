@@ -227,6 +227,12 @@ def test_mixing_of_odd_rows(spark, odd):
     assert len(found) == len({r[0] for r in odd_rows()}) and all(r.rate >= 0 for r in found)
     assert {r.n_tokens for r in found if r.doc_id in (4, 5, 6)} == {0}
     assert mixing.mixed(odd, rates).columns == odd.columns
+    clash = odd.withColumnsRenamed({"n": "rate", "h": "_rate", "k": "times", "words": "row"}).withColumn("key", F.lit("c"))
+    kept = mixing.mixed(clash, rates)
+    assert kept.columns == clash.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in mixing.mixed(odd, rates).collect())
+    twice = mixing.mixed(odd, rates.withColumn("rate", F.lit(2.0)))
+    assert twice.count() == 2 * odd.count()
     assert mixing.mixing_rates(odd.limit(0), domains, {"good": 1.0}).count() == 0
     assert {r.rate for r in mixing.mixing_rates(odd, domains.limit(0), {"good": 1.0}).collect()} == {1.0}
 
@@ -327,10 +333,11 @@ NOTICES = [
 
 def test_wrapped_notices_behind_comment_marks(spark):
     marks = ("", "// ", "# ", " * ", "-- ", ";; ")
-    rows = [(f"{name}{mark}{end}", "code = 1\n\n" + end.join(mark + line for line in text.split("\n")) + end + "\nmore code") for text, name in NOTICES for mark in marks for end in ("\n", "\r\n")]
-    docs = spark.createDataFrame(rows, "doc_id string, text string")
-    found = {r.doc_id: r.licences for r in licences.licences(docs).collect()}
-    assert {k: v for k, v in found.items() if v != [next(n for _, n in NOTICES if k.startswith(n) and not k[len(n):].startswith("-"))]} == {}
+    cases = [(text, name, mark, end) for text, name in NOTICES for mark in marks for end in ("\n", "\r\n")]
+    texts = ["code = 1\n\n" + end.join(mark + line for line in text.split("\n")) + end + "\nmore code" for text, _, mark, end in cases]
+    found = licences.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    wrong = [(cases[r.doc_id][1:], r.licences) for r in found if r.licences != [cases[r.doc_id][1]]]
+    assert wrong == []
 
 
 def test_licence_sql_reads_notices_alike(spark, odd):
