@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ MAGIC = b"FSTK"
 HEAD = "<4sIIQQQ"
 BLOCK_IDS = 1 << 13
 SHARD_IDS = 1 << 18
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 #: Characters that are encoded in one step, and new words handed to the tokenizer at once.
 STEP_CHARS = 1 << 18
 NEW_WORDS = 2048
@@ -43,10 +44,15 @@ NULL_ID = -(1 << 63)
 TABLE = "part int, shard int, first_doc bigint, n_docs bigint, n_ids bigint, bytes binary"
 #: White space that no token of the vocabulary contains and no added token crosses.
 PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-LATIN = "a-zà-öø-ÿ"
+LATIN = "a-zß-öø-ÿ"
 #: Texts of these characters alone are cut further, as the tokenizer's own pattern cuts them (fixed by the vocabulary).
 PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LATIN}]+|[0-9]|[^ \t\n\r\x0b\x0c{LATIN}0-9]+")
+#: One word of the tokenizer's pattern that its normalizer leaves alone, so that the model can take it directly.
+SINGLE = re.compile(rf"[{LATIN}]+|[0-9]")
+#: Code points that the byte-level step gives to the bytes 0 to 255.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 
 def bits(vocabulary: int) -> int:
@@ -56,6 +62,8 @@ def bits(vocabulary: int) -> int:
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids as consecutive bit fields, lowest bit first; the last group of eight is filled with zeros."""
     n = -(-len(ids) // 8) * 8
+    if width == 16:
+        return np.concatenate([ids.astype("<u2"), np.zeros(n - len(ids), "<u2")]).tobytes()
     group = np.zeros(n, np.uint64)
     group[: len(ids)] = ids
     group = group.reshape(-1, 8)
@@ -71,6 +79,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(data, width: int, n: int) -> np.ndarray:
     """The first n ids of packed groups."""
+    if width == 16:
+        return np.frombuffer(data, "<u2")[:n].astype(np.uint32)
     group = np.frombuffer(data, np.uint8).reshape(-1, width).astype(np.uint64)
     out = np.zeros((len(group), 8), np.uint64)
     for k in range(8):
@@ -135,8 +145,8 @@ class Encoder:
 
     No token crosses the white space of PIECE, nor, in plain Latin text, the bounds of WORD; so each
     such word is encoded alone, once, and looked up afterwards. Texts with other characters, or with the
-    signs that added tokens begin with, are cut at white space only. The cache is emptied when it holds
-    CACHED_WORDS words.
+    signs that added tokens begin with, are cut at white space only. New words that the pattern and the
+    normalizer leave as they are go to the model alone. The cache is emptied when it holds CACHED_WORDS words.
     """
 
     def __init__(self, path: str):
@@ -144,6 +154,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.clear()
 
@@ -151,11 +162,17 @@ class Encoder:
         self.number = Numbers()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        single = [SINGLE.fullmatch(w) is not None for w in words]
+        others = iter(self.tokenizer.encode_batch_fast([w for w, one in zip(words, single) if not one], add_special_tokens=False))
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTES))] if one else next(others).ids for w, one in zip(words, single)]
+
     def learn(self):
         flat, sizes = [self.flat], [self.sizes]
         new, self.number.new = self.number.new, []
         for at in range(0, len(new), NEW_WORDS):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + NEW_WORDS], add_special_tokens=False)]
+            found = self.ids_of(new[at : at + NEW_WORDS])
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
             flat.append(np.fromiter(chain.from_iterable(found), self.flat.dtype, int(sizes[-1].sum())))
         self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
@@ -176,16 +193,16 @@ class Encoder:
         return np.insert(self.flat[which].astype(np.uint32), ends_in, end_id), ends_in + np.arange(1, len(texts) + 1)
 
 
-def steps(texts: list[str]):
-    """Bounds of runs of about STEP_CHARS characters."""
+def steps(lengths: list[int]):
+    """Bounds of runs of about STEP_CHARS characters, from the lengths of the texts."""
     at = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
+    for i, length in enumerate(lengths):
+        size += length
         if size >= STEP_CHARS:
             yield at, i + 1
             at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(lengths):
+        yield at, len(lengths)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -205,9 +222,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, do
 
         for batch in batches:
             keys = [NULL_ID if k is None else k for k in batch.column(0).to_pylist()]
-            texts = batch.column(1).to_pylist()
-            for at, to in steps(texts):
-                got, end = encoder.encode(texts[at:to], end_id)
+            texts = batch.column(1)
+            for at, to in steps(pc.utf8_length(texts).to_pylist()):
+                got, end = encoder.encode(texts.slice(at, to - at).to_pylist(), end_id)
                 names += keys[at:to]
                 ids.append(got)
                 ends.append(end + size)

@@ -28,6 +28,11 @@ def test_words_alone_give_the_ids_of_the_text(texts):
     assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == expected
 
 
+@pytest.mark.parametrize("text", ["straße", "Größe's aß ßa", "éß1ßs", "ÀÖØ öøÿ a×b÷c", "\x00\x7fa"])
+def test_every_latin_letter_is_one(text):
+    assert ENCODER.encode([text], 1)[0].tolist()[:-1] == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def test_special_tokens_in_text_as_the_library_reads_them():
     text = "a <|endoftext|> b<|startoftext|>c it's O'Clock"
     assert ENCODER.encode([text], 1)[0].tolist()[:-1] == PLAIN.encode(text, add_special_tokens=False).ids
