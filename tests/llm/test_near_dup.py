@@ -193,3 +193,40 @@ def test_fuzzy_passage_behind_a_long_one(spark):
     rows = [(i, " ".join((long, sentence(rng, 60), one, sentence(rng, 3), two, sentence(rng, 20)))) for i in (1, 2)]
     found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.start_word, r.end_word) for r in found) == [(0, 500), (560, 623)]
+
+
+def test_pairs_of_a_bucket_that_nothing_else_splits(spark):
+    rng = random.Random(14)
+    passage, texts = sentence(rng, 60), []
+    for _ in range(30):
+        own = sentence(rng, 20).split()
+        texts += [passage + " " + " ".join(own), passage + " " + " ".join([*own[:9], "changed", *own[10:]])]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    element = {r.id: tuple(r.elements) for r in near_dup.signatures(docs, "doc_id", "text", 1).collect()}
+    large = max(set(element.values()), key=list(element.values()).count)
+    together = [r for r in rows if element[r[0]] == large]
+    assert len(together) > 20
+    found = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs, sketches=1).collect()}
+    assert {i: found[i] for i, _ in together} == groups(together)
+
+
+def test_bins_rule_no_similar_pair_out():
+    rng = random.Random(15)
+    texts = []
+    for _ in range(30):
+        words = [rng.randrange(50) for _ in range(rng.randrange(1, 60))]
+        texts.append(words)
+        mine = list(words)
+        for _ in range(rng.randrange(1 + len(words) // 5)):
+            mine[rng.randrange(len(mine))] = rng.randrange(50)
+        texts.append(mine)
+    n, root = np.array([len(t) for t in texts]), np.arange(len(texts)) // 7
+    bins = np.stack([np.bincount(t, minlength=near_dup.BINS) for t in texts]).astype("<i2")
+    every = np.arange(len(texts))
+    left, right = near_dup.may_be_similar(n, root, bins, every, every, 0.8)
+    found = {frozenset(p) for p in zip(left.tolist(), right.tolist())}
+    assert len(found) == len(left) and all(root[a] != root[b] for a, b in found)
+    alike = {frozenset((a, b)) for a in every.tolist() for b in range(a) if root[a] != root[b] and edits(texts[a], texts[b]) <= 0.2 * max(n[a], n[b]) + 1e-9}
+    assert alike <= found
