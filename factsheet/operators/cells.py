@@ -10,10 +10,11 @@ known, so the triangle inequality bounds how near a query can be to anything in
 A query's k-th distance is at most that to the k-th nearest vector of the sample. Rings whose bound is
 beyond it are left out; a query is sent to the others, and only rings that some query reaches are moved.
 
-Rings with many rows are dealt over several blocks, rings with many queries over several turns, so that a
-task holds one block of corpus rows at a time and lets the queries stream past it. What grows with the
-data are rows of tables: pivots, sample and ring bounds are fixed in number, and no query passes
-through the driver.
+Rings that follow each other share a block up to a fixed size, rings with many rows are dealt over several blocks,
+and blocks with many queries over several turns, so that a task holds one block of corpus rows at a time and
+lets the queries stream past it. A query goes to a block once, with the numbers of the rings that it has to meet there,
+and leaves it with its k best of all these rings. What grows with the data are rows of tables: pivots, sample and
+ring bounds are fixed in number, and no query passes through the driver.
 """
 
 from __future__ import annotations
@@ -40,19 +41,26 @@ RING_ROWS = 1024
 BLOCK_BYTES = 16 << 20
 TURN_ROWS = 1 << 16
 #: Distances computed at a time in a task.
-CELLS = 1 << 22
+CELLS = 1 << 20
+#: Rows whose vectors are scaled at a time.
+UNIT_ROWS = 4096
+#: Queries that meet a block at a time, and tasks at most that blocks and turns are dealt to.
+STEP_QUERIES, TASKS = 1024, 4096
 #: Squared distances are compared after rounding to this many digits, so that equal vectors tie and ids decide.
 DIGITS = 9
 #: Doubt of a distance that is the root of a rounded square.
 SLACK = 1e-4
 
-_BLOCK = ["_ring", "_sub", "_turn"]
+_BLOCK = ["_block", "_turn"]
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
-    m = m.astype(np.float64)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    out = np.zeros(m.shape)
+    for start in range(0, len(m), UNIT_ROWS):
+        part = m[start : start + UNIT_ROWS].astype(np.float64)
+        norm = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        np.divide(part, norm, out=out[start : start + UNIT_ROWS], where=norm > 0)
+    return out
 
 
 def matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
@@ -90,14 +98,14 @@ class Grid(NamedTuple):
     least: np.ndarray
     greatest: np.ndarray
 
-    def reached(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """A bound of each query's k-th distance, and the rings that may hold one of its k nearest."""
+    def reached(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A bound of each query's k-th distance, and for each ring whether it may hold one of its k nearest."""
         to_sample = np.sqrt(squared_distances(queries, self.sample))
         bound = np.partition(to_sample, k - 1, axis=1)[:, k - 1] if len(self.sample) >= k else np.full(len(queries), np.inf)
         to_pivots = np.sqrt(squared_distances(queries, self.pivots))
         d = to_pivots[:, self.cell]
         low = np.maximum(np.maximum(d - self.greatest, self.least - d), (d - to_pivots.min(axis=1, keepdims=True)) / 2)
-        return bound, [self.ring[row] for row in low <= bound[:, None] + SLACK]
+        return bound, low <= bound[:, None] + SLACK
 
 
 def _place(pivots: np.ndarray) -> Column:
@@ -117,21 +125,61 @@ def _place(pivots: np.ndarray) -> Column:
     return place(F.col("_vector"))
 
 
-def _reach(grid: Grid, k: int) -> Column:
-    """struct(bound, rings) of a query vector."""
+def _reaching(asked: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """(_ring, n): how many queries each ring is asked by, from each step of a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (_, reached) in _steps(batches, grid, k):
+            n = reached.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(grid.ring[n > 0], pa.int32()), pa.array(n[n > 0], pa.int64())], names=["_ring", "n"])
+
+    return asked.select("_vector").mapInArrow(count, "_ring int, n bigint")
 
-    @F.arrow_udf("bound double, rings array<int>")
-    def reach(vectors: pa.Array) -> pa.Array:
-        bounds, rings = [], []
-        step = max(1, CELLS // max(len(grid.sample), len(grid.cell)))
-        for start in range(0, len(vectors), step):
-            bound, found = grid.reached(unit_rows(matrix(vectors.slice(start, step), grid.pivots.shape[1])), k)
-            bounds.append(bound)
-            rings += found
-        bound = np.concatenate(bounds) if bounds else np.zeros(0)
-        return pa.StructArray.from_arrays([pa.array(bound, pa.float64()), pa.array(rings, pa.list_(pa.int32()))], ["bound", "rings"])
 
-    return reach(F.col("_vector"))
+def _steps(batches: Iterator[pa.RecordBatch], grid: Grid, k: int):
+    """Queries a few at a time, each with what they reach."""
+    step = max(1, CELLS // max(len(grid.sample), len(grid.cell)))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            yield part, grid.reached(unit_rows(matrix(part.column(part.schema.get_field_index("_vector")), grid.pivots.shape[1])), k)
+
+
+def _sent(asked: DataFrame, grid: Grid, k: int, pieces: list[tuple[int, int]]) -> DataFrame:
+    """Queries once for each block that they reach, with a bound and their rings there; ``pieces`` are (ring, block) pairs."""
+    pieces = sorted(pieces, key=lambda p: (p[1], p[0]))
+    ring, block = (np.array(x, np.int32) for x in zip(*pieces))
+    column = np.searchsorted(grid.ring, ring)
+    schema = T.StructType([*asked.select("query_id", "_vector").schema, T.StructField("_bound", T.DoubleType()), T.StructField("_block", T.IntegerType()), T.StructField("_rings", T.ArrayType(T.IntegerType()))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (bound, reached) in _steps(batches, grid, k):
+            at, piece = np.nonzero(reached[:, column])
+            if not len(at):
+                continue
+            to = block[piece]
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (to[1:] != to[:-1])))
+            rings = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(ring[piece]))
+            rows = part.select(["query_id", "_vector"]).take(pa.array(at[first]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(bound[at[first]]), pa.array(to[first]), rings], names=schema.names)
+
+    return asked.select("query_id", "_vector").mapInArrow(send, schema)
+
+
+def _blocks(rows: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(ring, first block, blocks) of each ring and its number of rows: small ones share a block, large ones fill several."""
+    found, number, held = [], -1, most
+    for ring, n in rows:
+        if n > most:
+            many = -(-n // most)
+            found.append((ring, number + 1, many))
+            number, held = number + many, most
+        else:
+            if held + n > most:
+                number, held = number + 1, 0
+            found.append((ring, number, 1))
+            held += n
+    return found
 
 
 def _sample(corpus: DataFrame, ids: Sequence[str], n: int, rows: int, dimension: int) -> np.ndarray:
@@ -183,24 +231,49 @@ def _join(dimension: int, k: int, ids: Sequence[str]):
                 if key != block:
                     block, waiting, ready = key, [], None
                 if not is_query[start]:
-                    waiting.append(part.select([*ids, "_at", "_vector"]))
+                    waiting.append(part.select([*ids, "_at", "_ring", "_vector"]))
                 elif waiting:
                     if ready is None:
-                        # Rows in id order: among equal distances the first ones have the smallest ids.
-                        rows = pa.concat_tables(waiting).sort_by(sort_keys).combine_chunks()
-                        ready = rows.drop(["_vector"]), unit_rows(matrix(rows["_vector"], dimension))
+                        # Rows by ring, there in id order: among equal distances the first ones have the smallest ids.
+                        rows = pa.concat_tables(waiting).sort_by([("_ring", "ascending"), *sort_keys]).combine_chunks()
+                        waiting = [rows.slice(0, 0)]
+                        by_id = pc.sort_indices(rows, sort_keys=sort_keys).to_numpy()
+                        rank = np.empty(len(by_id), np.int64)
+                        rank[by_id] = np.arange(len(by_id))
+                        ready = rows.drop(["_vector", "_ring"]), unit_rows(matrix(rows["_vector"], dimension)), rows["_ring"].to_numpy(), rank
                     yield from best(part, *ready)
 
-    def best(queries: pa.Table, rows: pa.Table, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        q = unit_rows(matrix(queries["_vector"], dimension))
-        limit = (queries["_bound"].to_numpy()[:, None] + SLACK) ** 2
-        step = max(1, CELLS // len(vectors))
-        for start in range(0, len(q), step):
-            d = np.round(squared_distances(q[start : start + step], vectors), DIGITS)
-            at, row, near = smallest(d, limit[start : start + step], k)
+    def best(queries: pa.Table, rows: pa.Table, vectors: np.ndarray, ring: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(queries), STEP_QUERIES):
+            some = queries.slice(start, STEP_QUERIES).combine_chunks()
+            q = unit_rows(matrix(some["_vector"], dimension))
+            limit = (some["_bound"].to_numpy()[:, None] + SLACK) ** 2
+            lists = some["_rings"].combine_chunks()
+            asker = np.repeat(np.arange(len(some)), pc.list_value_length(lists).to_numpy())
+            asked = lists.flatten().to_numpy()
+            order = np.argsort(asked, kind="stable")
+            asker, asked = asker[order], asked[order]
+            cuts = np.flatnonzero(np.append(True, asked[1:] != asked[:-1])) if len(asked) else np.zeros(0, int)
+            kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for low, high in zip(cuts, np.append(cuts[1:], len(asked))):
+                who = asker[low:high]
+                first, last = np.searchsorted(ring, asked[low], "left"), np.searchsorted(ring, asked[low], "right")
+                step = max(1, CELLS // max(1, len(who)))
+                for top in range(first, last, step):
+                    end = min(last, top + step)
+                    d = np.round(squared_distances(q[who], vectors[top:end]), DIGITS)
+                    at, row, near = smallest(d, limit[who], k)
+                    if len(at):
+                        at, row, near = (np.concatenate(x) for x in zip(kept, (who[at], top + row, near)))
+                        order = np.lexsort((rank[row], near, at))
+                        at, row, near = at[order], row[order], near[order]
+                        place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+                        limit[at[place == k - 1], 0] = np.minimum(limit[at[place == k - 1], 0], near[place == k - 1])
+                        kept = tuple(x[place < k] for x in (at, row, near))
+            at, row, near = kept
             if len(at):
                 found = rows.take(pa.array(row)).append_column("distance", pa.array(near))
-                found = found.append_column("query_id", queries["query_id"].take(pa.array(start + at)))
+                found = found.append_column("query_id", some["query_id"].take(pa.array(at)))
                 yield from found.combine_chunks().to_batches()
 
     return run
@@ -236,25 +309,30 @@ def cell_join(corpus: DataFrame, queries: DataFrame, k: int, ids: Sequence[str])
     )
     numbers, cell, rows, least, greatest = (np.array(x) for x in zip(*sorted(stats)))
     grid = Grid(pivots, sample, numbers, cell, least, greatest)
-    sent = asked.withColumn("_reach", _reach(grid, k)).select(
-        "query_id", "_vector", F.col("_reach.bound").alias("_bound"), F.explode("_reach.rings").alias("_ring")
-    )
-    asking = {r["_ring"]: r["n"] for r in sent.groupBy("_ring").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asking = {r["_ring"]: r["n"] for r in _reaching(asked, grid, k).groupBy("_ring").agg(F.sum("n").alias("n")).collect()}
     block_rows = max(1, BLOCK_BYTES // (4 * max(1, dimension)))
-    plan = [(r, -(-m // block_rows), -(-asking[r] // TURN_ROWS)) for r, m in zip(numbers.tolist(), rows.tolist()) if r in asking]
-    # One row for each ring that is reached, so at most PIVOTS * RINGS.
-    table = F.broadcast(spark.createDataFrame(plan, "_ring int, _subs int, _turns int"))
+    plan = _blocks([(r, m) for r, m in zip(numbers.tolist(), rows.tolist()) if r in asking], block_rows)
+    if not plan:
+        return spark.createDataFrame([], schema), stored, {"rings": len(numbers), "reached": 0, "pairs": 0}
+    sent = _sent(asked, grid, k, [(r, b + i) for r, b, many in plan for i in range(many)])
+    # A block is asked at most by all its rings' queries and by all queries. One row for each ring that is reached.
+    queries_of, total = {}, asked.count()
+    for r, b, many in plan:
+        for i in range(b, b + many):
+            queries_of[i] = min(total, queries_of.get(i, 0) + asking[r])
+    # Few blocks are shared by more turns, so that all cores have one.
+    cores = -(-2 * spark.sparkContext.defaultParallelism // len(queries_of))
+    turns = {b: max(-(-n // TURN_ROWS), min(-(-n // STEP_QUERIES), cores)) for b, n in queries_of.items()}
+    table = F.broadcast(spark.createDataFrame([(r, b, many, turns[b]) for r, b, many in plan], "_ring int, _first int, _subs int, _turns int"))
+    turn_of = F.broadcast(spark.createDataFrame(list(turns.items()), "_block int, _turns int"))
 
     def dealt(count: str, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
 
-    def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
     side = _ringed(stored.select(*map(col, ids), "_at", "_vector", "_cell", "_reach"), cuts).drop("_cell", "_reach").join(table, "_ring")
-    side = side.withColumns({"_sub": dealt("_subs", "_at"), "_turn": every("_turns"), "_query": F.lit(False)})
-    other = sent.join(table, "_ring").withColumns({"_turn": dealt("_turns", "query_id"), "_sub": every("_subs"), "_query": F.lit(True)})
-    both = side.drop("_subs", "_turns").unionByName(other.drop("_subs", "_turns"), allowMissingColumns=True)
-    met = both.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "_query")
+    side = side.withColumns({"_block": F.col("_first") + dealt("_subs", "_at"), "_turn": F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)), "_query": F.lit(False)})
+    other = sent.join(turn_of, "_block").withColumns({"_turn": dealt("_turns", "query_id"), "_query": F.lit(True)})
+    both = side.drop("_first", "_subs", "_turns").unionByName(other.drop("_turns"), allowMissingColumns=True)
+    met = both.repartition(min(sum(turns.values()), TASKS), *_BLOCK).sortWithinPartitions(*_BLOCK, "_query")
     figures = {"rings": len(numbers), "reached": len(plan), "pairs": sum(asking.values())}
     return met.mapInArrow(_join(dimension, k, ids), schema), stored, figures

@@ -272,3 +272,22 @@ def test_searches_by_cells(spark, laptops, small_cells):
     two = explain_row(laptops, units, queries, 1, block_bytes=0)
     assert sorted(map(str, one.result.collect())) == sorted(map(str, two.result.collect()))
     assert sorted(map(str, one.numbers.collect())) == sorted(map(str, two.numbers.collect()))
+
+
+def test_a_query_leaves_a_block_of_many_rings_with_k_rows(spark, monkeypatch):
+    monkeypatch.setattr(cells, "RING_ROWS", 16)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, _vector array<float>")
+    best, _, figures = cells.cell_join(rows, rows.withColumnRenamed("vec_id", "query_id"), 5, ["vec_id"])
+    found = best.collect()
+    assert figures["rings"] > 20 and len(found) == 400 * 5
+    unit = cells.unit_rows(vectors)
+    exact = np.round(cells.squared_distances(unit, unit), cells.DIGITS)
+    for q in range(0, 400, 37):
+        nearest = sorted((d, i) for i, d in enumerate(exact[q]))[:5]
+        assert [i for _, i in nearest] == [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: (r.distance, r.vec_id))]
+
+
+def test_blocks_hold_rings_up_to_their_size():
+    assert cells._blocks([(1, 10), (2, 20), (5, 3), (6, 70), (8, 5)], 32) == [(1, 0, 1), (2, 0, 1), (5, 1, 1), (6, 2, 3), (8, 5, 1)]
