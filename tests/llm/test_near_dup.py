@@ -230,3 +230,31 @@ def test_bins_rule_no_similar_pair_out():
     assert len(found) == len(left) and all(root[a] != root[b] for a, b in found)
     alike = {frozenset((a, b)) for a in every.tolist() for b in range(a) if root[a] != root[b] and edits(texts[a], texts[b]) <= 0.2 * max(n[a], n[b]) + 1e-9}
     assert alike <= found
+
+
+def test_passage_whose_parts_lie_in_lesser_documents(spark):
+    rng, rows = random.Random(21), []
+    for n in range(6):
+        passage = sentence(rng, 55).split()
+        mine = [" ".join(passage[:40]), " ".join(passage[15:]), " ".join(passage), " ".join(passage)]
+        rows += [(4 * n + k, " ".join((sentence(rng, 30), part, sentence(rng, 30)))) for k, part in enumerate(mine)]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for n in range(6):
+        assert any(r.doc_id == 4 * n + 3 and r.other_id == 4 * n + 2 and r.start_word <= 30 and r.end_word >= 85 for r in found)
+    assert {r.doc_id for r in found} == {4 * n + 3 for n in range(6)}
+
+
+def test_open_seed_meets_documents_that_are_covered(spark, monkeypatch):
+    monkeypatch.setattr(passages, "FEW", 2)
+    rng = random.Random(22)
+    whole = sentence(rng, 120).split()
+
+    def around(words):
+        return " ".join((sentence(rng, 30), " ".join(words), sentence(rng, 30)))
+
+    # 2 lies in 0 whole; the end of 5 lies in 2 alone, and the least holders of its seeds, 1 and 3, hold 40 words.
+    texts = [whole[:60], whole[60:100], whole, whole[80:], whole[:30], whole[60:]]
+    rows = [(i, around(t)) for i, t in enumerate(texts)]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(r.doc_id == 5 and r.other_id == 2 and r.start_word <= 30 and r.end_word >= 90 for r in found)
+    assert any(r.doc_id == 2 and r.other_id == 0 and r.n_words >= 60 for r in found)
