@@ -258,3 +258,29 @@ def test_open_seed_meets_documents_that_are_covered(spark, monkeypatch):
     found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert any(r.doc_id == 5 and r.other_id == 2 and r.start_word <= 30 and r.end_word >= 90 for r in found)
     assert any(r.doc_id == 2 and r.other_id == 0 and r.n_words >= 60 for r in found)
+
+
+def test_blocks_hand_on_links_and_not_pairs(spark, monkeypatch):
+    rng, texts = random.Random(23), []
+    passage = sentence(rng, 60)
+    base = (passage + " " + sentence(rng, 20)).split()
+    for _ in range(24):
+        mine = list(base)
+        for at in rng.sample(range(60, 80), 8):
+            mine[at] = sentence(rng, 1)
+        texts.append(" ".join(mine))
+    handed = []
+
+    def met(entries, *rest, met=near_dup.met):
+        handed.append((entries.select("id").distinct().count(), entries.count(), near_dup.stored(met(entries, *rest), "links")))
+        return handed[-1][2]
+
+    monkeypatch.setattr(near_dup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dup, "met", met)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_dup.near_duplicates(docs, sketches=1).collect()
+    members, entries, links = handed[0]
+    # Texts that share the element are similar; each of their two buckets hands on a tree at most.
+    distinct = len({tuple(r.elements) for r in near_dup.signatures(docs, "doc_id", "text", 1).collect()})
+    assert entries == 2 * members and 24 - distinct <= links.count() <= 2 * (24 - distinct) < 16
+    assert len({r.class_id for r in found}) == distinct
