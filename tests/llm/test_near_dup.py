@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factsheet.llm import near_dup, passages
 from factsheet.llm.align import distance
@@ -260,6 +261,46 @@ def test_open_seed_meets_documents_that_are_covered(spark, monkeypatch):
     assert any(r.doc_id == 2 and r.other_id == 0 and r.n_words >= 60 for r in found)
 
 
+def all_holders(members, heads, texts, min_words):
+    return members.select("h", F.col("id").alias("a")).join(members.filter("open").select("h", F.col("id").alias("b")), "h").filter("a < b").select("a", "b").distinct()
+
+
+@pytest.mark.parametrize("few, min_words, least", [(2, 30, 20), (1024, 50, 10)])
+def test_pairs_left_out_have_no_passage(spark, monkeypatch, few, min_words, least):
+    rng, rows = random.Random(24), []
+    lines = [sentence(rng, n).split() for n in (20, 35, 44, 70)] + [["of"] * 45, ["of"] * 20 + ["to"] * 38]
+    for i in range(40):
+        text = []
+        for _ in range(3):
+            line = list(rng.choice(lines))
+            line = line[rng.randrange(8) :][: rng.randrange(12, 80)]
+            for _ in range(rng.choice((0, 0, 1, 2, 4))):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randrange(2)] = rng.choice(([], ["changed"], sentence(rng, 2).split()))
+            text += sentence(rng, rng.choice((0, 3, 30, 60))).split() + line
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(passages, "FEW", few)
+    found = sorted(map(tuple, passages.shared_passages(docs, min_words).collect()))
+    monkeypatch.setattr(passages, "met", all_holders)
+    assert found == sorted(map(tuple, passages.shared_passages(docs, min_words).collect()))
+    assert len(found) > least
+
+
+def test_short_common_line_gives_no_pairs(spark, monkeypatch):
+    rng, seen, judged = random.Random(25), [], passages.judged
+    line = sentence(rng, 42)
+    rows = [(i, " ".join((sentence(rng, 30), line, sentence(rng, 30)))) for i in range(30)]
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return judged(pairs, *rest)
+
+    monkeypatch.setattr(passages, "judged", counted)
+    assert passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert seen == [28, 0]
+
+
 def test_blocks_hand_on_links_and_not_pairs(spark, monkeypatch):
     rng, texts = random.Random(23), []
     passage = sentence(rng, 60)
