@@ -46,7 +46,7 @@ FEW = 1024
 STEP_WORDS = 1 << 15
 #: Holders that are laid out at a time, and numbers of them compared at a time.
 STEP_HOLDERS = 2048
-CELLS = 1 << 19
+CELLS = 1 << 17
 #: Beyond the ends of a text, and what it is taken for on one of two sides: equal to no word, nor to each other.
 BEYOND, OTHER = -(1 << 40), -(1 << 41)
 
@@ -305,7 +305,7 @@ def judged(pairs: DataFrame, heads: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def contexts(members: DataFrame, heads: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
-    """(k, id, open, near, off, before, after) of seeds (id, h, at, open): other seeds at most ``span_of`` words away with their offsets, and the words on both sides, outwards."""
+    """(k, id, open, near, off, before, after) of seeds (id, h, at, open): other seeds at most ``span_of`` words away, twice their offsets (plus one if they are open), and the words on both sides, outwards."""
     kind = members.schema["id"].dataType.simpleString()
     side, span = side_of(min_words), span_of(min_words)
     wanted = members.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "h", "open"))).alias("m"))
@@ -316,12 +316,13 @@ def contexts(members: DataFrame, heads: DataFrame, texts: DataFrame, min_words:
         for batch in batches:
             (mine, mt), (key, _), (open_, _), (h, ht), (at, _), (words_, wt) = (lists(batch.column(c)) for c in range(1, 7))
             row, near, off, before, after = np.repeat(np.arange(batch.num_rows), np.diff(mt)), [], [], [], []
+            lies_open = np.concatenate([np.isin(at[ht[i] : ht[i + 1]], mine[mt[i] : mt[i + 1]][open_[mt[i] : mt[i + 1]] > 0]) for i in range(batch.num_rows)] or [[]])
             for i, y in zip(row.tolist(), mine.tolist()):
-                places, start = at[ht[i] : ht[i + 1]], int(wt[i])
-                low, high = np.searchsorted(places, (y - span, y + span + 1))
-                away = places[low:high] - y
-                near.append(h[ht[i] + low : ht[i] + high][away != 0])
-                off.append(away[away != 0])
+                start = int(wt[i])
+                low, high = np.searchsorted(at[ht[i] : ht[i + 1]], (y - span, y + span + 1)) + ht[i]
+                away = at[low:high] - y
+                near.append(h[low:high][away != 0])
+                off.append((2 * away + lies_open[low:high])[away != 0])
                 before.append(words_[start + max(0, y - side) : start + y][::-1])
                 after.append(words_[start + y + K : min(start + y + K + side, int(wt[i + 1]))])
             if len(row):
@@ -373,10 +374,12 @@ def may_share(open_: np.ndarray, group: np.ndarray, first: np.ndarray, n: np.nda
     """(lesser, greater) holders of a seed, the greater one open, that may share a passage around it; each row has n lesser ones from ``first`` on.
 
     Where the words stop to be alike no edit can be passed, and all seeds near that both hold lie within these words, the
-    chain ends there too: what it gives is as long as these words, or as ``extend`` says. All other pairs go on.
+    chain ends there too: what it gives is as long as these words, or as ``extend`` says. All other pairs go on, once: not
+    where an earlier open seed lies within the same words, as it says the same of the pair.
     """
-    side, sizes, none = before.shape[1], np.diff(ends), 1 << 20
+    side, sizes, none = before.shape[1], np.diff(ends), 1 << 30
     own_before, own_after = (np.where(x == BEYOND, OTHER, x) for x in (before, after))
+    off, lies_open = off >> 1, (off & 1).astype(bool)
     # Seeds near, numbered in each group.
     at = np.repeat(group, sizes)
     order = np.lexsort((near, at))
@@ -404,18 +407,25 @@ def may_share(open_: np.ndarray, group: np.ndarray, first: np.ndarray, n: np.nda
         back, back_edit = goes_on(before[less], own_before[greater])
         on, on_edit = goes_on(after[less], own_after[greater])
         keep = back + K + on >= min_words
-        place = np.full((len(c), max(1, width)), none)
+        place = np.full((len(c), max(1, width)), none, np.int32)
         spots, own = spread(ends[c], sizes[c])
-        place[own, code[spots]] = off[spots]
+        place[own, code[spots]] = np.arange(len(spots))
+        mine = spots
         spots, who = spread(ends[less], sizes[less])
-        y = place[row[who], code[spots]]
-        both = np.flatnonzero(y < none)
-        x, y, who = off[spots[both]], y[both], who[both]
+        met_at = place[row[who], code[spots]]
+        both = np.flatnonzero(met_at < none)
+        mine, who = mine[met_at[both]], who[both]
+        x, y = off[spots[both]], off[mine]
         low, high = -back[who], on[who]
         inside = (x == y) & (low <= y) & (y <= high)
-        linked = (np.minimum(x, y) >= low - MAX_GAP) & (np.maximum(x, y) <= high + MAX_GAP)
-        keep[who[linked & ~inside]] = True
-        for i in np.flatnonzero(~keep & (back_edit | on_edit)).tolist():
+        # A chain needs a seed within the words before or after it, in both texts.
+        least_at, most_at = np.minimum(x, y), np.maximum(x, y)
+        linked = ((least_at > low) & (most_at <= high + MAX_GAP)) | ((most_at < high) & (least_at >= low - MAX_GAP))
+        keep[who[linked & (most_at - least_at < MAX_GAP) & ~inside]] = True
+        again = np.zeros(len(keep), bool)
+        again[who[inside & lies_open[mine] & (y < 0)]] = True
+        keep &= ~again
+        for i in np.flatnonzero(~keep & ~again & (back_edit | on_edit)).tolist():
             p, q = less[i], greater[i]
             gone = [extend(a[p], b[q])[:2] for a, b in ((before, own_before), (after, own_after))]
             # So near the last known word ``extend`` can't look ahead.
