@@ -234,15 +234,30 @@ def _join(dimension: int, k: int, ids: Sequence[str]):
                     waiting.append(part.select([*ids, "_at", "_ring", "_vector"]))
                 elif waiting:
                     if ready is None:
-                        # Rows by ring, there in id order: among equal distances the first ones have the smallest ids.
-                        rows = pa.concat_tables(waiting).sort_by([("_ring", "ascending"), *sort_keys]).combine_chunks()
-                        waiting = [rows.slice(0, 0)]
-                        by_id = pc.sort_indices(rows, sort_keys=sort_keys).to_numpy()
-                        rank = np.empty(len(by_id), np.int64)
-                        rank[by_id] = np.arange(len(by_id))
-                        ready = rows.drop(["_vector", "_ring"]), unit_rows(matrix(rows["_vector"], dimension)), rows["_ring"].to_numpy(), rank
+                        found, waiting = waiting, [waiting[0].schema.empty_table()]
+                        ready = laid_out(found)
                     yield from best(part, *ready)
 
+    def laid_out(waiting: list[pa.Table]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by ring, there in id order, as among equal distances the first ones have the smallest ids; vectors, rings and ranks of ids.
+
+        Vectors are taken out of the list one table at a time, so that they are not held twice.
+        """
+        narrow = pa.concat_tables([t.drop(["_vector"]) for t in waiting])
+        order = pc.sort_indices(narrow, sort_keys=[("_ring", "ascending"), *sort_keys])
+        rows = narrow.take(order).combine_chunks()
+        spot = np.empty(len(rows), np.int64)
+        spot[order.to_numpy()] = np.arange(len(rows))
+        vectors, start = np.empty((len(rows), dimension)), 0
+        waiting.reverse()
+        while waiting:
+            some = waiting.pop()["_vector"]
+            vectors[spot[start : start + len(some)]] = unit_rows(matrix(some, dimension))
+            start += len(some)
+        rank = np.empty(len(rows), np.int64)
+        rank[pc.sort_indices(rows, sort_keys=sort_keys).to_numpy()] = np.arange(len(rows))
+        return rows.drop(["_ring"]), vectors, rows["_ring"].to_numpy(), rank
+
     def best(queries: pa.Table, rows: pa.Table, vectors: np.ndarray, ring: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(queries), STEP_QUERIES):
             some = queries.slice(start, STEP_QUERIES).combine_chunks()

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,28 @@ def test_a_query_leaves_a_block_of_many_rings_with_k_rows(spark, monkeypatch):
 
 def test_blocks_hold_rings_up_to_their_size():
     assert cells._blocks([(1, 10), (2, 20), (5, 3), (6, 70), (8, 5)], 32) == [(1, 0, 1), (2, 0, 1), (5, 1, 1), (6, 2, 3), (8, 5, 1)]
+
+
+def test_block_is_laid_out_without_a_second_copy():
+    rng, n, dimension = np.random.default_rng(5), 4096, 128
+    vectors = rng.normal(size=(n, dimension)).astype(np.float32)
+
+    def batch(rows, query):
+        m, none = len(rows), pa.nulls(len(rows), pa.int64())
+        offsets = pa.array(np.arange(m + 1, dtype=np.int32) * dimension)
+        columns = {"_block": np.zeros(m, np.int32), "_turn": np.zeros(m, np.int32), "_query": pa.array([query] * m), "id": none if query else pa.array(rows), "_at": none if query else pa.array(rows)}
+        columns |= {"_ring": pa.array(rows % 3, pa.int32()), "_vector": pa.ListArray.from_arrays(offsets, pa.array(vectors[rows].reshape(-1)))}
+        columns |= {"query_id": pa.array(rows), "_bound": pa.array(np.full(m, 9.0)), "_rings": pa.array([[0, 1, 2]] * m, pa.list_(pa.int32()))}
+        return pa.RecordBatch.from_pydict(columns)
+
+    batches = [batch(np.arange(i, i + 256), False) for i in range(0, n, 256)] + [batch(np.arange(0, 40), True)]
+    old, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        found = pa.Table.from_batches(list(cells._join(dimension, 3, ["id"])(iter(batches)))).to_pylist()
+    finally:
+        pa.set_memory_pool(old)
+    assert pool.max_memory() < vectors.nbytes / 2
+    unit = vectors / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = np.argsort(-(unit[:40] @ unit.T), axis=1)[:, :3]
+    assert sorted((r["query_id"], r["id"]) for r in found) == sorted((q, i) for q in range(40) for i in near[q].tolist())
