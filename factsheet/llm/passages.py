@@ -31,9 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsheet.llm.align import distance, grams, labelled
+from factsheet.llm.align import distance, grams, labelled, mixed
 from factsheet.llm.common import joined, lists, picked, stored, word_hashes, words
 
+#: What every text with a word holds.
+WORD = r"[\p{L}\p{N}]"
 K = 8
 WINDOW = 16
 MAX_GAP = 48
@@ -47,6 +49,8 @@ STEP_WORDS = 1 << 15
 #: Holders that are laid out at a time, and numbers of them compared at a time.
 STEP_HOLDERS = 2048
 CELLS = 1 << 17
+#: What a pair of holders counts beside the seeds near it.
+PAIR_CELLS = 8
 #: Beyond the ends of a text, and what it is taken for on one of two sides: equal to no word, nor to each other.
 BEYOND, OTHER = -(1 << 40), -(1 << 41)
 
@@ -101,6 +105,73 @@ def seeds(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(take, f"id {kind}, key string, n int, h array<bigint>, at array<int>")
 
 
+def held_by_several(entries: DataFrame) -> DataFrame:
+    """(id, h, at, a, x): seeds (id, h, at) that two documents hold at least, with the least place that holds them.
+
+    Seeds are dealt out once and read in order; of a seed nothing is kept but its least place, and the least document's rows until another one comes.
+    """
+    kind = entries.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        rest = known = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            ids, h, at = (c.to_numpy() for c in table.columns)
+            fresh = np.append(True, h[1:] != h[:-1])
+            starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            a, x, several = ids[starts], at[starts], np.zeros(len(starts), bool)
+            if known and known[0] == h[0]:
+                a[0], x[0], several[0] = known[1], known[2], True
+            several[group[ids != a[group]]] = True
+            keep = several[group]
+            rest = None if several[-1] else table.slice(int(starts[-1])).combine_chunks()
+            known = (h[-1], a[-1], x[-1]) if several[-1] else None
+            if keep.any():
+                columns = [c.combine_chunks() for c in table.filter(pa.array(keep)).columns]
+                least = [pa.array(v[group[keep]], c.type) for v, c in ((a, columns[0]), (x, columns[2]))]
+                yield pa.RecordBatch.from_arrays([*columns, *least], names=["id", "h", "at", "a", "x"])
+
+    dealt = entries.select("id", "h", "at").repartition("h").sortWithinPartitions("h", "id", "at")
+    return dealt.mapInArrow(run, f"id {kind}, h bigint, at int, a {kind}, x int")
+
+
+def with_links(whole: DataFrame, most: int) -> DataFrame:
+    """(id, h, at, first, words) with ``prev``, the place of the seed before each seed if at most ``most`` words away (else -1), and
+    ``sig``, a hash of that seed, the distance and the words up to the seed (0 without one): where it is equal, so are these words."""
+    kind = whole.schema["id"].dataType.simpleString()
+    base = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(base), -1, 1 << 64))
+
+    def run(batches):
+        for batch in batches:
+            (h, ht), (at, _), (words_, wt) = (lists(batch.column(c)) for c in (1, 2, 4))
+            sig, prev = np.zeros(len(at), np.uint64), np.full(len(at), -1, np.int32)
+            for i in range(batch.num_rows):
+                y, found = at[ht[i] : ht[i + 1]], h[ht[i] : ht[i + 1]].view(np.uint64)
+                values = words_[wt[i] : wt[i + 1]].astype(np.int64).view(np.uint64)
+                near = np.flatnonzero(np.diff(y) <= most) if len(values) else []
+                near = near[y[near + 1] <= len(values)] if len(near) else near
+                if not len(near):
+                    continue
+                # Sums of words times powers of an odd number: a run's sum, moved to the text's start, tells its words.
+                powers = np.cumprod(np.append(np.uint64(1), np.full(len(values) - 1, base)))
+                total = np.append(np.uint64(0), np.cumsum(mixed(values) * powers))
+                low, high = y[near], y[near + 1]
+                shifts = np.cumprod(np.append(np.uint64(1), np.full(int(low.max()), back)))
+                run_ = (total[high] - total[low]) * shifts[low]
+                one = mixed(mixed(run_) + found[near] + (high - low).astype(np.uint64) * base)
+                sig[ht[i] + near + 1] = np.maximum(one, np.uint64(1))
+                prev[ht[i] + near + 1] = low
+            ends = pa.array(ht.astype(np.int32))
+            columns = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (sig.view(np.int64), prev)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["id", "h", "at", "first", "words", "sig", "prev"])
+
+    whole = whole.select("id", "h", "at", "first", "words")
+    return whole.mapInArrow(run, f"id {kind}, h array<bigint>, at array<int>, first array<boolean>, words array<int>, sig array<bigint>, prev array<int>")
+
+
 def collinear(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Collinear chains of matches (x, y), each as the numbers of its matches in order.
 
@@ -305,19 +376,21 @@ def judged(pairs: DataFrame, heads: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def contexts(members: DataFrame, heads: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
-    """(k, id, open, near, off, before, after) of seeds (id, h, at, open): other seeds at most ``span_of`` words away, twice their offsets (plus one if they are open), and the words on both sides, outwards."""
+    """(k, id, blocks, open, sig, skips, near, off, before, after) of seeds (id, h, at, open, sig, skips, blocks) that have blocks: other seeds at most ``span_of`` words away, twice their offsets (plus one if they are open), and the words on both sides, outwards."""
     kind = members.schema["id"].dataType.simpleString()
     side, span = side_of(min_words), span_of(min_words)
-    wanted = members.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "h", "open"))).alias("m"))
-    wanted = wanted.select("id", F.col("m.at").alias("mine"), F.col("m.h").alias("key"), F.col("m.open").cast("array<int>").alias("open"))
-    whole = wanted.join(heads.select("id", "h", "at"), "id").join(texts, "id").select("id", "mine", "key", "open", "h", "at", "words")
+    wanted = members.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "h", "open", "sig", "skips", "blocks"))).alias("m")).filter(F.exists("m", lambda m: m["blocks"] > 0))
+    wanted = wanted.select("id", F.col("m.at").alias("mine"), F.col("m.h").alias("key"), F.col("m.open").cast("array<int>").alias("open"), F.col("m.sig").alias("sig"), F.col("m.skips").cast("array<int>").alias("skips"), F.col("m.blocks").alias("blocks"))
+    whole = wanted.join(heads.select("id", "h", "at"), "id").join(texts.select("id", "words"), "id").select("id", "mine", "key", "open", "sig", "skips", "blocks", "h", "at", "words")
 
     def run(batches):
         for batch in batches:
-            (mine, mt), (key, _), (open_, _), (h, ht), (at, _), (words_, wt) = (lists(batch.column(c)) for c in range(1, 7))
+            (mine, mt), (key, _), (open_, _), (sig, _), (skips, _), (blocks, _), (h, ht), (at, _), (words_, wt) = (lists(batch.column(c)) for c in range(1, 10))
             row, near, off, before, after = np.repeat(np.arange(batch.num_rows), np.diff(mt)), [], [], [], []
             lies_open = np.concatenate([np.isin(at[ht[i] : ht[i + 1]], mine[mt[i] : mt[i + 1]][open_[mt[i] : mt[i + 1]] > 0]) for i in range(batch.num_rows)] or [[]])
-            for i, y in zip(row.tolist(), mine.tolist()):
+            live = np.flatnonzero(blocks > 0)
+            row = row[live]
+            for i, y in zip(row.tolist(), mine[live].tolist()):
                 start = int(wt[i])
                 low, high = np.searchsorted(at[ht[i] : ht[i + 1]], (y - span, y + span + 1)) + ht[i]
                 away = at[low:high] - y
@@ -330,22 +403,51 @@ def contexts(members: DataFrame, heads: DataFrame, texts: DataFrame, min_words:
                 for rows, type_ in ((near, pa.int64()), (off, pa.int16()), (before, pa.int32()), (after, pa.int32())):
                     sizes = pa.array(np.cumsum([0] + [len(x) for x in rows]).astype(np.int32))
                     found.append(pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(rows), type_)))
-                columns = [pa.array(key), batch.column(0).take(pa.array(row)), pa.array(open_ > 0), *found]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "id", "open", "near", "off", "before", "after"])
+                columns = [pa.array(key[live]), batch.column(0).take(pa.array(row)), pa.array(blocks[live]), pa.array(open_[live] > 0), pa.array(sig[live]), pa.array(skips[live] > 0), *found]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "id", "blocks", "open", "sig", "skips", "near", "off", "before", "after"])
 
-    return whole.mapInArrow(run, f"k bigint, id {kind}, open boolean, near array<bigint>, off array<smallint>, before array<int>, after array<int>")
+    return whole.mapInArrow(run, f"k bigint, id {kind}, blocks int, open boolean, sig bigint, skips boolean, near array<bigint>, off array<smallint>, before array<int>, after array<int>")
 
 
-def goes_on(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many words each row of p goes on with the same row of q, and whether ``extend`` passes an edit there."""
-    side = p.shape[1]
-    same = np.zeros((len(p), side + 1), bool)
-    np.equal(p, q, out=same[:, :-1])
-    run = same.argmin(axis=1)
-    at = np.minimum(run, side - AHEAD - 1)[:, None] + np.arange(AHEAD + 1)
-    one, two = np.take_along_axis(p, at, axis=1), np.take_along_axis(q, at, axis=1)
-    edit = (one[:, 1:] == two[:, 1:]).all(axis=1) | (one[:, 1:] == two[:, :-1]).all(axis=1) | (one[:, :-1] == two[:, 1:]).all(axis=1)
-    return run, edit
+def runs_of(rows: np.ndarray, group: np.ndarray):
+    """A function of pairs of rows of one group: how many words they go on with each other.
+
+    Rows are sorted by group and words; two rows share as many words as the least that neighbours between them do. What lies beyond a text is equal to nothing.
+    """
+    n, side = rows.shape
+    length = (rows != BEYOND).sum(axis=1)
+    order = np.lexsort((*rows.T[::-1], group))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    same = np.zeros((max(0, n - 1), side + 1), bool)
+    np.equal(rows[order[:-1]], rows[order[1:]], out=same[:, :-1])
+    levels = [same.argmin(axis=1).astype(np.int32)]
+    most, span = int(np.bincount(group).max(initial=0)), 1
+    while span * 2 < most:
+        levels.append(np.minimum(levels[-1][: len(levels[-1]) - span], levels[-1][span:]))
+        span *= 2
+    width = max(1, n - 1)
+    table = np.zeros((len(levels), width), np.int32)
+    for k, level in enumerate(levels):
+        table[k, : len(level)] = level
+
+    def run(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(place[p], place[q]), np.maximum(place[p], place[q])
+        k = np.frexp((high - low).astype(np.float64))[1] - 1
+        found = np.minimum(table[k, low], table[k, high - (1 << k)])
+        return np.minimum(found, np.minimum(length[p], length[q]))
+
+    return run
+
+
+def aheads(rows: np.ndarray, beyond: int) -> np.ndarray:
+    """A hash of the ``AHEAD`` words from each place of each row on."""
+    rows = np.where(rows == BEYOND, beyond, rows).view(np.uint64)
+    n = rows.shape[1] - AHEAD + 1
+    out = np.zeros((len(rows), n), np.uint64)
+    for k in range(AHEAD):
+        out = mixed(out + rows[:, k : k + n] + np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,30 +472,49 @@ def lesser_ones(group: np.ndarray, mine: np.ndarray, rank: np.ndarray) -> tuple[
     return first, n
 
 
-def may_share(open_: np.ndarray, group: np.ndarray, first: np.ndarray, n: np.ndarray, near: np.ndarray, off: np.ndarray, ends: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def may_share(open_: np.ndarray, sig: np.ndarray, skips: np.ndarray, group: np.ndarray, first: np.ndarray, n: np.ndarray, near: np.ndarray, off: np.ndarray, ends: np.ndarray, before: np.ndarray, after: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(lesser, greater) holders of a seed, the greater one open, that may share a passage around it; each row has n lesser ones from ``first`` on.
 
     Where the words stop to be alike no edit can be passed, and all seeds near that both hold lie within these words, the
     chain ends there too: what it gives is as long as these words, or as ``extend`` says. All other pairs go on, once: not
-    where an earlier open seed lies within the same words, as it says the same of the pair.
+    where an earlier open seed lies within the same words, as it says the same of the pair. If the seed before is open (``skips``) and lies
+    within the same words by ``sig``, the pair isn't even looked at.
     """
-    side, sizes, none = before.shape[1], np.diff(ends), 1 << 30
+    side, none = before.shape[1], 1 << 30
+    runs = [runs_of(x, group) for x in (before, after)]
+    ahead, own_ahead = [aheads(x, BEYOND) for x in (before, after)], [aheads(x, OTHER) for x in (before, after)]
+
+    def goes_on(k: int, less: np.ndarray, greater: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words pairs go on alike on one side, and whether ``extend`` passes an edit there."""
+        run = runs[k](less, greater)
+        at = np.minimum(run, side - AHEAD - 1)
+        p, q, p1, q1 = ahead[k][less, at], own_ahead[k][greater, at], ahead[k][less, at + 1], own_ahead[k][greater, at + 1]
+        return run, (p1 == q1) | (p1 == q) | (p == q1)
+
     own_before, own_after = (np.where(x == BEYOND, OTHER, x) for x in (before, after))
     off, lies_open = off >> 1, (off & 1).astype(bool)
     # Seeds near, numbered in each group.
-    at = np.repeat(group, sizes)
+    at = np.repeat(group, np.diff(ends))
     order = np.lexsort((near, at))
     fresh = np.append(True, (near[order][1:] != near[order][:-1]) | (at[order][1:] != at[order][:-1]))[: len(order)]
     code = np.empty(len(order), np.int64)
     code[order] = np.cumsum(fresh) - 1
     least = np.full(int(group.max(initial=0)) + 2, len(order))
     np.minimum.at(least, at, code)
-    code -= least[at]
+    # Seeds that one holder of a group has alone are left out.
+    several = np.bincount(code, minlength=1)[code] > 1
+    number = np.cumsum(np.append(False, np.bincount(code[several], minlength=int(code.max(initial=0)) + 1) > 0))
+    code, least = number[code[several]], number[np.minimum(least, len(number) - 1)]
+    holder = np.repeat(np.arange(len(group)), np.diff(ends))[several]
+    at, off, lies_open = at[several], off[several], lies_open[several]
+    sizes = np.bincount(holder, minlength=len(group))
+    ends = np.append(0, np.cumsum(sizes))
+    code = code - least[at]
     codes = np.zeros(len(least), np.int64)
     np.maximum.at(codes, at, code + 1)
     asking = np.flatnonzero(open_ & (n > 0))
     total = np.append(0, np.cumsum(sizes))
-    cost = np.cumsum(n[asking] * side + total[(first + n)[asking]] - total[first[asking]])
+    cost = np.cumsum(n[asking] * PAIR_CELLS + total[(first + n)[asking]] - total[first[asking]])
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     start = 0
     while start < len(asking):
@@ -403,9 +524,13 @@ def may_share(open_: np.ndarray, group: np.ndarray, first: np.ndarray, n: np.nda
         c = asking[start:stop]
         start = stop
         less, row = spread(first[c], n[c])
+        new = np.flatnonzero(~(skips[c][row] & (sig[less] == sig[c][row])))
+        less, row = less[new], row[new]
+        if not len(less):
+            continue
         greater = c[row]
-        back, back_edit = goes_on(before[less], own_before[greater])
-        on, on_edit = goes_on(after[less], own_after[greater])
+        back, back_edit = goes_on(0, less, greater)
+        on, on_edit = goes_on(1, less, greater)
         keep = back + K + on >= min_words
         place = np.full((len(c), max(1, width)), none, np.int32)
         spots, own = spread(ends[c], sizes[c])
@@ -445,14 +570,17 @@ def filled(rows: pa.ListArray, side: int) -> np.ndarray:
 
 
 def met(members: DataFrame, heads: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
-    """(a, b): holders of a seed that may share a passage around it, b open and a lesser, of seeds (id, h, at, open)."""
+    """(a, b): holders of a seed that may share a passage around it, b open and a lesser, of seeds (id, h, at, open, sig, skips)."""
     kind = members.schema["id"].dataType.simpleString()
     side = side_of(min_words)
-    sizes = members.groupBy(F.col("h").alias("k")).agg(F.ceil(F.count(F.lit(1)) / FEW).cast("int").alias("blocks"))
-    dealt = joined(contexts(members, heads, texts, min_words), stored(sizes.filter("blocks > 1"), "large"), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # Where all holders have the same seed and words before and that seed is open too, it says the same of all their pairs.
+    same = (F.min("sig") == F.max("sig")) & (F.min("sig") != 0) & F.min(~F.col("open") | F.col("skips"))
+    sizes = members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / FEW).cast("int").alias("blocks"), same.alias("same"))
+    dealt = joined(members, stored(sizes.filter("not same").drop("same"), "groups"), "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+    dealt = contexts(dealt, heads, texts, min_words)
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "open", "near", "off", "before", "after")
+    dealt = dealt.select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "open", "sig", "skips", "near", "off", "before", "after")
 
     def choose(part):
         ids = part["id"].combine_chunks()
@@ -466,8 +594,8 @@ def met(members: DataFrame, heads: DataFrame, texts: DataFrame, min_words: int)
         near, ends = lists(part["near"].combine_chunks())
         off = lists(part["off"].combine_chunks())[0].astype(np.int64)
         before, after = (filled(part[c].combine_chunks(), side) for c in ("before", "after"))
-        open_ = part["open"].to_numpy().astype(bool)
-        pairs = may_share(open_, group, *lesser_ones(group, mine, rank), near, off, ends, before, after, min_words)
+        open_, skips = (part[c].to_numpy().astype(bool) for c in ("open", "skips"))
+        pairs = may_share(open_, part["sig"].to_numpy(), skips, group, *lesser_ones(group, mine, rank), near, off, ends, before, after, min_words)
         ids = part["id"].combine_chunks()
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)) for x in pairs], names=["a", "b"])
 
@@ -498,11 +626,12 @@ def span_of(min_words: int) -> int:
     return max(0, min_words - K) + MAX_GAP
 
 
-def texts_of(docs: DataFrame, doc_id: str, text: str, ids: DataFrame, name: str) -> DataFrame:
+def texts_of(docs: DataFrame, doc_id: str, text: str, ids: DataFrame) -> DataFrame:
     """(id, words): hashed words of the documents of a narrow table of ids."""
-    raw = picked(docs, (doc_id, "id"), (text, "text"))
+    # A filter on the words would have them made twice.
+    raw = picked(docs, (doc_id, "id"), (text, "text")).filter(F.lower("text").rlike(WORD))
     texts = joined(raw, ids, "id", "left_semi").select("id", F.transform(words(F.col("text")), lambda w: F.hash(w)).alias("words"))
-    return stored(texts.filter(F.size("words") > 0).dropDuplicates(["id"]), name)
+    return texts.dropDuplicates(["id"])
 
 
 def shared_passages(docs: DataFrame, min_words: int = 50, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -516,15 +645,14 @@ def shared_passages(docs: DataFrame, min_words: int = 50, least: float = 0.8, do
     heads = found.join(reps.select("key", "rep"), (found["id"] == reps["rep"]) & (found["key"] == reps["key"]), "left_semi")
     heads = stored(heads.select("id", "h", "at"), "heads")
     entries = heads.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", "s.h", "s.at")
-    pivots = entries.groupBy("h").agg(F.min(F.struct("id", "at")).alias("p"), F.max("id").alias("hi")).filter(F.col("p.id") < F.col("hi"))
-    pivots = stored(pivots.select("h", "p"), "pivots")
-    matches = entries.join(pivots, "h").filter(F.col("id") != F.col("p.id"))
-    matches = matches.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.at").alias("x"), F.col("at").alias("y"))
-    linked = stored(chains(matches), "chains")
+    shared = stored(held_by_several(entries), "shared")
+    linked = stored(chains(shared.filter("id <> a").select("a", F.col("id").alias("b"), "x", F.col("at").alias("y"))), "chains")
     # All holders of a seed that two documents hold are here, so no later round needs others.
-    some = stored(linked.select(F.col("a").alias("id")).union(linked.select("b")).distinct(), "chained")
-    texts = texts_of(docs, doc_id, text, some, "texts")
-    one = stored(joined(heads, some, "id", "left_semi").dropDuplicates(["id"]), "holders")
+    some = stored(shared.select("id").distinct(), "chained")
+    mine = shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "h", (F.col("id") == F.col("a")).alias("first")))).alias("s"))
+    mine = mine.select("id", F.col("s.h").alias("h"), F.col("s.at").alias("at"), F.col("s.first").alias("first"))
+    one = stored(with_links(mine.join(texts_of(docs, doc_id, text, some), "id"), side_of(min_words)), "holders")
+    texts = one.select("id", "words")
     rounds = [stored(aligned(linked, texts, min_words, least), "passages")]
 
     def uncovered(seeds_: DataFrame) -> DataFrame:
@@ -538,16 +666,17 @@ def shared_passages(docs: DataFrame, min_words: int = 50, least: float = 0.8, do
         new = stored(judged(pairs, one, left), "chains")
         rounds.append(stored(aligned(new, texts, min_words, least), "passages"))
 
-    spots = one.select("id", F.explode(F.arrays_zip("h", "at")).alias("s")).select("id", "s.h", "s.at")
-    shared = stored(spots.join(pivots, "h").select("id", "h", "at", "p"), "shared")
-    left = stored(uncovered(shared.filter(F.col("id") != F.col("p.id"))), "open")
+    spots = one.select("id", F.explode(F.arrays_zip("h", "at", "first", "sig", "prev")).alias("s")).select("id", "s.*")
+    left = stored(uncovered(spots.filter("not first")), "open")
     firsts = left.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("hi")).filter("a < hi")
     again(stored(left.join(firsts, "h").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs"), left)
     left = stored(uncovered(left), "open")
     # A holder behind all documents in which a seed is open is lesser than none of them.
     keys = stored(left.groupBy("h").agg(F.max("id").alias("hi")), "keys")
-    mine = left.select("id", "h", F.lit(True).alias("open"))
-    members = joined(shared, keys, "h").filter("id <= hi").join(mine, ["id", "h"], "left").select("id", "h", "at", F.coalesce("open", F.lit(False)).alias("open"))
+    mine = left.groupBy("id").agg(F.collect_set("at").alias("mine"))
+    members = joined(spots, keys, "h").filter("id <= hi").join(mine, "id", "left")
+    is_open = [F.coalesce(F.array_contains("mine", F.col(at)), F.lit(False)) for at in ("at", "prev")]
+    members = members.select("id", "h", "at", is_open[0].alias("open"), "sig", (is_open[1] & (F.col("sig") != 0)).alias("skips"))
     members = stored(members, "members")
     again(stored(met(members, one, texts, min_words), "pairs"), left)
     fuzzy = rounds[0].unionByName(rounds[1]).unionByName(rounds[2]).distinct()

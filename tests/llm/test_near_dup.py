@@ -301,6 +301,51 @@ def test_short_common_line_gives_no_pairs(spark, monkeypatch):
     assert seen == [28, 0]
 
 
+def test_seeds_that_say_the_same_do_not_meet(spark, monkeypatch):
+    rng, seen, contexts = random.Random(26), [], passages.contexts
+    line = sentence(rng, 42)
+    rows = [(i, " ".join((sentence(rng, 30), line, sentence(rng, 30)))) for i in range(30)]
+
+    def counted(members, *rest):
+        found = contexts(members, *rest)
+        seen.append((found.count(), members.count()))
+        return found
+
+    monkeypatch.setattr(passages, "contexts", counted)
+    assert passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    (met, held), = seen
+    assert 30 <= met <= held / 2
+
+
+def test_words_that_go_on_equal_brute_force():
+    rng, side = np.random.default_rng(27), 8
+    rows = np.full((60, side), passages.BEYOND)
+    for row in rows:
+        n = rng.integers(0, side + 1)
+        row[:n] = rng.integers(0, 2, n)
+    group = np.sort(rng.integers(0, 9, 60))
+    p, q = np.nonzero((group[:, None] == group) & ~np.eye(60, dtype=bool))
+    alike = [next((k for k in range(side) if a[k] != b[k] or a[k] == passages.BEYOND), side) for a, b in zip(rows[p], rows[q])]
+    assert passages.runs_of(rows, group)(p, q).tolist() == alike
+    assert passages.runs_of(rows[:1], group[:1])(p[:0], p[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_seeds_that_several_documents_hold(spark, kind):
+    rng = random.Random(28)
+    rows = [(rng.randrange(40), rng.choice((0, rng.randrange(60))), rng.randrange(9)) for _ in range(200)]
+    entries = spark.createDataFrame(rows, "id long, h bigint, at int").selectExpr(f"cast(id as {kind}) id", "h", "at")
+    rows = [tuple(r) for r in entries.collect()]
+    holders = {h: {i for i, g, _ in rows if g == h} for _, h, _ in rows}
+    least = {h: min((i, at) for i, g, at in rows if g == h) for h in holders}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = sorted(map(tuple, passages.held_by_several(entries).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted((i, h, at, *least[h]) for i, h, at in rows if len(holders[h]) > 1)
+
+
 def test_blocks_hand_on_links_and_not_pairs(spark, monkeypatch):
     rng, texts = random.Random(23), []
     passage = sentence(rng, 60)
