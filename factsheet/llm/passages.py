@@ -11,7 +11,8 @@ word by word on both sides, and kept if they have at least ``min_words`` words a
 A pivot may hold but a part of a passage. Seeds of a document that no passage found so far covers are open. In a second round
 an open seed points to the least document in which it is open too, and the pair is judged by all the seeds it shares. What is open
 after that meets all lesser holders of the seed, block by block, with the words and seeds around it: a pair is left out if its chain
-ends near and what it and the equal words beside it give is surely too short, as with a short line that many texts hold. The others go on. So a word of a document
+ends near and what it and the equal words beside it give is surely too short, as with a short line that many texts hold. The others go on. Where the seed before
+is open too and it and the words up to it are the same, it says the same of the pair; a seed of which this holds for all holders meets nobody. So a word of a document
 that lies in a passage with any lesser document, by seeds as above, is listed with one of them, not with all.
 
 Texts of equal words go on as one representative; their copies are listed with their whole length.
