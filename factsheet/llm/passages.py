@@ -351,9 +351,16 @@ def judged(pairs: DataFrame, heads: DataFrame, left: DataFrame) -> DataFrame:
     """a, b, xs, ys: chains of all seeds that the pairs (a, b) share and that hold an open seed (id, at) of b."""
     kind = pairs.schema["a"].dataType.simpleString()
     wanted = left.groupBy(F.col("id").alias("b")).agg(F.collect_list("at").alias("open"))
-    one = heads.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("at").alias("xa"))
-    other = heads.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("at").alias("yb"))
-    both = pairs.join(one, "a").join(other, "b").join(wanted, "b").select("a", "b", "ha", "xa", "hb", "yb", "open")
+    for side in ("a", "b"):
+        pairs = pairs.join(heads.select(F.col("id").alias(side), F.size("h").alias(f"n{side}")), side)
+    # The text with fewer seeds goes to the other one.
+    fewer = F.col("na") <= F.col("nb")
+    pairs = pairs.join(wanted, "b").select("a", "b", "open", fewer.alias("fewer"), F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("d"))
+    for side in ("c", "d"):
+        pairs = pairs.join(heads.select(F.col("id").alias(side), F.col("h").alias(f"h{side}"), F.col("at").alias(f"x{side}")), side)
+    one = [F.when(F.col("fewer"), F.col(f"{v}c")).otherwise(F.col(f"{v}d")) for v in "hx"]
+    other = [F.when(F.col("fewer"), F.col(f"{v}d")).otherwise(F.col(f"{v}c")) for v in "hx"]
+    both = pairs.select("a", "b", one[0].alias("ha"), one[1].alias("xa"), other[0].alias("hb"), other[1].alias("yb"), "open")
 
     def run(batches):
         for batch in batches:
